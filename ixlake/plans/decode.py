@@ -26,13 +26,16 @@ _ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
     "payload_bytes",
     f"""
     WITH texts AS (
-      SELECT event_id, replace(md5(event_id::VARCHAR), '0', 'z')[:20] AS t, event_type FROM events)
-    SELECT event_id,
-      lpad(lower(to_hex(list_reduce(
+      SELECT event_id, replace(md5(event_id::VARCHAR), '0', 'z')[:20] AS t, event_type FROM events),
+    numbers AS (
+      SELECT event_id, event_type, length(t) - length(ltrim(t, '1')) AS zeros, lower(to_hex(list_reduce(
         list_prepend(0::HUGEINT, list_transform(string_split(t, ''), lambda c: (strpos('{_ALPHABET}', c) - 1)::HUGEINT)),
-        lambda a, b: a * 58 + b))), 30, '0') AS base58_hex,
+        lambda a, b: a * 58 + b))) AS digits
+      FROM texts)
+    SELECT event_id,
+      repeat('00', zeros) || CASE length(digits) % 2 WHEN 1 THEN '0' ELSE '' END || digits AS base58_hex,
       lower(hex(event_type)) AS base64_hex, lower(hex(event_type)) AS hex_hex, TRUE AS bad_is_null
-    FROM texts
+    FROM numbers
     """,
 )
 def payload_bytes(spark, d):
@@ -46,7 +49,7 @@ def payload_bytes(spark, d):
     bad = F.concat(F.lit("0"), "b58")
     return texts.select(
         "event_id",
-        F.lpad(hex_text(text_to_bytes(F.col("b58"), "base58")), 30, "0").alias("base58_hex"),
+        hex_text(text_to_bytes(F.col("b58"), "base58")).alias("base58_hex"),
         hex_text(text_to_bytes(F.col("b64"), "base64")).alias("base64_hex"),
         hex_text(text_to_bytes(F.col("hx"), "hex")).alias("hex_hex"),
         text_to_bytes(bad, "base58").isNull().alias("bad_is_null"),

@@ -82,8 +82,8 @@ def _schema_oracle(fields: str, kind: str, envelope) -> str:
       UNION ALL
       SELECT program_id, owner, pos, CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' ELSE x::VARCHAR END, depth + step
       FROM (SELECT program_id, owner, pos, depth,
-              CASE WHEN t::JSON -> '$.option' IS NOT NULL THEN 0 ELSE 1 END AS step,
-              coalesce(t::JSON -> '$.option', t::JSON -> '$.vec', t::JSON -> '$.array[0]') AS x
+              CASE WHEN json_exists(try_cast(t AS JSON), '$.option') THEN 0 ELSE 1 END AS step,
+              coalesce(try_cast(t AS JSON) -> '$.option', try_cast(t AS JSON) -> '$.vec', try_cast(t AS JSON) -> '$.array[0]') AS x
             FROM peeled WHERE starts_with(t, '{{')) WHERE x IS NOT NULL),
     mapped AS (
       SELECT program_id, owner, pos, repeat('ARRAY<', depth) || coalesce({_case('t', 1)}, 'VARIANT') || repeat('>', depth) AS spark_type
@@ -199,8 +199,8 @@ peel AS (
   SELECT program_id, context, type, type AS base_type, 0 AS step FROM refs
   UNION ALL
   SELECT program_id, context, type, CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' ELSE x::VARCHAR END, step + 1
-  FROM (SELECT program_id, context, type, step, coalesce(base_type::JSON -> '$.defined.name', base_type::JSON -> '$.defined',
-          base_type::JSON -> '$.option', base_type::JSON -> '$.vec', base_type::JSON -> '$.array[0]') AS x
+  FROM (SELECT program_id, context, type, step, coalesce(try_cast(base_type AS JSON) -> '$.defined.name', try_cast(base_type AS JSON) -> '$.defined',
+          try_cast(base_type AS JSON) -> '$.option', try_cast(base_type AS JSON) -> '$.vec', try_cast(base_type AS JSON) -> '$.array[0]') AS x
         FROM peel WHERE starts_with(base_type, '{')) WHERE x IS NOT NULL),
 bare AS (SELECT * FROM peel QUALIFY row_number() OVER (PARTITION BY program_id, context, type ORDER BY step DESC) = 1)
 SELECT program_id, context, type, base_type FROM bare

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone: zone-less times are read as UTC everywhere."""
+_SHIPPED = "spark.ixlake.shipped"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session fit for the engine.
+
+    Pins the time zone, since zone-less times are read as UTC everywhere, and ships this
+    package to the Python workers once per application.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(_SHIPPED, None) != spark.sparkContext.applicationId:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ixlake-package-")) / "ixlake_package.zip"
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for source in sorted(package.rglob("*.py")):
+                bundle.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
     return spark
 
 

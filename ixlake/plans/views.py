@@ -103,10 +103,14 @@ def v_tx(spark: SparkSession, d: str) -> DataFrame:
             "array(concat('A', l_orderkey), concat('B', l_linenumber), concat('N', l_suppkey))))"
         )
 
+    first = element("l_suppkey", _NAME_0, "l_partkey")
+    second = element("l_partkey", _NAME_1, "l_partkey")
+    third = element("l_suppkey", _NAME_0, "l_suppkey")
     instructions = (
-        f"array_compact(array({element('l_suppkey', _NAME_0, 'l_partkey')}, "
-        f"if(l_linenumber % 2 = 0, {element('l_partkey', _NAME_1, 'l_partkey')}, NULL), "
-        f"if(l_linenumber % 6 = 0, {element('l_suppkey', _NAME_0, 'l_suppkey')}, NULL)))"
+        "CASE WHEN l_partkey % 40 = 0 THEN NULL "
+        f"WHEN l_partkey % 40 = 1 THEN slice(array({first}), 1, 0) "
+        f"WHEN l_linenumber % 6 = 0 THEN array({first}, {second}, {third}) "
+        f"WHEN l_linenumber % 2 = 0 THEN array({first}, {second}) ELSE array({first}) END"
     )
     return table(spark, d, "lineitem").selectExpr(
         "concat('TX', l_orderkey, '-', l_linenumber) AS signature",
@@ -118,8 +122,7 @@ def v_tx(spark: SparkSession, d: str) -> DataFrame:
         "concat('Moved ', cast(l_quantity AS bigint), ' units of part ', l_partkey) END AS description",
         "l_partkey AS feed_partition",
         "l_suppkey AS feed_offset",
-        f"CASE l_partkey % 40 WHEN 0 THEN NULL WHEN 1 THEN slice({instructions}, 1, 0) "
-        f"ELSE {instructions} END AS instructions",
+        f"{instructions} AS instructions",
     )
 
 

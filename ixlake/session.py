@@ -8,11 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Generated methods above 8000 bytes of bytecode are never compiled by the JVM's JIT, so
+# wide decode projections must fall back to split methods rather than one huge one.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    HUGE_METHOD[0]: HUGE_METHOD[1],
 }
 
 
@@ -39,10 +44,11 @@ _SHIPPED = "spark.ixlake.shipped"
 def prepare(spark: SparkSession) -> SparkSession:
     """Make a session fit for the engine.
 
-    Pins the time zone, since zone-less times are read as UTC everywhere, and ships this
-    package to the Python workers once per application.
+    Pins the time zone, since zone-less times are read as UTC everywhere, bounds the size
+    of generated methods, and ships this package to the Python workers once per application.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(*HUGE_METHOD)
     if spark.conf.get(_SHIPPED, None) != spark.sparkContext.applicationId:
         package = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="ixlake-package-")) / "ixlake_package.zip"

@@ -6,6 +6,11 @@ spread over the cluster, and no step shuffles.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ixlake import constants as K
@@ -335,8 +340,8 @@ def collisions(parsed: DataFrame) -> DataFrame:
 def layouts(parsed: DataFrame) -> DataFrame:
     """(program_id, instruction, table_name, disc, layout): what a decoder needs.
 
-    ``layout`` is the JSON of the argument list, the resolved column names, and the
-    document's named types; small next to the transactions that use it.
+    ``layout`` is the JSON of the argument list, the resolved column names, and the named
+    types those arguments reach; it travels with every payload, so it is kept short.
     """
     names = resolve_names(
         F.transform("args", lambda a: a["name"]), tuple(n for n, _ in K.IX_ENVELOPE)
@@ -346,6 +351,38 @@ def layouts(parsed: DataFrame) -> DataFrame:
         F.transform("args", lambda a: a["type"]).alias("fields"),
         _list(F.col("types"), IDL.split("types:array<")[1].split(">>,events")[0] + ">").alias("types"),
     )
-    return instructions(parsed).select(
+    full = instructions(parsed).select(
         "program_id", "instruction", "table_name", "disc", F.to_json(body).alias("layout")
     )
+    return full.mapInPandas(_shorten, full.schema)
+
+
+def _names_in(value: object, defined: dict[str, object]) -> set[str]:
+    """Defined type names that occur in a JSON value."""
+    if isinstance(value, str):
+        nested = json.loads(value) if value.startswith("{") else None
+        return _names_in(nested, defined) if nested else {value} & defined.keys()
+    if isinstance(value, dict):
+        value = list(value.values())
+    if isinstance(value, list):
+        return set().union(*(_names_in(v, defined) for v in value))
+    return set()
+
+
+@lru_cache(maxsize=4096)
+def only_reached_types(layout: str) -> str:
+    """Drop the named types that no argument leads to."""
+    body = json.loads(layout)
+    defined = {t["name"]: t["type"] for t in body["types"]}
+    reached: set[str] = set()
+    new = _names_in(body["fields"], defined)
+    while new:
+        reached |= new
+        new = set().union(*(_names_in(defined[n], defined) for n in new)) - reached
+    body["types"] = [t for t in body["types"] if t["name"] in reached]
+    return json.dumps(body, separators=(",", ":"))
+
+
+def _shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(layout=batch["layout"].map(only_reached_types))

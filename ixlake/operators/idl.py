@@ -21,7 +21,7 @@ _CORRUPT = "_corrupt"
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """``docs(path, text)`` to ``(program_id, idl_name, idl)``.
+    """``docs(path, text)`` to ``(program_id, idl_name, idl)``, and ``modified`` if given.
 
     The program id is the document's address, else its file name; ids shorter than an
     address and documents that are not JSON are left out.
@@ -33,17 +33,22 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     )
     file_name = F.regexp_extract("path", r"([^/]+?)(\.json)?$", 1)
     return (
-        docs.select("path", parsed.alias("idl"))
+        docs.select("path", parsed.alias("idl"), *_modified(docs))
         .filter(f"idl IS NOT NULL AND idl.{_CORRUPT} IS NULL")
         .select(
             or_default(F.col("idl.address"), file_name).alias("program_id"),
             or_default(F.col("idl.name"), "Unknown").alias("idl_name"),
             "idl",
+            *_modified(docs),
         )
         .filter(F.length("program_id") >= K.MIN_PROGRAM_ID_LENGTH)
     )
 
 
+def _modified(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "modified"]
+
+
 def _list(value: Column, element: str) -> Column:
     return F.coalesce(value, F.from_json(F.lit("[]"), f"array<{element}>"))
 
@@ -71,8 +76,15 @@ def instructions(parsed: DataFrame) -> DataFrame:
         F.array_join(F.transform("ix.discriminator", lambda b: F.lpad(F.hex(b), 2, "0")), "")
     )
     return (
-        parsed.select("program_id", "idl_name", F.col("idl.types").alias("types"), F.posexplode(items).alias("ix_pos", "ix"))
+        parsed.select(
+            "program_id",
+            "idl_name",
+            *_modified(parsed),
+            F.col("idl.types").alias("types"),
+            F.posexplode(items).alias("ix_pos", "ix"),
+        )
         .select(
+            *_modified(parsed),
             "program_id",
             "idl_name",
             "ix_pos",
@@ -352,7 +364,7 @@ def layouts(parsed: DataFrame) -> DataFrame:
         _list(F.col("types"), IDL.split("types:array<")[1].split(">>,events")[0] + ">").alias("types"),
     )
     full = instructions(parsed).select(
-        "program_id", "instruction", "table_name", "disc", F.to_json(body).alias("layout")
+        *_modified(parsed), "program_id", "instruction", "table_name", "disc", F.to_json(body).alias("layout")
     )
     return full.mapInPandas(_shorten, full.schema)
 

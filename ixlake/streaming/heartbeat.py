@@ -22,9 +22,9 @@ class _Presence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("presence", "shard_count bigint, last timestamp")
+        self.state = handle.getValueState("presence", "shard_count bigint, last_ns bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.state.get() if self.state.exists() else None
         first, last = (stored[0], pd.Timestamp(stored[1])) if stored is not None else (None, None)
         # Only the earliest and the latest row matter: chunks are reduced as they arrive.
@@ -37,14 +37,14 @@ class _Presence(StatefulProcessor):
             last = newest if last is None else max(last, newest)
         if first is None:
             first = int(earliest["shard_count"])
-        self.state.update((int(first), last.to_pydatetime()))
+        self.state.update((int(first), last.value))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         # A heartbeat exactly at the limit still counts as alive.
         self.handle.registerTimer(int(last.timestamp() * 1000) + self.minutes * 60_000 + 1)
         yield self._row(key, first, K.ONLINE, last)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         first, last = self.state.get()
         yield self._row(key, first, K.OFFLINE, pd.Timestamp(last))
 

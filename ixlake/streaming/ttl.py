@@ -29,9 +29,9 @@ class _Accept(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.accepted = handle.getValueState("accepted", "at timestamp")
+        self.accepted = handle.getValueState("accepted", "at_ns bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.accepted.get() if self.accepted.exists() else None
         last = pd.Timestamp(stored[0]) if stored is not None else None
         batch = pd.concat(rows).sort_values(self.order)
@@ -41,13 +41,13 @@ class _Accept(StatefulProcessor):
                 kept.append(position)
                 last = at
         if kept:
-            self.accepted.update((last.to_pydatetime(),))
+            self.accepted.update((last.value,))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int((last + self.ttl).timestamp() * 1000) + 1)
             yield batch.iloc[kept][self.columns]
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark passed the end of the period: the key may be forgotten."""
         self.accepted.clear()
         return iter(())

@@ -32,9 +32,10 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         {"columnNameOfCorruptRecord": _CORRUPT},
     )
     file_name = F.regexp_extract("path", r"([^/]+?)(\.json)?$", 1)
+    # A one-element explode keeps the parse from being copied into each filter and field.
     return (
-        docs.select("path", parsed.alias("idl"), *_modified(docs))
-        .filter(f"idl IS NOT NULL AND idl.{_CORRUPT} IS NULL")
+        docs.select("path", *_modified(docs), F.explode(F.array(parsed)).alias("idl"))
+        .filter(f"idl.{_CORRUPT} IS NULL")
         .select(
             or_default(F.col("idl.address"), file_name).alias("program_id"),
             or_default(F.col("idl.name"), "Unknown").alias("idl_name"),

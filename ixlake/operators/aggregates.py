@@ -12,12 +12,16 @@ from ixlake import constants as K
 def node_availability(log: DataFrame) -> DataFrame:
     """Per node over the heartbeat log; status is the largest text, as the view defines it.
 
-    The distinct count is planned as a first aggregation on (node, root), so a hot node is
-    spread over its roots before the exchange on the node.
+    Repeated heartbeats collapse first, in hash aggregations before and after an exchange
+    on (node, root, status): a hot node is spread over its roots, and the text maximum,
+    which needs a sort, runs on the collapsed rows.
     """
-    return log.groupBy("node_pubkey").agg(
+    collapsed = log.groupBy("node_pubkey", "merkle_root", "status").agg(
+        F.sum("shard_count").alias("shards"), F.max("ts").alias("ts")
+    )
+    return collapsed.groupBy("node_pubkey").agg(
         F.countDistinct("merkle_root").alias("files_locked"),
-        F.sum("shard_count").alias("total_shards"),
+        F.sum("shards").alias("total_shards"),
         F.max("ts").alias("last_seen"),
         F.max("status").alias("current_status"),
     )

@@ -54,23 +54,28 @@ def ttl_dedup(
     ordinary size are folded over their sorted times. A hot key is never gathered: its
     accepted rows are found by following successor links with joins (:func:`_follow`).
     """
-    instants = df.groupBy(*keys, ts).agg(F.min(tie).alias(tie))
-    hot = hot_keys(df.select(*keys), keys, fold_rows)
+    arrivals = df.select(*keys, ts, tie)
+    hot = hot_keys(arrivals, keys, fold_rows)
     if hot is None:
-        accepted = _fold(instants, keys, ts, tie, ttl_seconds)
+        accepted = _fold(arrivals, keys, ts, tie, ttl_seconds)
     else:
+        instants = (
+            arrivals.join(hot, keys, "left_semi").groupBy(*keys, ts).agg(F.min(tie).alias(tie))
+        )
         accepted = _fold(
-            instants.join(hot, keys, "left_anti"), keys, ts, tie, ttl_seconds
-        ).unionByName(_follow(instants.join(hot, keys, "left_semi"), keys, ts, tie, ttl_seconds))
+            arrivals.join(hot, keys, "left_anti"), keys, ts, tie, ttl_seconds
+        ).unionByName(_follow(instants, keys, ts, tie, ttl_seconds))
     if set(df.columns) == {*keys, ts, tie}:
         return accepted.select(*df.columns)
     return df.join(accepted, [*keys, ts, tie], "left_semi")
 
 
-def _fold(instants: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int) -> DataFrame:
+def _fold(arrivals: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int) -> DataFrame:
+    """One exchange on the key; a key has at most ``fold_rows`` rows here. Of equal times
+    the lowest tie comes first and is the one that can be accepted."""
     times = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"))))
     ttl = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
-    grouped = instants.groupBy(*keys).agg(times.alias("_times"))
+    grouped = arrivals.groupBy(*keys).agg(times.alias("_times"))
     first = F.slice("_times", 1, 1)
 
     def step(kept: Column, row: Column) -> Column:

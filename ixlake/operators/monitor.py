@@ -21,14 +21,20 @@ def slot_gaps(log: DataFrame, threshold: int = K.GAP_SLOTS, bucket: int = GAP_BU
         "bucket", F.expr(f"slot DIV {bucket}")
     )
     inside = slots.select(
+        "bucket",
         F.lag("slot").over(Window.partitionBy("bucket").orderBy("slot")).alias("gap_start"),
         F.col("slot").alias("gap_end"),
     )
-    borders = slots.groupBy("bucket").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+    # Built on the same windowed rows, so the scan and its exchanges run once.
+    borders = inside.groupBy("bucket").agg(
+        F.min(F.when(F.col("gap_start").isNull(), F.col("gap_end"))).alias("first"),
+        F.max("gap_end").alias("last"),
+    )
     across = borders.select(
         F.lag("last").over(Window.orderBy("bucket")).alias("gap_start"),
         F.col("first").alias("gap_end"),
     )
+    inside = inside.drop("bucket")
     gap = F.col("gap_end") - F.col("gap_start")
     return inside.unionByName(across).filter(gap > threshold).withColumn("gap", gap)
 

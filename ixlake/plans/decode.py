@@ -224,19 +224,22 @@ def decode_layouts(spark, d):
     return _note_fields(_decoded_notes(spark, d), "signature", "feed_partition", "feed_offset", "error")
 
 
-def _note_fields(decoded, *kept):
-    def arg(path: str, kind: str):
-        return F.get_json_object("args", path).cast(kind)
+_ARGS = (
+    "text string, amounts array<string>, memo int, "
+    "leg struct<side:struct<Sell:struct<price:string>>,size:bigint>, shardCount bigint"
+)
 
-    return decoded.select(
+
+def _note_fields(decoded, *kept):
+    return decode.typed_args(decoded.select(*kept, "table_name", "args"), _ARGS).select(
         *kept,
         "table_name",
-        arg("$.text", "string").alias("text"),
-        arg("$.amounts[1]", "string").alias("second_amount"),
-        arg("$.memo", "int").alias("memo"),
-        arg("$.leg.side.Sell.price", "string").alias("sell_price"),
-        arg("$.leg.size", "bigint").alias("leg_size"),
-        arg("$.shardCount", "bigint").alias("shard_count"),
+        "text",
+        F.get("amounts", F.lit(1)).alias("second_amount"),
+        "memo",
+        F.col("leg.side.Sell.price").alias("sell_price"),
+        F.col("leg.size").alias("leg_size"),
+        F.col("shardCount").alias("shard_count"),
     )
 
 

@@ -16,7 +16,6 @@ from ixlake.plans.views import (
     v_tx,
     with_views,
 )
-from ixlake.operators.ingest import join_catalog
 
 
 @query(
@@ -122,9 +121,8 @@ def program_stats(spark, d):
 )
 def program_stats_indexed(spark, d):
     """Calls of every cataloged instruction over all transactions, straight from the feed."""
-    catalog = v_catalog(spark, d)
-    calls = join_catalog(v_ix(spark, d), catalog).withColumnRenamed("name", "instruction")
-    return aggregates.program_stats(calls, catalog)
+    calls = v_ix(spark, d).select("program_id", F.col("name").alias("instruction"))
+    return aggregates.program_stats(calls, v_catalog(spark, d))
 
 
 @query(

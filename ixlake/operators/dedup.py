@@ -12,6 +12,8 @@ from ixlake.session import durable
 
 # A key with more rows than this is not gathered into one array.
 FOLD_ROWS = 200_000
+# Hot-key lists up to this size are broadcast; longer ones are joined by exchange.
+BROADCAST_KEYS = 100_000
 
 
 def insert_ignore(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -32,12 +34,14 @@ def insert_new(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame
 def hot_keys(df: DataFrame, keys: list[str], bound: int) -> DataFrame | None:
     """Keys with more than ``bound`` rows, or None when there is none.
 
-    Reads the key columns only and combines before the exchange. At most
-    ``rows / bound`` keys can be hot.
+    Reads the key columns only and combines before the exchange. The list is broadcast
+    when its counted size allows.
     """
-    hot = df.groupBy(*keys).count().filter(F.col("count") > bound).select(*keys)
-    hot = durable(hot)
-    return None if hot.isEmpty() else hot
+    hot = durable(df.groupBy(*keys).count().filter(F.col("count") > bound).select(*keys))
+    found = hot.count()
+    if found == 0:
+        return None
+    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
 
 
 def ttl_dedup(

@@ -98,9 +98,13 @@ class Extractor:
     def columns(self) -> list[str]:
         return [part.strip().split()[0] for part in self.schema.split(",")]
 
+    def keyed(self, tx: DataFrame) -> DataFrame:
+        """The transform's rows that have a key."""
+        return self.transform(tx).dropna(subset=list(self.keys))
+
     def rows(self, tx: DataFrame) -> DataFrame:
         """New rows, first write per key, in the table's columns."""
-        first = insert_ignore(self.transform(tx), list(self.keys), list(self.order))
+        first = insert_ignore(self.keyed(tx), list(self.keys), list(self.order))
         return first.select(*self.columns)
 
 

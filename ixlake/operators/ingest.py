@@ -52,6 +52,11 @@ def with_reason(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
+def missing_key_checks(*keys: str) -> dict[str, Column]:
+    """Checks that reject rows whose key column is NULL or empty."""
+    return {f"missing_{key}": F.coalesce(F.col(key), F.lit("")) != "" for key in keys}
+
+
 def split_quarantine(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows passing every check, and the rejected rows with their ``reason``."""
     judged = with_reason(df, checks)

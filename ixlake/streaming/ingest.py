@@ -34,7 +34,7 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
 
 def first_writes(tx: DataFrame, module: Extractor) -> DataFrame:
     """New rows of a module on a stream; replays carry the same content as the original."""
-    return module.transform(tx).dropDuplicates(list(module.keys)).select(*module.columns)
+    return module.keyed(tx).dropDuplicates(list(module.keys)).select(*module.columns)
 
 
 def start_modules(tx: DataFrame, registry: Registry, tables: str, checkpoints: str, **trigger) -> list[StreamingQuery]:

@@ -65,7 +65,11 @@ def ttl_dedup_exact(
     lateness: str = "1 hour",
 ) -> DataFrame:
     """Exact form: a dropped row does not extend the period, and a repeat exactly at its
-    end is accepted. State is one time per key, forgotten when the watermark passes it."""
+    end is accepted. State is one time per key, forgotten when the watermark passes it.
+
+    A key's rows of one micro-batch are sorted in memory; the source's rate limit
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds them.
+    """
     use_rocksdb(tx.sparkSession)
     columns = tx.columns
     return (

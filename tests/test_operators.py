@@ -274,6 +274,7 @@ def transactions(spark):
         ("TEST_SIG_ZK_001", 999999, 1, "p", None, [(K.PROOF_PROGRAM, "n", "stub", [])], 0, 3),
         ("TEST_SIG_NFT_001", 1, 1, "p", None, [(K.ASSET_PROGRAM, "CreateAndMint", None, None)], 0, 4),
         ("EMPTY", 1, 1, "p", None, [], 0, 5),
+        (None, 1, 1, "p", "no signature", [lend("liquidate")], 0, 6),
     ]
     return normalise(spark.createDataFrame(data, TX))
 
@@ -289,7 +290,9 @@ def test_extractors_on_mock_transactions(spark):
     assert rows(tables["proof_logs"], "signature", "slot", "state_root", "verification_status") == [
         ("TEST_SIG_ZK_001", 999999, "extracted_root_stub", "PENDING")
     ]
-    assert ingest.explode_instructions(transactions(spark)).count() == 5
+    assert ingest.explode_instructions(transactions(spark)).count() == 6
+    good, bad = ingest.split_quarantine(transactions(spark), ingest.missing_key_checks("signature"))
+    assert good.count() == 6 and rows(bad, "reason") == [("missing_signature",)]
 
 
 def test_heartbeat_extractor(spark):

@@ -11,9 +11,14 @@ from ixlake.functions.text import or_default
 
 
 def explode_instructions(tx: DataFrame) -> DataFrame:
-    """One row per instruction; a missing or empty list gives no row. No shuffle."""
+    """One row per instruction; a missing or empty list gives no row. No shuffle.
+
+    The outer form and a filter behind it, because the inner form infers a size test that
+    evaluates a computed list a second time, below the operators under it.
+    """
     kept = [c for c in tx.columns if c != "instructions"]
-    return tx.select(*kept, F.posexplode("instructions").alias("ix_index", "ix")).select(
+    exploded = tx.select(*kept, F.posexplode_outer("instructions").alias("ix_index", "ix"))
+    return exploded.filter("ix_index IS NOT NULL").select(
         *kept,
         "ix_index",
         F.col("ix.programId").alias("program_id"),

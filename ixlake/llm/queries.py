@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ixlake.llm.common import documents
+from ixlake.llm.language import identify_documents
 from ixlake.llm.mixing import mix_documents
+from ixlake.llm.packing import pack_documents
 from ixlake.llm.quality import judge_documents
 from ixlake.llm.secrets import scan_documents
 from ixlake.llm.sharding import shard_documents
+from ixlake.llm.tokenfile import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,14 +33,29 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_packing": op7_packing,
+    "op8_language": op8_language,
     "op9_sharding": op9_sharding,
+    "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {}

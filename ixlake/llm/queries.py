@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ixlake.llm.common import documents
+from ixlake.llm.covertree import near_vectors
 from ixlake.llm.language import identify_documents
+from ixlake.llm.lines import dedup_lines
+from ixlake.llm.minhash import near_duplicates
 from ixlake.llm.mixing import mix_documents
 from ixlake.llm.packing import pack_documents
 from ixlake.llm.quality import judge_documents
@@ -18,6 +22,18 @@ from ixlake.llm.tokenfile import round_trip
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words and 85 per cent, as this query is defined; the operator's defaults are 5 and 80."""
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.crc32(text.cast("binary")).alias("text_crc32"), F.length(text).cast("long").alias("n_chars")
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(documents(spark, sf_dir))
 
@@ -26,6 +42,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -50,8 +70,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_language": op8_language,

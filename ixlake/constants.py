@@ -17,6 +17,7 @@ ASSET_PROGRAM = "CoREENxT6tW1HoK8ypY1SxRMZTcVPm7R94rH4PZNhX7d"
 UNKNOWN_SIGNATURE = "unknown"
 UNKNOWN_SIGNER = "Unknown"
 UNKNOWN_NODE = "Unknown"
+NO_SLOT = "unknown"
 DEFAULT_REPAID = "0"
 STATE_ROOT_STUB = "extracted_root_stub"
 PENDING = "PENDING"

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ixlake import constants as K
 from ixlake.functions.text import micros
-from ixlake.session import durable
-
-# A key with more rows than this is not gathered into one array.
-FOLD_ROWS = 200_000
-# Hot-key lists up to this size are broadcast; longer ones are joined by exchange.
-BROADCAST_KEYS = 100_000
 
 
 def insert_ignore(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -31,127 +28,80 @@ def insert_new(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame
     return df.join(existing.select(*keys), keys, "left_anti")
 
 
-def hot_keys(df: DataFrame, keys: list[str], bound: int) -> DataFrame | None:
-    """Keys with more than ``bound`` rows, or None when there is none.
+def ttl_checks(keys: list[str], ts: str) -> dict[str, Column]:
+    """Checks that reject rows without a key or a time, for ``split_quarantine``."""
+    return {f"missing_{name}": F.col(name).isNotNull() for name in (*keys, ts)}
+
 
-    Reads the key columns only and combines before the exchange. The list is broadcast
-    when its counted size allows.
+def _quiet_periods(rows: DataFrame, keys: list[str], ttl: int) -> DataFrame:
+    """(keys, cell, period): a key's time cells numbered by the quiet times before them.
+
+    After a time of at least ``ttl`` without any row the next row is accepted whatever came
+    before, so the rule can start anew there. Borders of the cells, one ``ttl`` wide, tell
+    where; a key has one row per cell here.
     """
-    hot = durable(df.groupBy(*keys).count().filter(F.col("count") > bound).select(*keys))
-    found = hot.count()
-    if found == 0:
-        return None
-    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
+    cells = rows.groupBy(*keys, "_cell").agg(F.min("_t").alias("low"), F.max("_t").alias("high"))
+    inside = Window.partitionBy(*keys).orderBy("_cell")
+    fresh = F.col("low") - F.lag("high").over(inside) >= ttl
+    return cells.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int")).select(
+        *keys, "_cell", F.sum("_fresh").over(inside).alias("_period")
+    )
+
+
+def _accepting(names: list[str], groups: list[str], ttl: int):
+    """Pass over sorted rows that keeps one number: the time of the last accepted row."""
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[object] | None = None
+        last = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = batch.column("_t").to_pylist()
+            columns = [batch.column(g) for g in groups]
+            starts = np.ones(batch.num_rows, bool)
+            starts[0] = held is None or held != [c[0].as_py() for c in columns]
+            if batch.num_rows > 1:
+                changed = np.zeros(batch.num_rows - 1, bool)
+                for c in columns:
+                    changed |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+                starts[1:] = changed
+            kept = []
+            for at, (t, start) in enumerate(zip(times, starts.tolist(), strict=True)):
+                if start or t - last >= ttl:
+                    kept.append(at)
+                    last = t
+            held = [c[batch.num_rows - 1].as_py() for c in columns]
+            yield batch.select(names).take(pa.array(kept, pa.int64()))
+
+    return accept
 
 
 def ttl_dedup(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie: str,
-    ttl_seconds: int = K.TTL_SECONDS,
-    fold_rows: int = FOLD_ROWS,
+    df: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int = K.TTL_SECONDS, split: bool = True
 ) -> DataFrame:
     """Drop a row when its key was *accepted* less than ``ttl_seconds`` ago.
 
-    A dropped row does not extend the period, so the rule is sequential per key. Keys of
-    ordinary size are folded over their sorted times. A hot key is never gathered: its
-    accepted rows are found by following successor links with joins (:func:`_follow`).
-    """
-    arrivals = df.select(*keys, ts, tie)
-    hot = hot_keys(arrivals, keys, fold_rows)
-    if hot is None:
-        accepted = _fold(arrivals, keys, ts, tie, ttl_seconds)
-    else:
-        instants = (
-            arrivals.join(hot, keys, "left_semi").groupBy(*keys, ts).agg(F.min(tie).alias(tie))
-        )
-        accepted = _fold(
-            arrivals.join(hot, keys, "left_anti"), keys, ts, tie, ttl_seconds
-        ).unionByName(_follow(instants, keys, ts, tie, ttl_seconds))
-    if set(df.columns) == {*keys, ts, tie}:
-        return accepted.select(*df.columns)
-    return df.join(accepted, [*keys, ts, tie], "left_semi")
-
-
-def _fold(arrivals: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int) -> DataFrame:
-    """One exchange on the key; a key has at most ``fold_rows`` rows here. Of equal times
-    the lowest tie comes first and is the one that can be accepted."""
-    times = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"))))
-    ttl = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
-    grouped = arrivals.groupBy(*keys).agg(times.alias("_times"))
-    first = F.slice("_times", 1, 1)
-
-    def step(kept: Column, row: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return F.when(row["t"] >= last["t"] + ttl, F.concat(kept, F.array(row))).otherwise(kept)
-
-    rest = F.slice("_times", F.lit(2), F.size("_times"))
-    kept = F.aggregate(rest, first, step)
-    return grouped.select(*keys, F.inline(kept).alias(ts, tie))
-
-
-def _successors(points: DataFrame, keys: list[str], ttl: int) -> DataFrame:
-    """For each (key, t): the first t' >= t + ttl of the same key, or NULL.
-
-    A forward as-of join inside small time cells. Cells bound what one window partition
-    holds; a probe that finds nothing in its own cell takes the first time of the next
-    non-empty one, looked up in a table with one row per (key, cell).
-    """
-    cell_width = max(1, ttl // 1440)
-
-    def cell(t: Column) -> Column:
-        return F.floor(t / F.lit(cell_width)).cast("bigint")
-
-    data = points.select(*keys, cell(F.col("t")).alias("cell"), "t", F.lit(None).cast("bigint").alias("src"))
-    probes = points.select(*keys, cell(F.col("t") + ttl).alias("cell"), (F.col("t") + ttl).alias("t"), F.col("t").alias("src"))
-    # Latest first; at equal times data precedes probes (NULL src sorts first).
-    inside = (
-        Window.partitionBy(*keys, "cell")
-        .orderBy(F.col("t").desc(), F.col("src").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = (
-        data.unionByName(probes)
-        .withColumn("nxt", F.min(F.when(F.col("src").isNull(), F.col("t"))).over(inside))
-        .filter("src IS NOT NULL")
-    )
-    first_in_cell = data.groupBy(*keys, "cell").agg(F.min("t").alias("cell_first"))
-    after = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("cell").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    asked = found.filter("nxt IS NULL").select(*keys, "cell").distinct()
-    next_cell = (
-        first_in_cell.unionByName(asked.withColumn("cell_first", F.lit(None).cast("bigint")))
-        .groupBy(*keys, "cell")
-        .agg(F.min("cell_first").alias("cell_first"))
-        .withColumn("next_first", F.min("cell_first").over(after))
-        .select(*keys, "cell", "next_first")
-    )
-    return found.join(next_cell, [*keys, "cell"], "left").select(
-        *keys, F.col("src").alias("t"), F.coalesce("nxt", "next_first").alias("nxt")
-    )
-
+    A dropped row does not extend the period, so the rule is sequential per key. Rows are
+    exchanged by key and quiet period, sorted there by time and tie, and passed once with
+    the last accepted time as the only state: no key is gathered, whatever its size. Of
+    equal times one row, with the lowest tie, is accepted. Without ``split`` a key isn't cut
+    at its quiet periods; the rows are the same.
 
-def _follow(instants: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int) -> DataFrame:
-    """Accepted rows of hot keys by pointer doubling.
-
-    Accepted rows are the ones reached from the first row over successor links. Each round
-    adds the successors of everything reached so far and doubles the links, so the number
-    of rounds is the logarithm of (time range / ttl); the work is joins on (key, t), which
-    spread one key over the cluster.
+    Rows without a key or a time cannot be judged and are left out: take them from
+    ``split_quarantine`` with :func:`ttl_checks`.
     """
     ttl = ttl_seconds * 1_000_000
-    instants = durable(instants.withColumn("t", micros(F.col(ts))))
-    bounds = instants.agg(F.min("t"), F.max("t")).first()
-    rounds = max(1, math.ceil(math.log2((bounds[1] - bounds[0]) / ttl + 2)))
-    links = durable(_successors(instants.select(*keys, "t"), keys, ttl).filter("nxt IS NOT NULL"))
-    reached = instants.groupBy(*keys).agg(F.min("t").alias("t"))
-    for _ in range(rounds):
-        onward = reached.join(links, [*keys, "t"]).select(*keys, F.col("nxt").alias("t"))
-        reached = durable(reached.unionByName(onward).distinct())
-        second = links.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
-        links = durable(links.join(second, [*keys, "nxt"]).select(*keys, "t", F.col("far").alias("nxt")))
-    return instants.join(reached, [*keys, "t"], "left_semi").select(*keys, ts, tie)
+    known = F.lit(True)
+    for check in ttl_checks(keys, ts).values():
+        known = known & check
+    rows = df.filter(known).withColumn("_t", micros(F.col(ts)))
+    groups = list(keys)
+    if split:
+        rows = rows.withColumn("_cell", F.floor(F.col("_t") / F.lit(ttl)).cast("bigint"))
+        rows = rows.join(_quiet_periods(rows.select(*keys, "_cell", "_t"), keys, ttl), [*keys, "_cell"])
+        groups.append("_period")
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, "_t", tie)
+    return ordered.select(*df.columns, *[g for g in groups if g not in df.columns], "_t").mapInArrow(
+        _accepting(df.columns, groups, ttl), df.schema
+    )

@@ -17,7 +17,7 @@ from ixlake.functions.binary import text_to_bytes
 from ixlake.functions.text import or_default, prefix
 from ixlake.operators.decode import heartbeat_decode
 from ixlake.operators.dedup import insert_ignore
-from ixlake.operators.ingest import explode_instructions, route_by_program
+from ixlake.operators.ingest import explode_instructions, missing_key_checks, route_by_program, split_quarantine
 
 # Arrival order of the feed: slot, then the source's partition and offset.
 ARRIVAL = ["slot", "feed_partition", "feed_offset"]
@@ -36,14 +36,15 @@ def liquidations(tx: DataFrame, programs: tuple[str, ...] = K.LENDING_PROGRAMS)
     )
 
 
-def narratives(tx: DataFrame) -> DataFrame:
+def narratives(tx: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """One narrative per described transaction; ``kept`` names input columns to carry along."""
     text = F.concat(
         F.lit("Transaction "),
         prefix(F.col("signature")),
         F.lit(": "),
         F.col("description"),
         F.lit(" at slot "),
-        F.col("slot").cast("string"),
+        F.coalesce(F.col("slot").cast("string"), F.lit(K.NO_SLOT)),
     )
     return tx.filter(F.coalesce(F.col("description"), F.lit("")) != "").select(
         "signature",
@@ -51,6 +52,7 @@ def narratives(tx: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("semantic_cluster"),
         F.col("ts").alias("timestamp"),
         *ARRIVAL,
+        *kept,
     )
 
 
@@ -98,9 +100,12 @@ class Extractor:
     def columns(self) -> list[str]:
         return [part.strip().split()[0] for part in self.schema.split(",")]
 
+    def judged(self, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The transform's rows that have a key, and those that don't with their ``reason``."""
+        return split_quarantine(self.transform(tx), missing_key_checks(*self.keys))
+
     def keyed(self, tx: DataFrame) -> DataFrame:
-        """The transform's rows that have a key."""
-        return self.transform(tx).dropna(subset=list(self.keys))
+        return self.judged(tx)[0]
 
     def rows(self, tx: DataFrame) -> DataFrame:
         """New rows, first write per key, in the table's columns."""

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ixlake import constants as K
 from ixlake.functions.text import or_default, snake_case, table_name
@@ -23,8 +23,17 @@ _CORRUPT = "_corrupt"
 def parse_documents(docs: DataFrame) -> DataFrame:
     """``docs(path, text)`` to ``(program_id, idl_name, idl)``, and ``modified`` if given.
 
-    The program id is the document's address, else its file name; ids shorter than an
-    address and documents that are not JSON are left out.
+    What :func:`split_documents` keeps.
+    """
+    return split_documents(docs)[0]
+
+
+def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Interface documents, and those that cannot be used as (path, text, reason).
+
+    The program id is the document's address, else its file name. Rejected are documents that
+    aren't JSON of the known shape (``not_a_document``) and ids shorter than an address
+    (``short_program_id``).
     """
     parsed = F.from_json(
         "text",
@@ -32,17 +41,43 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         {"columnNameOfCorruptRecord": _CORRUPT},
     )
     file_name = F.regexp_extract("path", r"([^/]+?)(\.json)?$", 1)
+    bad = F.col("idl").isNull() | F.col(f"idl.{_CORRUPT}").isNotNull()
     # A one-element explode keeps the parse from being copied into each filter and field.
-    return (
-        docs.select("path", *_modified(docs), F.explode(F.array(parsed)).alias("idl"))
-        .filter(f"idl.{_CORRUPT} IS NULL")
-        .select(
-            or_default(F.col("idl.address"), file_name).alias("program_id"),
-            or_default(F.col("idl.name"), "Unknown").alias("idl_name"),
-            "idl",
-            *_modified(docs),
+    judged = (
+        docs.select("path", "text", *_modified(docs), F.explode(F.array(parsed)).alias("idl"))
+        .withColumn("program_id", or_default(F.col("idl.address"), file_name))
+        .withColumn(
+            "reason",
+            F.when(bad, F.lit("not_a_document")).when(
+                ~F.coalesce(F.length("program_id") >= K.MIN_PROGRAM_ID_LENGTH, F.lit(False)), F.lit("short_program_id")
+            ),
         )
-        .filter(F.length("program_id") >= K.MIN_PROGRAM_ID_LENGTH)
+    )
+    kept = judged.filter("reason IS NULL").select(
+        "program_id", or_default(F.col("idl.name"), "Unknown").alias("idl_name"), "idl", *_modified(docs)
+    )
+    return kept, judged.filter("reason IS NOT NULL").select("path", "text", "reason")
+
+
+def newest_documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One document per program, the newest (then the greatest by content), and the others.
+
+    Repeated documents would otherwise multiply the rows of every join with the catalog.
+    """
+    age = [F.col(c).desc_nulls_last() for c in _modified(parsed)]
+    newest = Window.partitionBy("program_id").orderBy(*age, F.xxhash64("idl").desc())
+    ranked = parsed.withColumn("_rank", F.row_number().over(newest))
+    return ranked.filter("_rank = 1").drop("_rank"), ranked.filter("_rank > 1").drop("_rank")
+
+
+def _fields(texts: Column) -> Column:
+    """Fields as (name, type): an object's own, or a bare type named by its place."""
+    return F.transform(
+        _list(texts, "string"),
+        lambda text, at: F.when(
+            text.startswith("{") & F.get_json_object(text, "$.type").isNotNull(),
+            F.struct(F.get_json_object(text, "$.name").alias("name"), F.get_json_object(text, "$.type").alias("type")),
+        ).otherwise(F.struct(at.cast("string").alias("name"), text.alias("type"))),
     )
 
 
@@ -245,7 +280,7 @@ def acc_schema(parsed: DataFrame) -> DataFrame:
     ).select(
         "program_id",
         table_name("acc", F.col("acc.name")).alias("table_name"),
-        _list(F.col("acc.type.fields"), "struct<name:string,type:string>").alias("fields"),
+        _fields(F.col("acc.type.fields")).alias("fields"),
     )
     return _table_schema(accounts, F.col("fields"), K.ACC_ENVELOPE)
 
@@ -272,7 +307,7 @@ def _references(idl: Column) -> Column:
     )
     fields = under(
         idl["types"],
-        lambda t: refs(F.concat(F.lit("Type:"), t["name"]), t["type"]["fields"], ":Field:"),
+        lambda t: refs(F.concat(F.lit("Type:"), t["name"]), _fields(t["type"]["fields"]), ":Field:"),
     )
 
     def variant_refs(t: Column, v: Column) -> Column:

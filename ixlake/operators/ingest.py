@@ -59,7 +59,7 @@ def with_reason(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def missing_key_checks(*keys: str) -> dict[str, Column]:
     """Checks that reject rows whose key column is NULL or empty."""
-    return {f"missing_{key}": F.coalesce(F.col(key), F.lit("")) != "" for key in keys}
+    return {f"missing_{key}": F.coalesce(F.col(key).cast("string"), F.lit("")) != "" for key in keys}
 
 
 def split_quarantine(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

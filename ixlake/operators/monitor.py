@@ -6,37 +6,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ixlake import constants as K
 
-# Slots per bucket of the gap scan: 11 hours of chain time at 400 ms. A bucket holds at
-# most this many distinct slots, and a century of slots makes fewer than 80,000 buckets.
+# Slots per bucket of the gap scan, then buckets per coarser bucket: no group holds more rows
+# than this, up to the largest slot there can be.
 GAP_BUCKET = 100_000
+COARSER = 1_000
 
 
 def slot_gaps(log: DataFrame, threshold: int = K.GAP_SLOTS, bucket: int = GAP_BUCKET) -> DataFrame:
     """Neighbouring slots more than ``threshold`` apart: (gap_start, gap_end, gap).
 
-    No global sort: neighbours are found inside slot buckets, and the one pair that spans
-    a bucket border comes from a table with one (first, last) row per bucket.
+    No global sort: neighbours are found inside slot buckets. The pair that spans a bucket's border
+    comes from the (first, last) rows of the buckets, whose neighbours are found inside
+    coarser buckets in turn.
     """
-    slots = log.filter("slot IS NOT NULL").select("slot").distinct().withColumn(
-        "bucket", F.expr(f"slot DIV {bucket}")
-    )
-    inside = slots.select(
-        "bucket",
-        F.lag("slot").over(Window.partitionBy("bucket").orderBy("slot")).alias("gap_start"),
-        F.col("slot").alias("gap_end"),
-    )
-    # Built on the same windowed rows, so the scan and its exchanges run once.
-    borders = inside.groupBy("bucket").agg(
-        F.min(F.when(F.col("gap_start").isNull(), F.col("gap_end"))).alias("first"),
-        F.max("gap_end").alias("last"),
-    )
-    across = borders.select(
-        F.lag("last").over(Window.orderBy("bucket")).alias("gap_start"),
-        F.col("first").alias("gap_end"),
-    )
-    inside = inside.drop("bucket")
+    slots = log.filter("slot IS NOT NULL").select(F.col("slot").cast("bigint").alias("slot")).distinct()
+    spans = slots.select(F.col("slot").alias("first"), F.col("slot").alias("last"))
+    found, width = [], bucket
+    while True:
+        # One group of a few rows at last, keyed so that it needs no plan of its own.
+        key = F.expr(f"first DIV {width}") if width < 2**63 else F.expr("first % 1")
+        keyed = spans.withColumn("bucket", key)
+        inside = Window.partitionBy("bucket").orderBy("first")
+        found.append(keyed.select(F.lag("last").over(inside).alias("gap_start"), F.col("first").alias("gap_end")))
+        if width >= 2**63:
+            break
+        spans = keyed.groupBy("bucket").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        width *= COARSER
+    gaps = found[0]
+    for more in found[1:]:
+        gaps = gaps.unionByName(more)
     gap = F.col("gap_end") - F.col("gap_start")
-    return inside.unionByName(across).filter(gap > threshold).withColumn("gap", gap)
+    return gaps.filter(gap > threshold).withColumn("gap", gap)
 
 
 def cursor_audit(cursor: DataFrame, head: Column, threshold: int = K.GAP_SLOTS) -> DataFrame:

@@ -36,26 +36,44 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def _tail(df: DataFrame) -> list[Column]:
+    """What makes an order unique: the signature, then the place in the transaction."""
+    return [F.col(c).asc() for c in ("signature", "ix_index") if c in df.columns]
+
+
+def _newest_slot_first(df: DataFrame) -> list[Column]:
+    """Rows without a slot come last."""
+    return [F.col("slot").desc_nulls_last(), *_tail(df)]
+
+
 def page_by_time(df: DataFrame, limit: object = None, offset: object = None, page_size=K.LOG_PAGE, ts: str = "ts") -> Page:
     n, o = clamp_page(limit, offset, *page_size)
-    return Page(page(df, [F.col(ts).desc(), F.col("signature").asc()], n, o), n, o)
+    return Page(page(df, [F.col(ts).desc_nulls_last(), *_tail(df)], n, o), n, o)
 
 
 def page_by_slot(df: DataFrame, limit: object = None, offset: object = None, page_size=K.LOG_PAGE) -> Page:
     n, o = clamp_page(limit, offset, *page_size)
-    return Page(page(df, [F.col("slot").desc(), F.col("signature").asc()], n, o), n, o)
+    return Page(page(df, _newest_slot_first(df), n, o), n, o)
 
 
-def page_after(df: DataFrame, slot: int, signature: str, limit: object = None, page_size=K.LOG_PAGE) -> DataFrame:
-    """The page behind (slot, signature): deep paging at the cost of the first page.
+def page_after(
+    df: DataFrame, slot: int | None, signature: str, limit: object = None, page_size=K.LOG_PAGE, ix_index: int | None = None
+) -> DataFrame:
+    """The page behind a row: deep paging at the cost of the first page.
 
-    The predicate on ``slot`` reaches the scan, so files of newer slots are skipped.
+    The cursor is the last row seen: its slot, signature and, for a log of instructions,
+    its ``ix_index``. Rows without a slot follow all others. The predicate on ``slot`` reaches the
+    scan, so files of newer slots are skipped.
     """
     n, _ = clamp_page(limit, 0, *page_size)
-    behind = (F.col("slot") <= slot) & (
-        (F.col("slot") < slot) | (F.col("signature") > signature)
-    )
-    return page(df.filter(behind), [F.col("slot").desc(), F.col("signature").asc()], n)
+    later = F.col("signature") > signature
+    if ix_index is not None:
+        later = later | ((F.col("signature") == signature) & (F.col("ix_index") > ix_index))
+    if slot is None:
+        behind = F.col("slot").isNull() & later
+    else:
+        behind = F.col("slot").isNull() | (F.col("slot") < slot) | ((F.col("slot") == slot) & later)
+    return page(df.filter(behind), _newest_slot_first(df), n)
 
 
 def page_per_group(df: DataFrame, group: list[str], order: list[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ixlake import constants as K
@@ -17,7 +19,8 @@ from ixlake.plans.views import (
     v_tx,
     with_views,
 )
-from ixlake.sources.transactions import normalise, parse_batches
+from ixlake.sources.tables import table
+from ixlake.sources.transactions import normalise, parse_batches, split_batches
 
 ROW = ["signature", "feed_partition", "feed_offset"]
 
@@ -206,6 +209,36 @@ def insert_new(spark, d):
     return dedup.insert_new(v_tx(spark, d).select("signature").distinct(), existing, ["signature"])
 
 
+@query(
+    "feed_quarantine",
+    """
+    SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'not_an_array' WHEN event_id % 43 = 0 THEN 'broken_json'
+        ELSE CASE pos WHEN 0 THEN CASE WHEN event_id % 47 = 0 OR event_id % 53 = 0 THEN 'bad_slot' ELSE 'kept' END
+          ELSE CASE WHEN event_id % 59 = 0 THEN 'bad_timestamp' ELSE 'kept' END END END AS outcome,
+      CASE WHEN event_id % 41 <> 0 AND event_id % 43 <> 0 THEN 'E' || event_id || '-' || pos END AS signature
+    FROM (SELECT event_id, unnest(CASE WHEN event_id % 41 = 0 OR event_id % 43 = 0 THEN [0] ELSE [0, 1] END) AS pos FROM events)
+    """,
+)
+def feed_quarantine(spark, d):
+    """Pushed batches of two transactions, some broken: every one is kept or has a reason."""
+    slot = "CASE WHEN event_id % 47 = 0 THEN '\"x\"' WHEN event_id % 53 = 0 THEN '1.5' ELSE cast(event_id AS string) END"
+    first = f"concat('{{\"signature\":\"E', event_id, '-0\",\"slot\":', {slot}, '}}')"
+    second = (
+        "concat('{\"signature\":\"E', event_id, '-1\",\"timestamp\":', "
+        "if(event_id % 59 = 0, '\"soon\"', '5'), '}')"
+    )
+    text = (
+        f"CASE WHEN event_id % 41 = 0 THEN {first} "
+        f"WHEN event_id % 43 = 0 THEN concat('[', {first}, ',') ELSE concat('[', {first}, ',', {second}, ']') END"
+    )
+    batches = table(spark, d, "events").selectExpr("event_id", f"{text} AS value")
+    kept, rejected = split_batches(batches)
+    return kept.select("event_id", F.lit("kept").alias("outcome"), "signature").unionByName(
+        rejected.select("event_id", F.col("reason").alias("outcome"), F.get_json_object("text", "$.signature").alias("signature"))
+        .withColumn("signature", F.when(F.col("outcome").startswith("bad_"), F.col("signature")))
+    )
+
+
 _TTL_ORACLE = """
 , points AS (SELECT k, ts, min(event_id) AS event_id FROM
     (SELECT user_id || '/' || event_type AS k, ts, event_id FROM events) GROUP BY k, ts),
@@ -226,8 +259,43 @@ def ttl_dedup(spark, d):
 
 @query("ttl_dedup_hot", "WITH RECURSIVE one AS (SELECT 1)" + _TTL_ORACLE)
 def ttl_dedup_hot(spark, d):
-    """The same rule with every key of more than 20 rows treated as hot."""
-    return dedup.ttl_dedup(v_arrivals(spark, d), ["key"], "ts", "event_id", fold_rows=20)
+    """The same rule without cutting keys at their quiet periods: a key is one run of rows."""
+    return dedup.ttl_dedup(v_arrivals(spark, d), ["key"], "ts", "event_id", split=False)
+
+
+@query(
+    "ttl_dedup_defects",
+    """
+    WITH RECURSIVE rows AS (
+      SELECT CASE WHEN event_id % 41 <> 0 THEN user_id || '/' || event_type END AS key,
+        CASE WHEN event_id % 37 <> 0 THEN ts END AS ts, event_id, value FROM events),
+    points AS (SELECT key AS k, ts, min(event_id) AS event_id FROM rows
+      WHERE key IS NOT NULL AND ts IS NOT NULL GROUP BY k, ts),
+    kept AS (
+      SELECT k, min(ts) AS ts FROM points GROUP BY k
+      UNION ALL
+      SELECT kept.k, (SELECT min(p.ts) FROM points p WHERE p.k = kept.k
+        AND p.ts >= kept.ts + INTERVAL 24 HOURS) AS ts
+      FROM kept WHERE kept.ts IS NOT NULL)
+    SELECT 'accepted' AS outcome, event_id, value FROM kept JOIN points USING (k, ts) JOIN rows USING (event_id)
+    UNION ALL
+    SELECT CASE WHEN key IS NULL THEN 'missing_key' ELSE 'missing_ts' END, event_id, value FROM rows
+    WHERE key IS NULL OR ts IS NULL
+    """,
+)
+def ttl_dedup_defects(spark, d):
+    """Rows with payload, some without key or time: accepted ones, and rejected ones by reason."""
+    arrivals = table(spark, d, "events").selectExpr(
+        "if(event_id % 41 = 0, NULL, concat(user_id, '/', event_type)) AS key",
+        "if(event_id % 37 = 0, NULL, ts) AS ts",
+        "event_id",
+        "value",
+    )
+    good, rejected = ingest.split_quarantine(arrivals, dedup.ttl_checks(["key"], "ts"))
+    accepted = dedup.ttl_dedup(good, ["key"], "ts", "event_id")
+    return accepted.select(F.lit("accepted").alias("outcome"), "event_id", "value").unionByName(
+        rejected.select(F.col("reason").alias("outcome"), "event_id", "value")
+    )
 
 
 _LIQUIDATIONS = """
@@ -275,6 +343,52 @@ def narratives(spark, d):
     return extract.NARRATIVES.rows(v_tx(spark, d))
 
 
+@query(
+    "narratives_missing_slot",
+    with_views(
+        """
+        SELECT signature, 'Transaction ' || signature[:8] || ': ' || description || ' at slot ' ||
+          coalesce(s::VARCHAR, 'unknown') AS narrative, s AS slot
+        FROM (SELECT *, CASE WHEN feed_partition % 41 <> 5 THEN slot END AS s FROM v_tx)
+        WHERE coalesce(description, '') <> ''
+        QUALIFY row_number() OVER (PARTITION BY signature ORDER BY s NULLS FIRST, feed_partition, feed_offset) = 1
+        """,
+        "v_tx",
+    ),
+)
+def narratives_missing_slot(spark, d):
+    """A transaction without a slot keeps its narrative."""
+    slot = F.when(F.col("feed_partition") % 41 != 5, F.col("slot"))
+    rows = extract.NARRATIVES.rows(v_tx(spark, d).withColumn("slot", slot))
+    return rows.select("signature", "narrative", "slot")
+
+
+@query(
+    "extractor_quarantine",
+    with_views(
+        """
+        SELECT CASE WHEN k IS NULL OR k = '' THEN 'missing_signature' ELSE 'kept' END AS outcome,
+          k AS signature, feed_partition, feed_offset, description
+        FROM (SELECT *, CASE WHEN feed_partition % 41 = 0 THEN NULL WHEN feed_partition % 43 = 0 THEN ''
+                ELSE signature END AS k FROM v_tx)
+        WHERE coalesce(description, '') <> ''
+        """,
+        "v_tx",
+    ),
+)
+def extractor_quarantine(spark, d):
+    """A module's rows with a key and, apart from them, those without: together all of them."""
+    part = F.col("feed_partition")
+    key = F.when(part % 41 == 0, F.lit(None)).when(part % 43 == 0, F.lit("")).otherwise(F.col("signature"))
+    tx = v_tx(spark, d).withColumn("signature", key)
+    module = replace(extract.NARRATIVES, transform=lambda t: extract.narratives(t, kept=("description",)))
+    kept, rejected = module.judged(tx)
+    columns = ["signature", "feed_partition", "feed_offset", "description"]
+    return kept.select(F.lit("kept").alias("outcome"), *columns).unionByName(
+        rejected.select(F.col("reason").alias("outcome"), *columns)
+    )
+
+
 @query(
     "proof_log",
     _over([_PROOFS], "SELECT signature, slot, state_root, verification_status, timestamp FROM prf"),

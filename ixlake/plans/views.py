@@ -249,21 +249,24 @@ NEEDS["v_payload"] = ()
 # --- assets ----------------------------------------------------------------------------
 
 def v_asset(spark: SparkSession, d: str) -> DataFrame:
+    """Assets with two traits; some have an empty list and some none at all."""
     return table(spark, d, "part").selectExpr(
         "concat('M', p_partkey) AS mint",
         "p_brand AS collection",
-        "array(named_struct('trait', 'type', 'value', p_type), "
-        "named_struct('trait', 'size', 'value', cast(p_size AS string))) AS traits",
+        "CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE slice(array(named_struct('trait', 'type', 'value', p_type), "
+        "named_struct('trait', 'size', 'value', cast(p_size AS string))), 1, if(p_partkey % 43 = 0, 0, 2)) END AS traits",
     )
 
 
 SQL["v_asset"] = """
-SELECT 'M' || p_partkey AS mint, p_brand AS collection, p_type AS type_trait,
-  p_size::VARCHAR AS size_trait FROM part
+SELECT 'M' || p_partkey AS mint, p_brand AS collection,
+  CASE WHEN p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 THEN p_type END AS type_trait,
+  CASE WHEN p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 THEN p_size::VARCHAR END AS size_trait FROM part
 """
 
 SQL["v_score"] = """
-SELECT mint, collection, count(*) OVER c / count(*) OVER t + count(*) OVER c / count(*) OVER s AS rarity_score
+SELECT mint, collection, CASE WHEN type_trait IS NULL THEN 0
+  ELSE count(*) OVER c / count(*) OVER t + count(*) OVER c / count(*) OVER s END AS rarity_score
 FROM v_asset WINDOW c AS (PARTITION BY collection), t AS (PARTITION BY collection, type_trait),
   s AS (PARTITION BY collection, size_trait)
 """

@@ -29,24 +29,20 @@ TRANSACTION = T.StructType(
 _FIELD = "struct<name:string,type:string>"
 
 # Interface description. Every ``type`` is read as text: a scalar keeps its name, an
-# object keeps its JSON, so one pass over the document covers the recursive grammar.
+# object keeps its JSON, so one pass over the document covers the recursive grammar. Fields of
+# a named type or account are texts too, since a tuple struct lists bare types.
 IDL = (
     "struct<name:string,address:string,"
     f"instructions:array<struct<name:string,discriminator:array<int>,args:array<{_FIELD}>>>,"
-    f"accounts:array<struct<name:string,type:struct<fields:array<{_FIELD}>>>>,"
-    f"types:array<struct<name:string,type:struct<kind:string,fields:array<{_FIELD}>,"
+    f"accounts:array<struct<name:string,type:struct<fields:array<string>>>>,"
+    "types:array<struct<name:string,type:struct<kind:string,fields:array<string>,"
     "variants:array<struct<name:string,fields:array<string>>>>>>,"
     f"events:array<struct<name:string,fields:array<{_FIELD}>>>>"
 )
 
-HEARTBEAT_LOG = "timestamp timestamp_ntz, merkle_root string, node_pubkey string, shard_count bigint, status string"
 NARRATIVES = "signature string, narrative string, semantic_cluster string, slot bigint, timestamp timestamp_ntz"
 PROOF_LOGS = "signature string, slot bigint, state_root string, verification_status string, timestamp timestamp_ntz"
 LIQUIDATIONS = (
     "signature string, protocol string, liquidator string, repaid_amount string, "
     "slot bigint, timestamp timestamp_ntz"
 )
-ASSETS = (
-    "mint string, collection string, rarity_score double, attributes string, "
-    "last_update timestamp_ntz"
-)

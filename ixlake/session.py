@@ -63,12 +63,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so lost executors cost no recomputation.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests) a local one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a
+    local one is made, which only a local master can share with its executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not _is_local(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ixlake-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")

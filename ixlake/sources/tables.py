@@ -4,19 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this number of files a table is large enough to fill any cluster by itself.
-SPREAD_FILES = 64
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores when it has fewer files than cores.
-
-    A file of one row group is read by one task. Tables of many files keep their scan
-    partitions and are not shuffled.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(cores, SPREAD_FILES) else df
+    """A given table; its files and row groups decide the scan's tasks."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
@@ -31,7 +21,3 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
         .partitionBy("program_id", "instruction")
         .parquet(path)
     )
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)

@@ -49,14 +49,45 @@ def stream_json(spark: SparkSession, path: str, files_per_trigger: int = 100, li
 def parse_batches(df: DataFrame, value: str = "value") -> DataFrame:
     """A text column of pushed batches (such as a Kafka value) to transactions.
 
-    A batch that is not a JSON array is ignored. Works on batch and stream input. Other
-    columns, such as the source's partition and offset, are kept.
+    What :func:`split_batches` keeps. Works on batch and stream input. Other columns, such as
+    the source's partition and offset, are kept.
     """
-    others = [c for c in df.columns if c != value]
-    batches = df.filter(F.ltrim(F.col(value)).startswith("["))
-    parsed = F.from_json(F.col(value), f"array<{TRANSACTION.simpleString()}>")
-    return batches.select(*others, F.inline(parsed))
+    return split_batches(df, value)[0]
+
 
+def split_batches(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Transactions of pushed batches, and what cannot be read, as ``text`` with its ``reason``.
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    A batch that is not a JSON array (``not_an_array``) or doesn't parse (``broken_json``) is
+    rejected as a whole. A transaction whose ``slot`` or ``timestamp`` is no whole number is
+    rejected alone (``bad_slot``, ``bad_timestamp``); a missing or null one is none.
+    """
+    others = [c for c in df.columns if c != value]
+    text = F.col(value)
+    # Elements as they are written, so that a value is seen before it is converted.
+    listed = F.from_json(text, "array<string>", {"mode": "PERMISSIVE"})
+    judged = df.withColumn("_items", F.when(F.ltrim(text).startswith("["), listed))
+    reason = F.when(~F.coalesce(F.ltrim(text).startswith("["), F.lit(False)), F.lit("not_an_array")).when(
+        F.col("_items").isNull(), F.lit("broken_json")
+    )
+    judged = judged.withColumn("_reason", reason)
+    whole = judged.filter("_reason IS NOT NULL").select(*others, text.alias("text"), F.col("_reason").alias("reason"))
+
+    item = F.col("_item")
+    checks = [
+        F.when(
+            F.get_json_object(item, f"$.{name}").isNotNull()
+            & F.get_json_object(item, f"$.{name}").try_cast("bigint").isNull(),
+            F.lit(f"bad_{name}"),
+        )
+        for name in ("slot", "timestamp")
+    ]
+    items = (
+        judged.filter("_reason IS NULL")
+        .select(*others, F.explode("_items").alias("_item"))
+        .withColumn("_reason", F.coalesce(*checks, F.when(item.isNull(), F.lit("no_object"))))
+    )
+    parsed = F.from_json(item, TRANSACTION)
+    kept = items.filter("_reason IS NULL").select(*others, parsed.alias("_tx")).select(*others, "_tx.*")
+    single = items.filter("_reason IS NOT NULL").select(*others, item.alias("text"), F.col("_reason").alias("reason"))
+    return kept, whole.unionByName(single)

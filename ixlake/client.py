@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ixlake import constants as K
 from ixlake.operators import aggregates, paging, state
 from ixlake.operators.paging import Page
+from ixlake.operators.universal import typed_table
 
 
 def _newest(df: DataFrame, limit: object, offset: object, page_size: tuple[int, int]) -> Page:
@@ -80,11 +81,22 @@ class Indexed:
     def program(self, program: str) -> DataFrame:
         return aggregates.program_discovery(self._of(program))
 
-    def data(self, program: str, instruction: str, limit: object = None, offset: object = None, **filters: object) -> Page:
-        known = self._of(program).filter(F.col("instruction") == instruction.lower()).select("program_id").distinct()
+    def data(
+        self, program: str, instruction: str, limit: object = None, offset: object = None, **filters: object
+    ) -> Page | None:
+        """Newest page of one instruction, or None when no document declares it.
+
+        Filters name columns of the log or, where the catalog has the table's ``ddl``, argument columns.
+        """
+        known = self._of(program).filter(F.col("instruction") == instruction.lower())
+        found = known.select("program_id", *[c for c in ("ddl",) if c in known.columns]).limit(1).collect()
+        if not found:
+            return None
         rows = self.log.filter(F.col("instruction") == instruction.lower()).join(
-            known, "program_id", "left_semi"
+            known.select("program_id").distinct(), "program_id", "left_semi"
         )
+        if "ddl" in found[0] and found[0]["ddl"]:
+            rows = typed_table(rows, found[0]["ddl"])
         return paging.page_by_slot(paging.equality_filters(rows, filters), limit, offset)
 
     def stats(self, program: str, since: Column | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ HEARTBEAT_DISCRIMINATOR = (156, 17, 23, 219, 237, 102, 17, 27)
 HEARTBEAT_MIN_BYTES = 44
 HEARTBEAT_NODE_ACCOUNT = 2
 
+HEARTBEAT_PROGRAM = "GtmN6x2aPYq6LkbJTj1qxm5Jn6zGQNWsgG9NFnx1QaEu"
+
 # Program ids the domain extractors listen to.
 LENDING_PROGRAMS = (
     "KLend2g3cP87fffoy8q1mQqGKjrxjC8boSyAYavgmjD",

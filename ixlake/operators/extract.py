@@ -68,7 +68,7 @@ def proof_logs(tx: DataFrame, program: str = K.PROOF_PROGRAM, state_root: Column
     )
 
 
-def heartbeats(tx: DataFrame, program: str, encoding: str = "base64") -> DataFrame:
+def heartbeats(tx: DataFrame, program: str = K.HEARTBEAT_PROGRAM, encoding: str = "base64") -> DataFrame:
     """Heartbeat log rows: every heartbeat, status ONLINE."""
     ix = route_by_program(explode_instructions(tx), [program])
     decoded = heartbeat_decode(ix.withColumn("payload", text_to_bytes(F.col("data"), encoding)))
@@ -95,14 +95,16 @@ class Extractor:
     transform: Callable[[DataFrame], DataFrame]
     name: str = ""
     description: str = ""
+    checks: dict[str, Column] = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:
         return [part.strip().split()[0] for part in self.schema.split(",")]
 
     def judged(self, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The transform's rows that have a key, and those that don't with their ``reason``."""
-        return split_quarantine(self.transform(tx), missing_key_checks(*self.keys))
+        """The transform's rows that have a key and pass the checks, and the others with their
+        ``reason``."""
+        return split_quarantine(self.transform(tx), {**self.checks, **missing_key_checks(*self.keys)})
 
     def keyed(self, tx: DataFrame) -> DataFrame:
         return self.judged(tx)[0]
@@ -142,8 +144,18 @@ PROOF_LOGS = Extractor(
 )
 
 
-def default_registry() -> Registry:
+HEARTBEATS = Extractor(
+    "heartbeats",
+    S.HEARTBEATS,
+    ("signature", "ix_index"),
+    tuple(ARRIVAL),
+    lambda tx: heartbeats(tx, K.HEARTBEAT_PROGRAM).withColumn("timestamp", F.col("ts")),
+)
+
+
+def default_registry(*more: Extractor) -> Registry:
+    """The fixed modules, and ``more`` such as the universal module over a catalog."""
     registry = Registry()
-    for extractor in (LIQUIDATIONS, NARRATIVES, PROOF_LOGS):
+    for extractor in (LIQUIDATIONS, NARRATIVES, PROOF_LOGS, HEARTBEATS, *more):
         registry.register(extractor)
     return registry

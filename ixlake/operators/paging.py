@@ -89,11 +89,12 @@ def page_per_group(df: DataFrame, group: list[str], order: list[Column], limit:
 def equality_filters(df: DataFrame, filters: dict[str, object]) -> DataFrame:
     """AND of ``column = value`` over the keys that are columns; other keys are ignored.
 
-    Values are bound as literals and never become part of a statement's text.
+    Values are bound as literals, never become part of a statement's text, and are compared in
+    the column's type: a value that isn't of this type equals nothing.
     """
     for key, value in filters.items():
         if key in df.columns:
-            df = df.filter(F.col(f"`{key}`") == F.lit(value))
+            df = df.filter(F.col(f"`{key}`") == F.lit(value).try_cast(df.schema[key].dataType))
     return df
 
 

@@ -26,3 +26,13 @@ def recent_signatures(ix: DataFrame, depth: int = K.REPLAY_DEPTH) -> DataFrame:
     seen = ix.groupBy("program_id", "signature").agg(F.max("slot").alias("slot"))
     newest = Window.partitionBy("program_id").orderBy(F.col("slot").desc(), F.col("signature"))
     return seen.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= depth)
+
+
+def recent_per_program(archive: DataFrame, ix: DataFrame, depth: int = K.REPLAY_DEPTH) -> DataFrame:
+    """Instructions of the newest ``depth`` transactions of every program, to run through the
+    transform again.
+
+    Only (program, signature) pairs meet the archive, so a transaction of two programs is
+    replayed for each of them where it is recent.
+    """
+    return ix.join(recent_signatures(archive, depth).select("program_id", "signature"), ["program_id", "signature"], "left_semi")

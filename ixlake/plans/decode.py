@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ixlake.functions.base58 import bytes_to_base58
 from ixlake.functions.binary import hex_text, text_to_bytes
-from ixlake.operators import decode, dedup, extract, idl, ingest
+from ixlake.operators import decode, dedup, extract, idl, paging, replay, universal
 from ixlake.plans.registry import query
 from ixlake.plans.views import (
     le_hex,
@@ -188,15 +188,7 @@ def sanitize_args(spark, d):
 
 
 def _decoded_notes(spark, d):
-    layouts = idl.layouts(idl.parse_documents(v_idl(spark, d)))
-    calls = ingest.envelope(v_note(spark, d)).withColumn("payload", text_to_bytes(F.col("data"), "base58"))
-    matched = decode.match_discriminator(calls, layouts)
-    return decode.decode_layouts(
-        matched.select(
-            "signature", "slot", "ts", "signer", *extract.ARRIVAL[1:], "program_id", "instruction",
-            "table_name", "payload", "layout",
-        )
-    )
+    return universal.decode_calls(v_note(spark, d), universal.catalog_layouts(v_idl(spark, d)))
 
 
 _KNOWN = "NOT (l_partkey % 4 <> 1 AND l_partkey % 5 = 2) AND l_linenumber <> 7"
@@ -264,6 +256,75 @@ def index_instructions(spark, d):
     return _note_fields(first, "signature", "slot", "signer")
 
 
+@query(
+    "replay_recent_indexed",
+    f"""
+    WITH calls AS (
+      SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature,
+        epoch_us(l_shipdate) // 400000 + l_orderkey % 1000 AS slot, l_partkey, l_suppkey,
+        CASE WHEN l_partkey % 4 = 1 THEN 'File' ELSE 'Prog' END || l_partkey AS p, {_NOTE_COLUMNS}
+      FROM lineitem WHERE {_KNOWN.replace(" AND l_linenumber <> 7", "")}),
+    recent AS (
+      SELECT p, signature FROM (SELECT p, signature, max(slot) AS slot FROM calls GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY p ORDER BY slot DESC, signature) <= 20)
+    SELECT signature, slot, table_name, text, memo, shard_count FROM calls
+    WHERE (p, signature) IN (SELECT (p, signature) FROM recent) AND NOT ends_with(signature, '-7')
+    QUALIFY row_number() OVER (PARTITION BY signature, table_name, p ORDER BY slot, l_partkey, l_suppkey) = 1
+    """,
+)
+def replay_recent_indexed(spark, d):
+    """The newest 20 transactions of every cataloged program, decoded and written once."""
+    layouts = universal.catalog_layouts(v_idl(spark, d))
+    calls = v_note(spark, d).join(layouts.select("program_id").distinct(), "program_id", "left_semi")
+    again = universal.decode_calls(replay.recent_per_program(calls, calls), layouts).filter("error IS NULL")
+    first = dedup.insert_ignore(again, list(universal.KEYS), extract.ARRIVAL)
+    return _note_fields(first, "signature", "slot").select("signature", "slot", "table_name", "text", "memo", "shard_count")
+
+
+_TYPED = "ix_note"
+
+
+@query(
+    "typed_instruction_table",
+    f"""
+    SELECT * EXCLUDE (table_name, second_amount, sell_price, leg_size, shard_count) FROM (
+      SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_partkey, {_NOTE_COLUMNS},
+        CASE WHEN l_linenumber <> 6 THEN '[' || l_orderkey || ',' || l_partkey || ']' END AS amounts,
+        '{{"side":' || CASE WHEN l_linestatus = 'O' THEN '{{"Sell":{{"price":"' || (l_partkey * 4000000000) || '"}}}}'
+          ELSE '{{"Buy":{{}}}}' END || ',"size":' || l_linenumber || '}}' AS leg
+      FROM lineitem WHERE {_KNOWN} AND l_linenumber <> 6)
+    """,
+)
+def typed_instruction_table(spark, d):
+    """The ``Note`` table with columns made from the generated schema of one program; every
+    program's document declares the same ones."""
+    schema = idl.ix_schema(idl.parse_documents(v_idl(spark, d))).filter(F.col("table_name") == _TYPED)
+    program = schema.agg(F.min("program_id")).first()[0]
+    rows = _decoded_notes(spark, d).filter(F.col("table_name") == _TYPED)
+    ddl = universal.typed_schema(schema, program, _TYPED)
+    typed = universal.typed_table(rows.select("signature", F.col("feed_partition").alias("l_partkey"), "args"), ddl)
+    nested = {"amounts": F.to_json("amounts")} if dict(typed.dtypes)["amounts"].startswith("array") else {}
+    return typed.withColumns(nested).select("signature", "l_partkey", "text", "memo", "amounts", "leg")
+
+
+@query(
+    "log_filter_args",
+    f"""
+    SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_partkey AS feed_partition,
+      l_suppkey AS feed_offset, memo, text FROM (SELECT *, {_NOTE_COLUMNS} FROM lineitem WHERE {_KNOWN})
+    WHERE table_name = 'ix_note' AND memo = 7
+    """,
+)
+def log_filter_args(spark, d):
+    """Argument columns filter by their declared type; a name that is no column is ignored."""
+    rows = _decoded_notes(spark, d).filter(F.col("table_name") == _TYPED)
+    ddl = "text STRING, amounts STRING, memo INT, leg STRING"
+    typed = universal.typed_table(rows.drop("error", "layout"), ddl)
+    return paging.equality_filters(typed, {"memo": "7", "1=1; --": "x"}).select(
+        "signature", "feed_partition", "feed_offset", "memo", "text"
+    )
+
+
 @query(
     "base58_round_trip",
     "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, lower(lpad(to_hex(l_partkey), 16, '0') || "

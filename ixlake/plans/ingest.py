@@ -7,14 +7,17 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ixlake import constants as K
-from ixlake.operators import aggregates, dedup, extract, ingest, paging
+from ixlake.operators import aggregates, dedup, extract, ingest, paging, universal
 from ixlake.operators.decode import heartbeat_checks
 from ixlake.functions.binary import text_to_bytes
 from ixlake.plans.registry import query
 from ixlake.plans.views import (
+    SQL,
     v_arrivals,
     v_catalog,
+    v_idl,
     v_ix,
+    v_note,
     v_payload,
     v_tx,
     with_views,
@@ -397,26 +400,60 @@ def proof_log(spark, d):
     return extract.PROOF_LOGS.rows(v_tx(spark, d))
 
 
+_BEATS = """
+beats AS (
+  SELECT DISTINCT signature FROM v_payload WHERE reason IS NULL)
+"""
+
+_CALLS = """
+calls AS (
+  SELECT DISTINCT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_linenumber = 6 AS beat,
+    CASE WHEN l_partkey % 4 = 1 THEN 'File' ELSE 'Prog' END || l_partkey AS p
+  FROM lineitem WHERE NOT (l_partkey % 4 <> 1 AND l_partkey % 5 = 2) AND l_linenumber <> 7)
+"""
+
+
 @query(
     "extractor_fan_out",
     _over(
-        [_LIQUIDATIONS, _NARRATIVES, _PROOFS],
+        [_LIQUIDATIONS, _NARRATIVES, _PROOFS, "v_payload AS (" + SQL["v_payload"] + ")", _BEATS, _CALLS],
         """
         SELECT 'liquidations' AS module, count(*) AS written, max(slot) AS last_slot FROM liq
         UNION ALL SELECT 'narratives', count(*), max(slot) FROM nar
         UNION ALL SELECT 'proof_logs', count(*), max(slot) FROM prf
+        UNION ALL SELECT 'heartbeats', (SELECT count(*) FROM beats), NULL
+        UNION ALL SELECT 'instructions', (SELECT count(*) FROM calls), NULL
         """,
     ),
 )
 def extractor_fan_out(spark, d):
-    """Every transaction to every registered module; what each table received."""
+    """Every transaction to every registered module; what each table received.
+
+    The feed holds the described transactions, heartbeats and calls of cataloged programs.
+    """
+
+    def as_transactions(rows, program, **more):
+        call = F.struct(
+            program.alias("programId"), F.lit(None).cast("string").alias("name"), "data", more["accounts"].alias("accounts")
+        )
+        return rows.select(
+            "signature", F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+            F.lit(None).cast("string").alias("fee_payer"), F.lit(None).cast("string").alias("description"),
+            "feed_partition", "feed_offset", F.array(call).alias("instructions"),
+        )
+
+    tx = v_tx(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    beats = as_transactions(v_payload(spark, d), F.lit(K.HEARTBEAT_PROGRAM), accounts=F.col("accounts"))
+    calls = as_transactions(v_note(spark, d), F.col("program_id"), accounts=F.array().cast("array<string>"))
+    module = universal.universal_module(universal.catalog_layouts(v_idl(spark, d)))
+    feed = tx.unionByName(beats).unionByName(calls)
     parts = [
         rows.agg(
             F.lit(module).alias("module"),
             F.count("*").alias("written"),
             F.max("slot").alias("last_slot"),
         )
-        for module, rows in extract.default_registry().extract(v_tx(spark, d)).items()
+        for module, rows in extract.default_registry(module).extract(feed).items()
     ]
     first, *rest = parts
     for part in rest:

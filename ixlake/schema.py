@@ -40,6 +40,10 @@ IDL = (
     f"events:array<struct<name:string,fields:array<{_FIELD}>>>>"
 )
 
+HEARTBEATS = (
+    "signature string, ix_index int, timestamp timestamp_ntz, merkle_root string, node_pubkey string, "
+    "shard_count bigint, status string, slot bigint"
+)
 NARRATIVES = "signature string, narrative string, semantic_cluster string, slot bigint, timestamp timestamp_ntz"
 PROOF_LOGS = "signature string, slot bigint, state_root string, verification_status string, timestamp timestamp_ntz"
 LIQUIDATIONS = (

@@ -1,14 +1,17 @@
 """Structured Streaming ingest: one feed, many tables.
 
-Two ways to run the registry on a stream:
+Every table has one layout, ``run=<run>/batch_id=<n>`` directories of parquet files, whichever
+way it is written, so what a live run and a backfill wrote is read together. A batch keeps the
+first write of each key in the module's order and leaves out keys that are stored already.
 
-* :func:`start_modules` - one query per module. First-write-wins is ``dropDuplicates`` on
-  the module's key, kept in the RocksDB state store, so a micro-batch costs what the batch
-  holds and not what the table holds. A module that fails stops alone.
+* :func:`start_modules` - one query and checkpoint per module. A module that fails stops
+  alone and goes on from its failed batch when it is started again.
 * :class:`BatchIngest` - one query, ``foreachBatch``, every module on the same persisted
-  micro-batch. First writes follow feed order exactly, and a rerun batch replaces its own
-  output. The anti join reads the key column of the table, so this form suits backfills
-  and moderate tables.
+  micro-batch, then the cursor. When a module fails the others still write; then the
+  batch fails, and its rerun replaces what was written.
+
+Runs on one table take turns: each looks up stored keys before it writes. The look-up reads the
+key columns only.
 """
 
 from __future__ import annotations
@@ -20,33 +23,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ixlake.operators.aggregates import advance_cursor
-from ixlake.operators.dedup import insert_new
+from ixlake.operators.dedup import insert_ignore, insert_new
 from ixlake.operators.extract import Extractor, Registry
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+REJECTED = "rejected"
 log = logging.getLogger(__name__)
 
+# What reading a table that was never written says; anything else is an error.
+_NOT_WRITTEN = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
 
 def use_rocksdb(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
 
-def first_writes(tx: DataFrame, module: Extractor) -> DataFrame:
-    """New rows of a module on a stream; replays carry the same content as the original."""
-    return module.keyed(tx).dropDuplicates(list(module.keys)).select(*module.columns)
-
-
-def start_modules(tx: DataFrame, registry: Registry, tables: str, checkpoints: str, **trigger) -> list[StreamingQuery]:
-    use_rocksdb(tx.sparkSession)
+def start_modules(
+    tx: DataFrame, registry: Registry, tables: str, checkpoints: str, run: str = "live", **trigger
+) -> list[StreamingQuery]:
+    """A query per module, each with its own progress."""
     return [
-        first_writes(tx, module)
-        .writeStream.queryName(module.id)
-        .format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{checkpoints}/{module.id}")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start(f"{tables}/{module.id}")
+        BatchIngest(Registry().register(module), tables, run, cursor=False).start(
+            tx, f"{checkpoints}/{module.id}", name=module.id, **trigger
+        )
         for module in registry
     ]
 
@@ -63,44 +63,53 @@ def start_log(heartbeats: DataFrame, table: str, checkpoint: str, **trigger) ->
 
 
 def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None when nothing was written to it yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as failure:
+        if failure.getCondition() in _NOT_WRITTEN:
+            return None
+        raise
 
 
 class BatchIngest:
-    """``foreachBatch`` sink: modules, then the cursor.
+    """``foreachBatch`` sink: modules, their rejected rows, then the cursor.
 
     Output of batch ``n`` is the directory ``run=<run>/batch_id=n``. A retried batch
     overwrites it and compares its keys with everything written before it, so retries
-    change nothing. A backfill or any new checkpoint takes a run name of its own.
+    change nothing. A backfill or any new checkpoint takes a run name of its own. Rows that a module
+    rejects lie in ``rejected/<module>`` as JSON text with their reason.
     """
 
-    def __init__(self, registry: Registry, tables: str, run: str = "live"):
+    def __init__(self, registry: Registry, tables: str, run: str = "live", cursor: bool = True):
         self.registry = registry
         self.tables = tables
         self.run = run
-        self.failures: list[tuple[int, str, str]] = []
+        self.cursor = cursor
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        failures: list[tuple[str, PySparkException]] = []
         try:
             for module in self.registry:
                 try:
                     self._write(module, batch, batch_id)
                 except PySparkException as failure:
-                    # One module's failure must not stop the others.
                     log.error("module %s failed in batch %s: %s", module.id, batch_id, failure)
-                    self.failures.append((batch_id, module.id, str(failure)))
-            self._advance(batch, batch_id)
+                    failures.append((module.id, failure))
+            if failures:
+                # The others have written. The batch isn't done: the cursor and the
+                # checkpoint stay before it, so that it runs again.
+                raise RuntimeError(f"batch {batch_id}: failed modules {[m for m, _ in failures]}") from failures[0][1]
+            if self.cursor:
+                self._advance(batch, batch_id)
         finally:
             batch.unpersist()
 
     def _before(self, spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
         """What the table held before this batch first ran."""
         written = read_if_written(spark, path)
-        if written is None or "batch_id" not in written.columns:
+        if written is None:
             return None
         return written.filter((F.col("run") != self.run) | (F.col("batch_id") < batch_id))
 
@@ -108,12 +117,17 @@ class BatchIngest:
         return f"{path}/run={self.run}/batch_id={batch_id}"
 
     def _write(self, module: Extractor, batch: DataFrame, batch_id: int) -> None:
-        rows = module.rows(batch)
+        kept, rejected = module.judged(batch)
+        rows = insert_ignore(kept, list(module.keys), list(module.order)).select(*module.columns)
         path = f"{self.tables}/{module.id}"
         written = self._before(batch.sparkSession, path, batch_id)
         if written is not None:
             rows = insert_new(rows, written, list(module.keys))
         rows.write.mode("overwrite").parquet(self._directory(path, batch_id))
+        whole = F.to_json(F.struct(*[c for c in rejected.columns if c != "reason"])).alias("row")
+        rejected.select(whole, "reason").write.mode("overwrite").parquet(
+            self._directory(f"{self.tables}/{REJECTED}/{module.id}", batch_id)
+        )
 
     def _advance(self, batch: DataFrame, batch_id: int) -> None:
         """Cursor history: one row per batch, never smaller than the one before."""
@@ -124,13 +138,13 @@ class BatchIngest:
             previous = written.agg(F.max(F.col("value").cast("bigint"))).first()[0] or 0
         advance_cursor(batch, previous).write.mode("overwrite").parquet(self._directory(path, batch_id))
 
-    def start(self, tx: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        return (
+    def start(self, tx: DataFrame, checkpoint: str, name: str | None = None, **trigger) -> StreamingQuery:
+        writer = (
             tx.writeStream.foreachBatch(self)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
-            .start()
         )
+        return (writer.queryName(name) if name else writer).start()
 
 
 def current_cursor(spark: SparkSession, tables: str) -> int:

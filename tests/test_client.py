@@ -47,4 +47,18 @@ def test_named_queries(spark, sf_dir):
 def test_unknown_program_has_no_rows(spark, sf_dir):
     indexed = Indexed(v_ix(spark, sf_dir).withColumn("instruction", F.lower("name")), v_catalog(spark, sf_dir))
     assert indexed.program("nobody").count() == 0
-    assert indexed.data("nobody", "deposit").data.count() == 0
+    assert indexed.data("nobody", "deposit") is None
+    program = indexed.catalog.first().program_id
+    assert indexed.data(program, "nothing") is None
+
+
+def test_argument_columns_filter_by_type(spark):
+    log = spark.createDataFrame(
+        [("a", 1, "P", "swap", '{"amount":"5"}'), ("b", 2, "P", "swap", '{"amount":"6"}')],
+        "signature string, slot long, program_id string, instruction string, args string",
+    )
+    catalog = spark.createDataFrame([("P", "p", "swap", "ix_swap", "amount DECIMAL(20,0)")], "program_id string, idl_name string, instruction string, table_name string, ddl string")
+    indexed = Indexed(log, catalog)
+    assert [r.signature for r in indexed.data("P", "swap", amount="5").data.collect()] == ["a"]
+    assert [r.signature for r in indexed.data("p", "SWAP", amount="x").data.collect()] == []
+    assert indexed.data("P", "swap", bogus="5").data.count() == 2

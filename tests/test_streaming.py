@@ -1,10 +1,14 @@
 """Streams with availableNow against their batch forms."""
 
+import base64
 import datetime as dt
 import glob
+import hashlib
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ixlake.operators import dedup, extract
@@ -13,7 +17,8 @@ from ixlake.sources.documents import stream_documents
 from ixlake.sources.transactions import read_json, stream_json
 from ixlake.streaming.catalog import CatalogReload, current_catalog
 from ixlake.streaming.heartbeat import presence_changes
-from ixlake.streaming.ingest import BatchIngest, current_cursor, start_log, start_modules
+from ixlake.operators.universal import universal_module
+from ixlake.streaming.ingest import BatchIngest, current_cursor, read_if_written, start_log, start_modules
 from ixlake.streaming.ttl import ttl_dedup_exact, ttl_dedup_watermark
 from ixlake.constants import LENDING_PROGRAMS, PROOF_PROGRAM
 
@@ -54,15 +59,25 @@ def values(df, *columns):
 
 
 def test_modules_stream_equals_batch(spark, tmp_path):
-    path = feed(tmp_path)
+    two = tx("D" * 10, 4, "two", SAVE, data={"repaidAmount": 1})
+    two["instructions"].append({"programId": LENDING_PROGRAMS[0], "name": "LiquidateY", "data": {"repaidAmount": 2}})
+    path = feed(tmp_path, [*BATCHES, [two, {"slot": 1, "timestamp": 5, "description": "no signature"}]])
     registry = extract.default_registry()
     stream = stream_json(spark, path, files_per_trigger=1)
     for query in start_modules(stream, registry, f"{tmp_path}/t", f"{tmp_path}/c"):
         query.awaitTermination()
     batch = registry.extract(read_json(spark, path))
     for module in registry:
-        written = spark.read.schema(batch[module.id].schema).parquet(f"{tmp_path}/t/{module.id}")
-        assert values(written, "signature") == values(batch[module.id], "signature")
+        written = spark.read.parquet(f"{tmp_path}/t/{module.id}")
+        assert values(written, *module.columns) == values(batch[module.id], *module.columns), module.id
+    rejected = spark.read.parquet(f"{tmp_path}/t/rejected/narratives").collect()
+    assert [r.reason for r in rejected] == ["missing_signature"] and '"slot":1' in rejected[0].row
+    # A backfill into the same tables adds only what is new, and all is read together.
+    (tmp_path / "feed" / "9.json").write_text(json.dumps([tx("C" * 10, 3, "late"), tx("E" * 10, 7, "new")]))
+    again = stream_json(spark, path)
+    BatchIngest(registry, f"{tmp_path}/t", run="backfill").start(again, f"{tmp_path}/b").awaitTermination()
+    found = [s for (s,) in values(spark.read.parquet(f"{tmp_path}/t/narratives"), "signature")]
+    assert found == ["A" * 10, "C" * 10, "D" * 10, "E" * 10]
 
 
 def test_batch_ingest_first_write_cursor_and_replay(spark, tmp_path):
@@ -73,7 +88,6 @@ def test_batch_ingest_first_write_cursor_and_replay(spark, tmp_path):
     liquidations = spark.read.parquet(f"{tmp_path}/t/liquidations")
     assert values(liquidations, "signature", "repaid_amount") == [("A" * 10, "12")]
     assert current_cursor(spark, f"{tmp_path}/t") == 9
-    assert sink.failures == []
     # A backfill of the same input adds nothing.
     first = values(spark.read.parquet(f"{tmp_path}/t/narratives"), "signature", "narrative")
     BatchIngest(sink.registry, f"{tmp_path}/t", run="backfill").start(source, f"{tmp_path}/c2").awaitTermination()
@@ -81,18 +95,67 @@ def test_batch_ingest_first_write_cursor_and_replay(spark, tmp_path):
     assert values(spark.read.parquet(f"{tmp_path}/t/liquidations"), "signature") == [("A" * 10,)]
 
 
-def test_module_failure_is_isolated(spark, tmp_path):
+def test_failed_module_writes_its_batch_on_restart(spark, tmp_path):
     def broken(tx):
         return tx.select(F.raise_error(F.lit("boom")).cast("string").alias("signature"), *extract.ARRIVAL)
 
-    registry = extract.Registry()
-    registry.register(extract.Extractor("broken", "signature string", ("signature",), ("slot",), broken))
-    registry.register(extract.NARRATIVES).register(extract.NARRATIVES)
-    assert len(registry) == 2
-    sink = BatchIngest(registry, f"{tmp_path}/t")
-    sink.start(stream_json(spark, feed(tmp_path)), f"{tmp_path}/c").awaitTermination()
-    assert [f[1] for f in sink.failures] == ["broken"]
+    def module(transform):
+        return extract.Extractor("late", "signature string", ("signature",), ("slot",), transform)
+
+    def ingest(transform):
+        registry = extract.Registry().register(module(transform)).register(extract.NARRATIVES).register(extract.NARRATIVES)
+        assert len(registry) == 2
+        return BatchIngest(registry, f"{tmp_path}/t").start(stream_json(spark, path), f"{tmp_path}/c")
+
+    path = feed(tmp_path)
+    with pytest.raises(StreamingQueryException):
+        ingest(broken).awaitTermination()
+    # The other module has written; the cursor has not moved.
+    assert spark.read.parquet(f"{tmp_path}/t/narratives").count() == 2
+    assert current_cursor(spark, f"{tmp_path}/t") == 0
+    ingest(lambda tx: tx).awaitTermination()
+    assert [s for (s,) in values(spark.read.parquet(f"{tmp_path}/t/late"), "signature")] == ["A" * 10, "B" * 10, "C" * 10]
     assert spark.read.parquet(f"{tmp_path}/t/narratives").count() == 2
+    assert current_cursor(spark, f"{tmp_path}/t") == 9
+
+
+def test_only_a_missing_table_reads_as_none(spark, tmp_path):
+    assert read_if_written(spark, f"{tmp_path}/nothing") is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("this is no parquet file")
+    with pytest.raises(Exception, match="CANNOT_READ_FILE_FOOTER"):
+        read_if_written(spark, f"{tmp_path}/bad")
+
+
+def test_reloaded_catalog_decodes_a_new_program(spark, tmp_path):
+    program = "Q" * 40
+    document = {"name": "q", "address": program, "instructions": [{"name": "go", "args": [{"name": "n", "type": "u8"}]}]}
+    docs = tmp_path / "idl"
+    docs.mkdir()
+    sink = CatalogReload(f"{tmp_path}/catalog")
+    empty = spark.createDataFrame([], "program_id string, instruction string, table_name string, disc binary, layout string")
+
+    def layouts():
+        found = current_catalog(spark, f"{tmp_path}/catalog")
+        return empty if found is None else found.select(*empty.columns)
+
+    payload = hashlib.sha256(b"global:go").digest()[:8] + bytes([9])
+    call = [{"signature": "S" * 10, "slot": 1, "timestamp": 5, "instructions": [{"programId": program, "data": base64.b64encode(payload).decode()}]}]
+    later = [dict(call[0], signature="T" * 10)]
+    path = feed(tmp_path, [call])
+    module = universal_module(layouts, "base64")
+
+    def ingest():
+        (query,) = start_modules(stream_json(spark, path), extract.Registry().register(module), f"{tmp_path}/t", f"{tmp_path}/c")
+        query.awaitTermination()
+
+    ingest()
+    (docs / "q.json").write_text(json.dumps(document))
+    sink.start(stream_documents(spark, str(docs)), f"{tmp_path}/d").awaitTermination()
+    (tmp_path / "feed" / "5.json").write_text(json.dumps(later))
+    ingest()
+    rows = spark.read.parquet(f"{tmp_path}/t/instructions").select("signature", "table_name", "args").collect()
+    assert [tuple(r) for r in rows] == [("T" * 10, "ix_go", '{"n":9}')]
 
 
 def hours(*offsets):

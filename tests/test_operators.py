@@ -28,6 +28,7 @@ from ixlake.operators import (
 from ixlake.sources.transactions import normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
 
+# Known vectors and sample texts of the formats under test.
 HB = bytes(K.HEARTBEAT_DISCRIMINATOR)
 LENDING = K.LENDING_PROGRAMS[0]
 
@@ -179,26 +180,95 @@ def test_variable_layout(spark):
 
 # --- IDL -------------------------------------------------------------------------------
 
-def brute_names(names, reserved):
-    seen, out = {r.lower() for r in reserved}, []
-    for name in names:
-        candidate, counter = name, 0
-        while candidate.lower() in seen:
-            counter += 1
-            candidate = f"{name}_{counter}"
-        seen.add(candidate.lower())
-        out.append(candidate)
-    return out
-
-
-def test_column_names_match_the_sequential_rule(spark):
+def test_column_names_are_unique_and_keep_first_uses(spark):
     rnd = random.Random(3)
     pool = ["slot", "Slot", "slot_1", "x", "X", "x_1", "X_2", "padding", "signer"]
     cases = [[rnd.choice(pool) for _ in range(rnd.randint(0, 12))] for _ in range(80)] + [["padding"] * 50]
     reserved = tuple(n for n, _ in K.IX_ENVELOPE)
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, names array<string>")
     for i, got in rows(df.select("i", idl.resolve_names(F.col("names"), reserved))):
-        assert got == brute_names(cases[i], reserved)
+        assert len(got) == len(cases[i])
+        taken = list(map(str.lower, reserved))
+        assert len({*taken, *map(str.lower, got)}) == len(taken) + len(got)
+        for name, column in zip(cases[i], got, strict=True):
+            if name.lower() not in taken:
+                assert column == name
+            else:
+                number = int(column.removeprefix(f"{name}_"))
+                assert all(f"{name}_{n}".lower() in taken for n in range(1, number))
+            taken.append(column.lower())
+
+
+def documents(spark, *bodies):
+    rows_ = [(f"/idl/{i}.json", b if isinstance(b, str) else json.dumps(b), dt.datetime(2024, 1, 1 + i)) for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows_, "path string, text string, modified timestamp")
+
+
+def test_tuple_structs_are_accepted_and_bad_documents_kept_apart(spark):
+    good = {
+        "address": "A" * 40,
+        "instructions": [{"name": "go", "args": [{"name": "p", "type": {"defined": "Pair"}}]}],
+        "types": [{"name": "Pair", "type": {"kind": "struct", "fields": ["u8", {"array": ["u8", 2]}]}}],
+    }
+    short = {"address": "short", "instructions": []}
+    kept, rejected = idl.split_documents(documents(spark, good, "{broken", short, "[1]"))
+    assert rows(kept, "program_id") == [("A" * 40,)]
+    assert dict(rows(rejected, "path", "reason")) == {
+        "/idl/1.json": "not_a_document", "/idl/2.json": "short_program_id", "/idl/3.json": "not_a_document"
+    }
+    layout = idl.layouts(kept).first().layout
+    value, _ = decode.compile_layout(layout)(b"12345678" + bytes([7, 8, 9]), 8)
+    assert value == {"p": {"0": 7, "1": [8, 9]}}
+
+
+def test_repeated_documents_do_not_multiply_rows(spark):
+    def body(*names):
+        return {"address": "A" * 40, "instructions": [{"name": n, "args": []} for n in names]}
+
+    newest, others = idl.newest_documents(idl.parse_documents(documents(spark, body("a"), body("a", "b"), body("a", "b", "c"))))
+    assert sorted(rows(idl.layouts(newest), "instruction")) == [("a",), ("b",), ("c",)]
+    assert others.count() == 2
+
+
+def test_wrong_layouts_and_counts_end_in_an_error(spark):
+    bad = json.dumps({"columns": ["x"], "fields": ['{"array":["u8","N"]}'], "types": []})
+    empty = json.dumps({"columns": ["x"], "fields": ['{"vec":{"defined":"E"}}'], "types": [{"name": "E", "type": {"kind": "struct", "fields": []}}]})
+    payload = b"12345678" + b"\xff" * 8
+    df = spark.createDataFrame([(1, payload, bad), (2, payload, empty), (3, payload, "no json")], "i int, payload binary, layout string")
+    got = rows(decode.decode_layouts(df).orderBy("i"), "i", "args", "error")
+    assert [g[:2] for g in got] == [(1, None), (2, None), (3, None)] and all(g[2] for g in got)
+
+
+def test_pages_behind_a_cursor_return_every_row_once(spark):
+    rnd = random.Random(9)
+    full = [(rnd.choice([None, 1, 2, 3]), rnd.choice("abc"), i) for i in range(40)]
+    log = spark.createDataFrame(full, "slot long, signature string, ix_index int")
+    seen, page = [], paging.page_by_slot(log, 7).data.collect()
+    while page:
+        seen += [tuple(r) for r in page]
+        last = page[-1]
+        page = paging.page_after(log, last.slot, last.signature, 7, ix_index=last.ix_index).collect()
+    assert len(seen) == len(full) and set(seen) == set(full)
+    assert [s is None for s, _, _ in seen] == sorted(s is None for s, _, _ in seen)
+
+
+def test_ttl_accepts_one_of_repeated_rows_and_leaves_defects_to_the_quarantine(spark):
+    day = dt.datetime(2024, 1, 1)
+    data = [("a", day, 1, "p"), ("a", day, 1, "q"), ("a", None, 2, "r"), (None, day, 3, "s"), ("a", day + dt.timedelta(days=3), 4, "t")]
+    df = spark.createDataFrame(data, "k string, ts timestamp, id long, payload string")
+    good, rejected = ingest.split_quarantine(df, dedup.ttl_checks(["k"], "ts"))
+    assert sorted(rows(rejected, "payload", "reason")) == [("r", "missing_ts"), ("s", "missing_k")]
+    for split in (True, False):
+        kept = rows(dedup.ttl_dedup(df, ["k"], "ts", "id", split=split), "payload")
+        assert len(kept) == 2 and ("t",) in kept
+
+
+def test_gaps_across_buckets(spark):
+    slots = [0, 5, 99_999, 100_000, 350_000, 10**9, 10**12, 2**62, None]
+    df = spark.createDataFrame([(s,) for s in slots], "slot long")
+    known = sorted(s for s in slots if s is not None)
+    expected = {(a, b) for a, b in zip(known, known[1:], strict=False) if b - a > 100}
+    assert {(a, b) for a, b, _ in rows(monitor.slot_gaps(df))} == expected
 
 
 @pytest.mark.parametrize(

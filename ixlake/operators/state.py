@@ -17,6 +17,24 @@ def shard_lock_state(heartbeats: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def upsert_state(stored: DataFrame, heartbeats: DataFrame, order: list[str]) -> DataFrame:
+    """The stored state after later heartbeats: a known (root, node) keeps its shard count and
+    takes the new status and time; a new one is added.
+
+    The heartbeats are reduced to one row per key before they meet the stored rows.
+    """
+    new = shard_lock_state(heartbeats, order).alias("n")
+    old = stored.alias("o")
+    keys = ["merkle_root", "node_pubkey"]
+    same = (F.col("o.merkle_root") == F.col("n.merkle_root")) & (F.col("o.node_pubkey") == F.col("n.node_pubkey"))
+    return old.join(new, same, "full").select(
+        *[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys],
+        F.coalesce("o.shard_count", "n.shard_count").alias("shard_count"),
+        F.coalesce("n.status", "o.status").alias("status"),
+        F.greatest("o.last_heartbeat", "n.last_heartbeat").alias("last_heartbeat"),
+    )
+
+
 def stale_sweep(state: DataFrame, as_of: Column, minutes: int = K.STALE_MINUTES) -> DataFrame:
     """ONLINE rows not heard for longer than ``minutes`` become OFFLINE. No shuffle."""
     limit = as_of - F.expr(f"INTERVAL {int(minutes)} MINUTES")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ixlake.operators import aggregates, state
 from ixlake.plans.registry import query
 from ixlake.plans.views import HB_ORDER, v_hb, with_views
+from ixlake.session import shared_folder
+from ixlake.sources import tables
 
 AS_OF = "1998-06-01 00:10:00"
 
@@ -75,14 +79,24 @@ def shard_locations(spark, d):
     ),
 )
 def hb_log_append(spark, d):
-    """Rows the event log receives: one per heartbeat, nothing merged."""
-    return v_hb(spark, d).select(
-        F.col("ts").alias("timestamp"),
-        "merkle_root",
-        "node_pubkey",
-        "shard_count",
-        F.lit("ONLINE").alias("status"),
-    )
+    """What the event log holds after two appends: one row per heartbeat, nothing merged."""
+    path = f"{shared_folder(spark)}/heartbeat-log-{uuid.uuid4().hex}"
+    beats = v_hb(spark, d)
+    for part in (0, 1):
+        tables.append_heartbeats(beats.filter(F.col("feed_partition") % 2 == part), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "shard_lock_upsert",
+    _over_state("SELECT merkle_root, node_pubkey, shard_count, status, last_heartbeat FROM st"),
+)
+def shard_lock_upsert(spark, d):
+    """Stored state of the earlier heartbeats, then the later ones: as if all came at once."""
+    beats = v_hb(spark, d)
+    later = F.col("ts") >= F.lit("1995-01-01").cast("timestamp_ntz")
+    stored = state.shard_lock_state(beats.filter(~later), HB_ORDER)
+    return state.upsert_state(stored, beats.filter(later), HB_ORDER)
 
 
 @query(

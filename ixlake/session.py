@@ -76,5 +76,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, for tables between steps."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if context.getCheckpointDir() is None:
+        if not _is_local(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ixlake-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def _is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ixlake.constants import ONLINE
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its files and row groups decide the scan's tasks."""
@@ -21,3 +23,10 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
         .partitionBy("program_id", "instruction")
         .parquet(path)
     )
+
+
+def append_heartbeats(heartbeats: DataFrame, path: str) -> None:
+    """Append every heartbeat to the event log; nothing is merged or replaced."""
+    heartbeats.select(
+        F.col("ts").alias("timestamp"), "merkle_root", "node_pubkey", "shard_count", F.lit(ONLINE).alias("status")
+    ).write.mode("append").parquet(path)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import mixed, saved, slices
-from ixlake.llm.links import connect
+from ixlake.llm.links import connect, shared_postings
 
 LIMIT = 2
 MIN_CHARS = 16  # shorter lines are left alone
@@ -46,15 +46,39 @@ def considered(text: str | None, least: int) -> Iterator[tuple[int, str]]:
             yield at, line
 
 
+def letter_marks(lines: list[str]) -> np.ndarray:
+    """For each line, how often letters of 16 classes occur, four bits a class.
+
+    An edit changes two of the numbers by one at most, so lines whose numbers differ by more
+    in sum than twice the limit are farther apart than the limit.
+    """
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    kind = (mixed(points + np.uint64(7)) >> np.uint64(60)).astype(np.int64)
+    counts = np.bincount(owner * 16 + kind, minlength=16 * len(lines)).reshape(-1, 16) & 15
+    return (counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def can_be_near(one: Column, other: Column, limit: int) -> Column:
+    """Whether two letter marks allow an edit distance up to ``limit``; counts wrap at 16."""
+    total = F.lit(0)
+    for place in range(0, 64, 4):
+        part = lambda x: F.shiftright(x, place).bitwiseAND(F.lit(15))  # noqa: B023, E731
+        apart = F.abs(part(one) - part(other))
+        total = total + F.least(apart, F.lit(16) - apart)
+    return total <= 2 * limit
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            row, place, key = [], [], []
+            row, place, key, strings = [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
                 for at, line in considered(text, MIN_CHARS):
                     row.append(i)
                     place.append(at)
                     key.append(line_key(line))
+                    strings.append(line)
             rows = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -62,8 +86,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column("text_key").take(rows),
                     pa.array(place, pa.int32()),
                     pa.array(key, pa.int64()),
+                    pa.array(letter_marks(strings), pa.int64()),
                 ],
-                ["doc_id", "text_key", "place", "line"],
+                ["doc_id", "text_key", "place", "line", "mark"],
             )
 
 
@@ -261,11 +286,11 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     rows = _keyed(docs)
     lines = saved(
-        rows.mapInArrow(_occurrences, "doc_id long, text_key long, place int, line long"), "lines"
+        rows.mapInArrow(_occurrences, "doc_id long, text_key long, place int, line long, mark long"), "lines"
     )
     where = F.struct("doc_id", "text_key", "place")
     distinct = saved(
-        lines.groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n")), "distinct-lines"
+        lines.groupBy("line").agg(F.min(where).alias("first"), F.first("mark").alias("mark"), F.count("*").alias("n")), "distinct-lines"
     )
     posted = rows.select("text").mapInArrow(_posted(limit, MIN_NEAR_CHARS), "key long, id long, post boolean")
     posted = saved(posted, "segments")
@@ -281,22 +306,23 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     met = saved(met, "met")
     hit = met.select("key").distinct()
     postings = met.select("key", "id", "post").unionByName(index.join(hit, "key", "left_semi"))
+    marks = distinct.select(F.col("line").alias("id"), "mark")
+    postings = shared_postings(postings.join(marks, "id"))
+    # The lines that share a key, taken from the documents of their first occurrence.
+    needed = saved(postings.select(F.col("id").alias("line")).distinct(), "needed")
+    owning = distinct.join(needed, "line", "left_semi").select(
+        F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("key")
+    ).distinct()
+    strings = saved(
+        rows.join(owning, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left_semi")
+        .select("text")
+        .mapInArrow(_texts_of_lines(MIN_NEAR_CHARS), "line long, string string")
+        .join(needed, "line", "left_semi")
+        .dropDuplicates(["line"]),
+        "strings",
+    )
 
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = saved(
-            pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "needed"
-        )
-        owning = distinct.join(needed, "line", "left_semi").select(
-            F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("key")
-        ).distinct()
-        strings = saved(
-            rows.join(owning, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left_semi")
-            .select("text")
-            .mapInArrow(_texts_of_lines(MIN_NEAR_CHARS), "line long, string string")
-            .join(needed, "line", "left_semi")
-            .dropDuplicates(["line"]),
-            "strings",
-        )
         return (
             pairs.join(strings.select(F.col("line").alias("a"), F.col("string").alias("one")), "a")
             .join(strings.select(F.col("line").alias("b"), F.col("string").alias("other")), "b")
@@ -304,7 +330,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             .mapInArrow(_verified(limit), "a long, b long")
         )
 
-    labels = connect(postings, verify)
+    labels = connect(postings, verify, lambda one, other: can_be_near(one, other, limit))
     labelled = distinct.join(labels.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "first", "n", "component"
     )

@@ -2,38 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import saved
 
 # Pivot rounds go on while more pairs than this share of the postings are open.
-OPEN_SHARE = 0.25
+OPEN_SHARE = 1.0
+# Up to this many pairs a posting are counted by their marks before a pivot round is taken.
+JUDGED_SHARE = 500.0
 ROUNDS = 6
+FOREST_EDGES = 250_000  # edges of a task, with twice as many nodes at most
+MOST_PIVOTS = 64  # pivots of a key in a round, however many ids share it
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-    return row["n"], row["x"]
+def _forest(held: int):
+    """Edges (hi, lo) of a part to stars of its own components, ``held`` nodes at a time."""
 
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
 
-def components(edges: DataFrame) -> DataFrame:
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def flushed() -> pa.RecordBatch:
+            pairs = [(x, root(x)) for x in list(up)]
+            pairs = [(x, r) for x, r in pairs if x != r]
+            up.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["hi", "lo"]
+            )
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                if len(up) > held:
+                    yield flushed()
+        if up:
+            yield flushed()
+
+    return forest
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Every hi has one lo, and no lo is a hi."""
+    row = edges.agg(F.count("*").alias("n"), F.count_distinct("hi").alias("distinct")).first()
+    if row["n"] != row["distinct"]:
+        return False
+    return edges.join(edges.select(F.col("lo").alias("hi")), "hi", "left_semi").isEmpty()
+
+
+def components(edges: DataFrame, held: int = FOREST_EDGES) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is its least node.
 
-    Alternating stars: every node's larger neighbours move to its least neighbour, then
-    its smaller ones do. Rounds end when the edges are stars. Each round is two
-    aggregations with map-side minima and joins with them, so no node's neighbours are gathered.
+    Parts of the edges become stars of their own, in tasks. Then, in alternation, every
+    node's larger neighbours move to its least neighbour and its smaller ones do, until all edges are
+    stars. Each round is two aggregations with map-side minima and joins with them, so
+    no node's neighbours are gathered.
     """
-    now = saved(
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct(),
+    given = saved(
+        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")),
         "edges",
     )
-    before = _signature(now)
-    while before[0]:
+    # As few parts as tasks can hold: the edges of one part need no further round.
+    parts = -(-given.count() // held) or 1
+    now = saved(given.repartition(parts).mapInArrow(_forest(2 * held), "hi long, lo long"), "stars")
+    while parts > 1 and not _are_stars(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -52,11 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(down.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        now = saved(small, "stars")
-        after = _signature(now)
-        if after == before:
-            break
-        before = after
+        now = saved(small.mapInArrow(_forest(2 * held), "hi long, lo long"), "stars")
     members = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return members.unionByName(roots)
@@ -66,7 +104,7 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return postings.withColumn("label", F.col("id"))
     return postings.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "post", F.coalesce("component", "id").alias("label")
+        *postings.columns, F.coalesce("component", "id").alias("label")
     )
 
 
@@ -78,25 +116,67 @@ def _open_pairs(labelled: DataFrame) -> int:
     return int(row["pairs"])
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the ids that ``verify`` links among those sharing a key.
-
-    ``postings`` has key, id and post; a pair counts when one of its rows has post set.
-    ``verify`` takes candidate pairs (a, b) and returns the linked ones. Returns (node,
-    component) of linked ids.
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """Rows of (key, id, post), once each, of keys that two ids share, one of them with post set.
 
-    A key that many ids share isn't joined with itself at once. In each round one pivot of a key
-    meets the others; those linked get one label, and pairs inside a label need
-    no test. When few pairs are left, all of them are tested, so no link between two labels
-    is lost. The rounds change how many pairs are tested, never the components.
+    Other columns, such as ``mark`` and ``weight``, are values of the id and go along.
     """
     groups = postings.groupBy("key").agg(
         F.min("id").alias("least"), F.max("id").alias("most"), F.max("post").alias("any_post")
     )
     shared = groups.where((F.col("least") != F.col("most")) & F.col("any_post")).select("key")
-    postings = saved(
-        postings.join(shared, "key").groupBy("key", "id").agg(F.max("post").alias("post")), "postings"
+    more = [F.first(c).alias(c) for c in postings.columns if c not in ("key", "id", "post")]
+    return saved(postings.join(shared, "key").groupBy("key", "id").agg(F.max("post").alias("post"), *more), "postings")
+
+
+def _pivots(labelled: DataFrame, turn: int) -> DataFrame:
+    """A few ids of each key that has several labels: one, and more for large keys.
+
+    Ids of more ``weight``, if there is one, come first, and others in each turn. One order for all keys, so
+    a set of alike ids has the same pivots in most of its keys.
+    """
+    open_keys = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+        .where(F.col("least") != F.col("most"))
+        .select("key", "n")
+    )
+    order = [F.col("weight").desc()] if "weight" in labelled.columns else []
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*order, F.xxhash64("id"), "id"))
+    ranked = labelled.where("post").withColumn("place", place).where(F.col("place") <= MOST_PIVOTS * (turn + 1))
+    each = F.greatest(F.lit(1), F.ceil(F.log2("n")) - 3)
+    return ranked.join(open_keys, "key").where(
+        (F.col("place") > turn * each) & (F.col("place") <= (turn + 1) * each)
+    )
+
+
+def _met(one: DataFrame, other: DataFrame, alike: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Pairs (a, b) of ids of one key with different labels whose marks are alike."""
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+    if alike is not None:
+        same = same & alike(F.col("x.mark"), F.col("y.mark"))
+    return one.alias("x").join(other.alias("y"), same).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     )
+
+
+def connect(
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    alike: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Components of the ids that ``verify`` links among those sharing a key.
+
+    ``postings`` is what :func:`shared_postings` gives; a pair counts when one of its rows has post
+    set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say of two marks that
+    their ids can't be linked; it is part of the join's condition, so such pairs are never made.
+    Returns (node, component) of linked ids.
+
+    A key that many ids share isn't joined with itself at once. In each round a few pivots of a
+    key meet the others; those linked get one label, and pairs inside a label need
+    no test. When few pairs are left, all of them are tested, so no link between two labels
+    is lost. The rounds change how many pairs are tested, never the components.
+    """
     total = postings.count()
     labels, tested, stars = None, None, None
     for turn in range(ROUNDS + 1):
@@ -104,36 +184,16 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Da
         still_open = _open_pairs(labelled)
         if not still_open:
             break
+        every = _met(labelled.where("post"), labelled, alike)
+        if alike is not None and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
+            still_open = every.count()
         last = turn == ROUNDS or still_open <= OPEN_SHARE * total
-        if last:
-            one, other = labelled.where("post").alias("x"), labelled.alias("y")
-            met = one.join(
-                other, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-            ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        else:
-            # One order for all keys, so a set of alike ids has one pivot in most of its keys.
-            order = F.struct(F.xxhash64(F.col("id"), F.lit(turn)).alias("h"), "id", "label")
-            pivots = (
-                labelled.groupBy("key")
-                .agg(
-                    F.min(F.when(F.col("post"), order)).alias("pivot"),
-                    F.min("label").alias("least"),
-                    F.max("label").alias("most"),
-                )
-                .where(F.col("least") != F.col("most"))
-                .select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label"))
-            )
-            met = (
-                labelled.join(pivots, "key")
-                .where(F.col("label") != F.col("pivot_label"))
-                .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            )
+        met = every if last else _met(_pivots(labelled, turn), labelled, alike)
         met = met.distinct()
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         met = saved(met, "pairs")
-        found = verify(met)
-        edges = found.select("a", "b")
+        edges = verify(met).select("a", "b")
         if stars is not None:
             edges = edges.unionByName(stars)
         labels = saved(components(edges), "labels")

@@ -1,9 +1,10 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 A document is posted under each (coordinate, value) of its signature. Two documents that reach
-the match threshold T of m coordinates agree in at least one of any m - T + 1, so only that
-prefix of coordinates is posted. Candidates that share a posting count their collisions over
-whole signatures, and those with T or more are compared on their full shingle sets.
+the match threshold T of m coordinates agree in at least one of the m - T + 1 rarest postings of
+each, so only that prefix is met; postings of a single document are skipped. Candidates that share
+a posting count their collisions over whole signatures, and those with T or more are
+compared on their full shingle sets.
 
 Documents with equal sets are one node from the start, however many there are.
 """
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import hashed, saved, slices, split_words, windows
-from ixlake.llm.links import connect
+from ixlake.llm.links import connect, shared_postings
 
 COORDINATES = 20
 MISS = 1e-6  # most chance that a pair at the similarity threshold stays below T
@@ -115,6 +117,34 @@ def _full_sets(width: int):
     return full_sets
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "shingles", 2 << 20):
+            sizes = pc.binary_length(part.column("shingles")).to_numpy(zero_copy_only=False) // 8
+            found = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
+            ids = part.column("set_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(found)], ["id", "shingle"])
+
+
+def _able(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, mark, weight) of the sets that can have a link at all.
+
+    What a set shares with any other one is among its shingles that two of the sets hold. Where
+    these are too few the set has no link, so the many loosely alike documents of a
+    family are never compared with each other. ``mark`` is the size; ``weight`` is the
+    shared part, which is largest for the documents that the others were copied from.
+    """
+    shingles = sets.dropDuplicates(["set_id"]).mapInArrow(_exploded, "id long, shingle long")
+    shingles = saved(shingles, "shingles")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = shingles.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+    return (
+        shared.join(classes.select(F.col("set_id").alias("id"), F.col("n_shingles").alias("mark")), "id")
+        .where(100 * F.col("shared") >= percent * F.col("mark"))
+        .select("id", "mark", (F.col("shared") / F.col("mark")).alias("weight"))
+    )
+
+
 def _linked(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,46 +187,61 @@ def near_duplicates(
         "sets",
     )
     least = match_threshold(coordinates, percent)
-    prefix = coordinates - least + 1
-    postings = classes.select(
-        F.col("set_id").alias("id"),
-        F.lit(True).alias("post"),
-        F.posexplode(F.slice("signature", 1, prefix)).alias("at", "value"),
-    ).select(F.xxhash64("at", "value").alias("key"), "id", "post")
+    tokens = classes.select(F.col("set_id").alias("id"), F.posexplode("signature").alias("at", "value")).select(
+        F.xxhash64("at", "value").alias("key"), "id"
+    )
+    held = tokens.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # Postings of one document come first in the order by rarity and meet nobody, so of k
+    # shared postings the first k - T + 1 are the rest of the prefix. A document has at most m.
+    rarest = F.array_sort(F.collect_list(F.struct("n", "key")))
+    prefixes = saved(
+        tokens.join(held, "key")
+        .groupBy("id")
+        .agg(rarest.alias("rarest"))
+        .where(F.size("rarest") >= least)
+        .select("id", F.explode(F.slice("rarest", F.lit(1), F.size("rarest") - least + 1)).alias("posting"))
+        .select(F.col("posting.key").alias("key"), "id", F.lit(True).alias("post")),
+        "prefixes",
+    )
+    met = shared_postings(prefixes).select("id").distinct()
+    # Full sets only of documents that share a posting, made from their texts anew.
+    needed = classes.join(met.withColumnRenamed("id", "set_id"), "set_id", "left_semi").select(
+        F.col("doc_id").alias("doc")
+    )
+    sets = saved(
+        rows.join(needed, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+        .select("text")
+        .mapInArrow(_full_sets(width), "set_id long, shingles binary")
+        .where(F.col("set_id").isNotNull()),
+        "full-sets",
+    )
+    able = _able(sets, classes, percent)
+    postings = shared_postings(prefixes.join(able, "id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = classes.select("set_id", "n_shingles", "signature", "doc_id")
+        side = classes.select("set_id", "n_shingles", "signature")
         agree = F.aggregate(
             F.zip_with("s.signature", "t.signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
         )
-        near = saved(
+        near = (
             pairs.join(side.alias("s"), F.col("a") == F.col("s.set_id"))
             .join(side.alias("t"), F.col("b") == F.col("t.set_id"))
             .where(
                 100 * F.least("s.n_shingles", "t.n_shingles") >= percent * F.greatest("s.n_shingles", "t.n_shingles")
             )
             .where(agree >= least)
-            .select("a", "b", F.col("s.doc_id").alias("doc_a"), F.col("t.doc_id").alias("doc_b")),
-            "near",
-        )
-        # Full sets only of documents in a candidate pair, made from their texts anew.
-        needed = near.select(F.col("doc_a").alias("doc")).unionByName(near.select(F.col("doc_b").alias("doc"))).distinct()
-        sets = (
-            rows.join(needed, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
-            .select("text")
-            .mapInArrow(_full_sets(width), "set_id long, shingles binary")
-            .where(F.col("set_id").isNotNull())
-            .dropDuplicates(["set_id"])
+            .select("a", "b")
         )
-        sets = saved(sets, "full-sets")
+        # A repeated row gives its set twice, and then a link twice, which does no harm.
         return (
-            near.select("a", "b")
-            .join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("one")), "a")
+            near.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("one")), "a")
             .join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("other")), "b")
             .mapInArrow(_linked(percent), "a long, b long")
         )
 
-    labels = connect(postings, verify)
+    labels = connect(
+        postings, verify, lambda one, other: 100 * F.least(one, other) >= percent * F.greatest(one, other)
+    )
     named = classes.select("set_id", "doc_id").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "doc_id", F.coalesce("component", "set_id").alias("label")
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ixlake.llm import covertree
 from ixlake.llm.covertree import near_vectors
-from ixlake.llm.lines import Segments, _plain_distance, banded_distances, dedup_lines, normal_line
-from ixlake.llm.links import components, connect
+from ixlake.llm.lines import Segments, _plain_distance, banded_distances, dedup_lines, letter_marks, normal_line
+from ixlake.llm.links import components, connect, shared_postings
 from ixlake.llm.minhash import match_threshold, near_duplicates, without_duplicates
 
 
@@ -27,11 +27,12 @@ class Sets:
         self.up[max(a, b)] = min(a, b)
 
 
-def test_components_on_chains_stars_and_rings(spark):
+@pytest.mark.parametrize("held", [250_000, 20])
+def test_components_on_chains_stars_and_rings(spark, held):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200)]
     edges += [(300, 300), (5, 5)]
     random.Random(2).shuffle(edges)
-    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5), held).collect()}
     expected = Sets(range(400))
     for a, b in edges:
         expected.join(a, b)
@@ -56,7 +57,7 @@ def test_connect_finds_every_component_of_a_crowded_key(spark, seed):
             .select("a", "b")
         )
 
-    out = {r["node"]: r["component"] for r in connect(spark.createDataFrame(rows, "key long, id long, post boolean"), verify).collect()}
+    out = {r["node"]: r["component"] for r in connect(shared_postings(spark.createDataFrame(rows, "key long, id long, post boolean")), verify).collect()}
     expected = Sets(ids)
     for i in ids:
         for j in ids[:i]:
@@ -137,6 +138,10 @@ def test_distances_and_segments(limit):
         second.append("".join(b))
     exact = np.array([_plain_distance(a, b) for a, b in zip(first, second, strict=True)])
     assert (np.minimum(banded_distances(first, second, limit), limit + 1) == np.minimum(exact, limit + 1)).all()
+    marks = [[int(m) >> p & 15 for p in range(0, 64, 4)] for m in letter_marks(first + second).view(np.uint64)]
+    for i, d in enumerate(exact):
+        apart = [abs(x - y) for x, y in zip(marks[i], marks[len(first) + i], strict=True)]
+        assert d > limit or sum(min(x, 16 - x) for x in apart) <= 2 * limit
     lines = sorted({x for x in first + second if len(x) > limit})
     segments, where = Segments(lines, limit), {x: i for i, x in enumerate(lines)}
     index = {}

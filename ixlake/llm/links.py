@@ -164,12 +164,14 @@ def connect(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     alike: Callable[[Column, Column], Column] | None = None,
+    sharp: bool = False,
 ) -> DataFrame:
     """Components of the ids that ``verify`` links among those sharing a key.
 
     ``postings`` is what :func:`shared_postings` gives; a pair counts when one of its rows has post
     set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say of two marks that
-    their ids can't be linked; it is part of the join's condition, so such pairs are never made.
+    their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
+    says that it leaves few pairs, so that these are counted before another round of pivots.
     Returns (node, component) of linked ids.
 
     A key that many ids share isn't joined with itself at once. In each round a few pivots of a
@@ -185,7 +187,7 @@ def connect(
         if not still_open:
             break
         every = _met(labelled.where("post"), labelled, alike)
-        if alike is not None and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
+        if sharp and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
             still_open = every.count()
         last = turn == ROUNDS or still_open <= OPEN_SHARE * total
         met = every if last else _met(_pivots(labelled, turn), labelled, alike)

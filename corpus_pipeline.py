@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ixlake.llm.common import shared_root
 from ixlake.llm.lines import dedup_lines
 from ixlake.llm.minhash import without_duplicates
-from ixlake.llm.mixing import mix_documents
+from ixlake.llm.mixing import mix_documents, word_count
 from ixlake.llm.packing import pack_documents
 from ixlake.llm.quality import clean_documents
 from ixlake.session import prepare
@@ -43,23 +43,28 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a repeated one stands in several rows."""
+    """Documents as often as the mix takes them; one taken three times stands in three rows.
+
+    A row finds its number of copies by id, size and source. Rows that agree in all three
+    share their copies evenly.
+    """
     prepare(spark)
-    mix = mix_documents(docs).where("taken > 0")
-    times = (
-        mix.select(F.col("doc_id").alias("id"), "size", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-        .groupBy("id", "size", "times")
-        .agg(F.count("*").alias("rows"))
+    taken = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0))
+    copies = (
+        mix_documents(docs)
+        .groupBy("doc_id", "size", "source")
+        .agg(F.floor(F.sum(taken) / F.count("*")).cast("int").alias("copies"))
+        .where("copies > 0")
+    )
+    same = (
+        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
+        & F.col("d.source").eqNullSafe(F.col("c.source"))
+        & (word_count("d.text") == F.col("c.size"))
     )
-    return _repeated(docs, times)
-
-
-def _repeated(docs: DataFrame, times: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as ``times`` says; ids are unique after near_copies."""
-    copies = times.groupBy("id").agg(F.sum(F.col("times") * F.col("rows")).cast("int").alias("copies"))
     return (
-        docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
-        .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        docs.alias("d")
+        .join(copies.alias("c"), same)
+        .select(*[F.col(f"d.{n}") for n in COLUMNS], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("copy"))
         .select(*COLUMNS)
     )
 

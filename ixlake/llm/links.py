@@ -14,7 +14,7 @@ from ixlake.llm.common import saved
 OPEN_SHARE = 1.0
 # Up to this many pairs a posting are counted by their marks before a pivot round is taken.
 JUDGED_SHARE = 500.0
-ROUNDS = 6
+ROUNDS = 3
 FOREST_EDGES = 250_000  # edges of a task, with twice as many nodes at most
 MOST_PIVOTS = 64  # pivots of a key in a round, however many ids share it
 

@@ -307,7 +307,9 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     hit = met.select("key").distinct()
     postings = met.select("key", "id", "post").unionByName(index.join(hit, "key", "left_semi"))
     marks = distinct.select(F.col("line").alias("id"), "mark")
-    postings = shared_postings(postings.join(marks, "id"))
+    # The line that others were made from shares most of its keys, and so is a pivot first.
+    weights = postings.groupBy("id").agg(F.count_distinct("key").cast("double").alias("weight"))
+    postings = shared_postings(postings.join(weights, "id").join(marks, "id"))
     # The lines that share a key, taken from the documents of their first occurrence.
     needed = saved(postings.select(F.col("id").alias("line")).distinct(), "needed")
     owning = distinct.join(needed, "line", "left_semi").select(

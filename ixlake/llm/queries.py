@@ -81,4 +81,43 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_token_output": op10_token_output,
 }
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+    grams AS (
+      SELECT rid, unnest(range(1, len(ws) - 6)) AS pos, unnest([array_to_string(ws[i:i + 7], ' ')
+        FOR i IN range(1, len(ws) - 6)]) AS gram FROM d WHERE len(ws) >= 8),
+    repeats AS (
+      SELECT rid, count(DISTINCT pos + k) AS n FROM (
+        SELECT rid, pos, count(*) OVER (PARTITION BY rid, gram) AS times FROM grams),
+        (SELECT unnest(range(8)) AS k) WHERE times > 1 GROUP BY rid),
+    raw AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+    lines AS (
+      SELECT rid, source, t, line, len(regexp_extract_all(line, '{_WORD}')) AS words,
+        translate(array_to_string(regexp_extract_all(line, '{_WORD}'), ' '), '{_UPPER}', '{_LOWER}') AS norm
+      FROM raw WHERE regexp_matches(line, '{_WORD}')),
+    duplicates AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+    hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+    frequent AS (
+      SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM lines GROUP BY source, norm) f
+      WHERE n > 10 AND n * 100.0 > 1.0 * (SELECT h.n FROM hosts h WHERE h.source IS NOT DISTINCT FROM f.source)),
+    gone AS (
+      SELECT rid, sum(words)::BIGINT AS n FROM lines l
+      WHERE EXISTS (SELECT 1 FROM frequent f WHERE f.norm = l.norm AND f.source IS NOT DISTINCT FROM l.source) GROUP BY rid),
+    counted AS (
+      SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0)::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(g.n, 0)::BIGINT AS n_boilerplate_words
+      FROM d LEFT JOIN duplicates u USING (rid) LEFT JOIN repeats r USING (rid) LEFT JOIN gone g USING (rid))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+      NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_boilerplate_words >= 20
+        AND (n_words - n_boilerplate_words) * 100 >= 30 * n_words AS kept
+    FROM counted
+    """,
+}

@@ -18,9 +18,9 @@ from ixlake.llm.common import coded, split_words
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 # Words remembered between slices; beyond that the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _LATIN = "ɐ"  # letters below it have no composed forms apart from themselves
 _PLAIN_ENDS = ".,;:!?"
 
@@ -66,14 +66,14 @@ class Encoder:
         starts, flat = split_words(texts)
         codes, distinct = coded(flat)
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) >= REMEMBERED:
             known.clear()
         listed = []
         for raw in distinct:
             ids = known.get(raw)
             if ids is None:
                 ids = self._word(raw)
-                if len(raw) <= 64 and len(known) <= 4 * REMEMBERED:
+                if len(raw) <= 64 and len(known) < REMEMBERED:
                     known[raw] = ids
             listed.append(ids)
         sizes = np.fromiter(map(len, listed), np.int64, len(listed))

@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ixlake.llm.common import shared_root
+from ixlake.llm.common import saved, shared_root
 from ixlake.llm.lines import dedup_lines
 from ixlake.llm.minhash import without_duplicates
-from ixlake.llm.mixing import mix_documents, word_count
+from ixlake.llm.mixing import mix_documents
 from ixlake.llm.packing import pack_documents
 from ixlake.llm.quality import clean_documents
 from ixlake.session import prepare
@@ -45,26 +45,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one taken three times stands in three rows.
 
-    A row finds its number of copies by id, size and source. Rows that agree in all three
-    share their copies evenly.
+    Every row has a number of its own, so rows that agree in id, size and source get
+    the copies drawn for each.
     """
     prepare(spark)
-    taken = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0))
-    copies = (
-        mix_documents(docs)
-        .groupBy("doc_id", "size", "source")
-        .agg(F.floor(F.sum(taken) / F.count("*")).cast("int").alias("copies"))
-        .where("copies > 0")
-    )
-    same = (
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("c.source"))
-        & (word_count("d.text") == F.col("c.size"))
-    )
+    # The numbers are taken before the table is written, and read from it ever after.
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mixture")
+    taken = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
+    copies = mix_documents(rows, row="row").select("row", taken.alias("copies")).where("copies > 0")
     return (
-        docs.alias("d")
-        .join(copies.alias("c"), same)
-        .select(*[F.col(f"d.{n}") for n in COLUMNS], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("copy"))
+        rows.join(copies, "row")
+        .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
         .select(*COLUMNS)
     )
 

@@ -150,16 +150,22 @@ def _fit(histogram: pd.DataFrame) -> pd.DataFrame:
     return out.drop(columns="n")
 
 
-def mix_documents(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, row: str | None = None
+) -> DataFrame:
     """How many words of every row of (doc_id, text, source) the mix takes.
 
     Returns doc_id, size, source, source_size, target and taken (size times the number of
     copies, 0 to 3). A null source is a source of its own. Null and empty texts have size 0
     and take nothing. Repeated rows are documents of their own; which of them is taken
     does not matter, since they are equal. Empty input gives an empty result.
+
+    ``row`` names a column that tells all rows apart. It is returned as well, and rows without
+    an id are then drawn by their texts.
     """
+    key = [] if row is None else [F.col(row).alias("row"), F.xxhash64("text").alias("text_hash")]
     rows = saved(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), "source"), "sizes"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), "source", *key), "sizes"
     )
     histogram = saved(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -174,7 +180,9 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEI
         ),
         "fitted",
     )
-    drawn = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn(
+    # A null adds nothing to the hash: the draw of a row with an id is the same either way.
+    by_text = [] if row is None else [F.when(F.col("doc_id").isNull(), F.col("text_hash"))]
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), *by_text)).withColumn(
         "cell", F.shiftrightunsigned(F.col("draw"), 56).cast("int")
     )
     # A length's documents are ranked inside hash ranges, so a length that a third of all
@@ -193,8 +201,9 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEI
             (F.col("f.chosen") - F.col("c.below")).alias("quota"),
         )
     )
+    order = ["draw", "doc_id", *([] if row is None else ["text_hash", "row"])]
     ranked = drawn.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("draw", "doc_id"))
+        "rank", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy(*order))
     )
     same = (
         F.col("r.source").eqNullSafe(F.col("q.source"))
@@ -208,5 +217,6 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEI
         .select(
             "r.doc_id", "r.size", "r.source", "q.source_size", "q.target",
             (F.col("r.size") * times).cast("long").alias("taken"),
+            *([] if row is None else [F.col("r.row").alias(row)]),
         )
     )

@@ -72,3 +72,18 @@ def test_run_on_a_given_folder(spark, sf_dir):
 def test_stages_take_empty_tables(spark, make_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, make_docs([]), "").count() == 0, name
+
+
+def test_mixture_of_rows_that_share_id_and_size(spark, make_docs):
+    def mixed(ids):
+        rows = [(ids(i), f"one two three w{i}", "c") for i in range(60)]
+        rows += [(1000 + i, f"one two w{i}", s) for s, n in (("a", 40), ("b", 40)) for i in range(n)]
+        got = corpus_pipeline.mixture(spark, make_docs(rows), "").collect()
+        return Counter((r["source"], r["text"]) for r in got)
+
+    unique, nulls, repeated = mixed(lambda i: i), mixed(lambda i: None), mixed(lambda i: i // 30)
+    words = lambda got, s: sum(n * len(t.split()) for (x, t), n in got.items() if x == s)
+    assert 0 < sum(n for (s, _), n in unique.items() if s == "c") < 60
+    for got in (nulls, repeated):
+        assert all(words(got, s) == words(unique, s) for s in "abc")
+    assert max(n for (s, _), n in nulls.items() if s == "c") == 1

@@ -91,13 +91,14 @@ def _signed(width: int, coordinates: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array(np.diff(starts), pa.int64()),
                         pa.array(_set_ids(starts, found), pa.int64()),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(len(signature) + 1) * coordinates, pa.int32()), pa.array(signature.ravel())
                         ),
                     ],
-                    ["doc_id", "n_shingles", "set_id", "signature"],
+                    ["doc_id", "text_hash", "n_shingles", "set_id", "signature"],
                 )
 
     return signed
@@ -159,31 +160,27 @@ def _linked(percent: int):
     return linked
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES
-) -> DataFrame:
-    """Groups of near copies among the rows of (doc_id, text).
+def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (set_id, doc_id, first, label) of every distinct set.
 
-    Words are runs of characters other than ASCII white space, with A-Z lower-cased. A set holds the distinct
-    runs of ``width`` words; fewer words are one run. Two rows are linked when
-    100 * intersection >= percent * union. Returns doc_id, n_shingles, component_id (the
-    least doc_id reachable by links, itself included) and kept (doc_id = component_id).
-
-    A null text or one without words has an empty set and no links. Rows with one doc_id are all
-    returned. A null id is never the least; where no row reachable has an id, component_id is null and
-    kept is true. Empty input gives an empty result.
+    ``first`` is the row that goes before all others of the set, as (no_id, doc_id, set_id, text_hash).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(
-        rows.mapInArrow(
-            _signed(width, coordinates), "doc_id long, n_shingles long, set_id long, signature array<int>"
+        rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _signed(width, coordinates),
+            "doc_id long, text_hash long, n_shingles long, set_id long, signature array<int>",
         ),
         "signatures",
     )
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_id", "text_hash")
     classes = saved(
         signed.where(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
+        .agg(
+            F.min("doc_id").alias("doc_id"), F.min(first).alias("first"),
+            F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+        ),
         "sets",
     )
     least = match_threshold(coordinates, percent)
@@ -242,9 +239,26 @@ def near_duplicates(
     labels = connect(
         postings, verify, lambda one, other: 100 * F.least(one, other) >= percent * F.greatest(one, other)
     )
-    named = classes.select("set_id", "doc_id").join(labels, F.col("set_id") == F.col("node"), "left").select(
-        "set_id", "doc_id", F.coalesce("component", "set_id").alias("label")
+    return signed, classes.select("set_id", "doc_id", "first").join(labels, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "doc_id", "first", F.coalesce("component", "set_id").alias("label")
     )
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES
+) -> DataFrame:
+    """Groups of near copies among the rows of (doc_id, text).
+
+    Words are runs of characters other than ASCII white space, with A-Z lower-cased. A set holds the distinct
+    runs of ``width`` words; fewer words are one run. Two rows are linked when
+    100 * intersection >= percent * union. Returns doc_id, n_shingles, component_id (the
+    least doc_id reachable by links, itself included) and kept (doc_id = component_id).
+
+    A null text or one without words has an empty set and no links. Rows with one doc_id are all
+    returned. A null id is never the least; where no row reachable has an id, component_id is null and
+    kept is true. Empty input gives an empty result.
+    """
+    signed, named = _labelled(docs, width, percent, coordinates)
     firsts = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(firsts, "label").select("set_id", "component_id")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -261,11 +275,17 @@ def near_duplicates(
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one of each group of near copies.
 
-    Exactly repeated rows of a document that stays are dropped as well.
+    Of a group the row stays that has the least id, null last, then the least set and text hash. Rows
+    without words are no copies of each other. Rows equal in id and text are one.
     """
-    kept = near_duplicates(docs, width, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = saved(kept, "kept")
-    joined = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")))
+    signed, named = _labelled(docs, width, percent, COORDINATES)
+    firsts = named.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    wordless = signed.where(F.col("set_id").isNull()).select("doc_id", "text_hash").distinct()
+    times = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    same = F.col("n.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("n.text_hash") == F.col("f.text_hash"))
+    kept = saved(times.alias("n").join(firsts.unionByName(wordless).alias("f"), same).select("n.*"), "kept")
+    this = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash"))
+    joined = docs.alias("d").join(kept.alias("k"), this)
     names = [F.col(f"d.`{n}`").alias(n) for n in docs.columns]
     once = joined.where(F.col("k.copies") == 1).select(names)
     repeated = joined.where(F.col("k.copies") > 1).select(names).dropDuplicates(["doc_id", "text"])

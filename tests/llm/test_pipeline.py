@@ -87,3 +87,24 @@ def test_mixture_of_rows_that_share_id_and_size(spark, make_docs):
     for got in (nulls, repeated):
         assert all(words(got, s) == words(unique, s) for s in "abc")
     assert max(n for (s, _), n in nulls.items() if s == "c") == 1
+
+
+def test_near_copies_keep_one_row_a_group(spark, make_docs):
+    def family(name):
+        base = [f"{name}{i}" for i in range(80)]
+        return [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in (0, 1, 78)] + [" ".join(base)]
+
+    a, b, c, d = map(family, "abcd")
+    rows = [(None, t) for t in a]  # a group without ids
+    rows += [(1, b[0]), (None, b[1]), (None, b[2])]  # its copies have the id of a row that stays
+    rows += [(2, c[0]), (5, c[1]), (5, "another text " * 9)]  # 5 stays for its other text only
+    rows += [(7, d[0]), (7, d[1]), (7, d[0].upper()), (7, d[0])]  # one id on several texts of a group
+    rows += [(None, None), (8, ""), (8, " ")]
+    got = corpus_pipeline.near_copies(spark, make_docs(rows), "").collect()
+    kept = Counter((r["doc_id"], r["text"]) for r in got)
+    assert set(kept.values()) == {1}
+    groups = {name: [k for k in kept if k[1] in set(texts) | {t.upper() for t in texts}] for name, texts in zip("abcd", (a, b, c, d))}
+    assert [len(groups[n]) for n in "abcd"] == [1] * 4
+    assert groups["b"] == [(1, b[0])] and groups["c"] == [(2, c[0])] and groups["d"][0][0] == 7
+    rest = set(kept) - {k for ks in groups.values() for k in ks}
+    assert rest == {(5, "another text " * 9), (None, None), (8, ""), (8, " ")}

@@ -105,14 +105,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_documents(
-    docs: DataFrame, owner: str = "source", repository: str = "doc_id",
+    docs: DataFrame, owner: str = "source", repository: str | None = None,
     max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """Secrets of every row of ``docs``.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned (spans added for
     tokens that look live), n_live and n_copied (base spans by the owners of their value).
-    A null text is an empty one; a null owner or repository counts as one of its own. Repeated rows are
+    A table without a ``repository`` column has one repository for each distinct text, so copies of a
+    document count once for an owner, whatever their ids. A null text is an empty one; a null owner or repository counts as one of its own. Repeated rows are
     scanned each and count once. Empty input gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -122,7 +123,7 @@ def scan_documents(
             F.monotonically_increasing_id().alias("row"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col(owner).cast("string").alias("owner"),
-            F.col(repository).cast("string").alias("repository"),
+            (F.xxhash64(text) if repository is None else F.col(repository).cast("string")).alias("repository"),
             base_spans(text).alias("base"),
             token_spans(text).alias("tokens"),
         ),

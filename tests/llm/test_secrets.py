@@ -72,3 +72,15 @@ def test_nulls_repeats_and_clashing_columns(spark, make_docs):
     rows = rows_of(scan_documents(docs))
     assert [(r["doc_id"], r["n_assign"]) for r in rows] == [(None, 1)] * 2
     assert scan_documents(make_docs([])).count() == 0
+
+
+def test_copies_of_a_document_are_one_repository(make_docs):
+    live, spread = "ghp_Ab3dEf6hIj9lMn2pQr5t", "xyz_Zz3dEf6hIj9lMn2pQr5t"
+    rows = [(i, f"use {live} and token=abcdefgh1", "a") for i in range(6)]
+    rows += [(None, f"text {i} has {spread} and token=abcdefgh2", "a") for i in range(4)]
+    got = rows_of(scan_documents(make_docs(rows)))
+    once = [r for r in got if r["doc_id"] is not None]
+    assert {(r["n_owned"], r["n_live"], r["n_copied"]) for r in once} == {(1, 1, 0)} and len(once) == 6
+    assert all(r["spans"].startswith(f"owned:4:{4 + len(live)},") for r in once)
+    # Four distinct texts are four repositories, also without ids.
+    assert {(r["n_owned"], r["n_live"], r["n_copied"]) for r in got if r["doc_id"] is None} == {(0, 0, 1)}

@@ -252,7 +252,7 @@ def index_instructions(spark, d):
     """The whole universal path: decode by document, envelope, first write per signature
     and table, named argument columns."""
     good = _decoded_notes(spark, d).filter("error IS NULL")
-    first = dedup.insert_ignore(good, ["program_id", "table_name", "signature"], extract.ARRIVAL)
+    first = dedup.insert_ignore(good, list(universal.FIRST_PER_SIGNATURE), extract.ARRIVAL)
     return _note_fields(first, "signature", "slot", "signer")
 
 
@@ -277,7 +277,7 @@ def replay_recent_indexed(spark, d):
     layouts = universal.catalog_layouts(v_idl(spark, d))
     calls = v_note(spark, d).join(layouts.select("program_id").distinct(), "program_id", "left_semi")
     again = universal.decode_calls(replay.recent_per_program(calls, calls), layouts).filter("error IS NULL")
-    first = dedup.insert_ignore(again, list(universal.KEYS), extract.ARRIVAL)
+    first = dedup.insert_ignore(again, list(universal.FIRST_PER_SIGNATURE), extract.ARRIVAL)
     return _note_fields(first, "signature", "slot").select("signature", "slot", "table_name", "text", "memo", "shard_count")
 
 

@@ -17,7 +17,7 @@ from ixlake.sources.documents import stream_documents
 from ixlake.sources.transactions import read_json, stream_json
 from ixlake.streaming.catalog import CatalogReload, current_catalog
 from ixlake.streaming.heartbeat import presence_changes
-from ixlake.operators.universal import universal_module
+from ixlake.operators.universal import catalog_layouts, universal_module
 from ixlake.streaming.ingest import BatchIngest, current_cursor, read_if_written, start_log, start_modules
 from ixlake.streaming.ttl import ttl_dedup_exact, ttl_dedup_watermark
 from ixlake.constants import LENDING_PROGRAMS, PROOF_PROGRAM
@@ -263,3 +263,21 @@ def test_catalog_reload_replaces_a_changed_document(spark, tmp_path):
     write("two.json", "alpha", "beta")
     sink.start(stream_documents(spark, str(docs)), f"{tmp_path}/c").awaitTermination()
     assert values(current_catalog(spark, f"{tmp_path}/catalog"), "instruction") == [("alpha",), ("beta",)]
+
+
+def test_universal_module_keeps_repeated_calls_of_a_transaction(spark):
+    program = "Q" * 40
+    disc = hashlib.sha256(b"global:go").digest()[:8]
+    document = {"name": "q", "address": program, "instructions": [{"name": "go", "args": [{"name": "n", "type": "u8"}]}]}
+    documents = spark.createDataFrame([("q.json", json.dumps(document))], "path string, text string")
+    calls = [(program, None, base64.b64encode(disc + bytes([n])).decode(), []) for n in (9, 9, 7)]
+    tx = spark.createDataFrame(
+        [("S" * 10, 1, None, None, None, 0, k, calls) for k in (1, 2)],  # the transaction comes twice
+        "signature string, slot bigint, ts timestamp_ntz, fee_payer string, description string, feed_partition int, "
+        "feed_offset int, instructions array<struct<programId: string, name: string, data: string, accounts: array<string>>>",
+    )
+    layouts = catalog_layouts(documents)
+    rows = universal_module(layouts, "base64").rows(tx).select("ix_index", "args").collect()
+    assert sorted(map(tuple, rows)) == [(0, '{"n":9}'), (1, '{"n":9}'), (2, '{"n":7}')]
+    first = universal_module(layouts, "base64", first_per_signature=True).rows(tx).select("ix_index", "args").collect()
+    assert [tuple(r) for r in first] == [(0, '{"n":9}')]

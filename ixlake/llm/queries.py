@@ -18,6 +18,9 @@ from ixlake.llm.quality import judge_documents
 from ixlake.llm.secrets import scan_documents
 from ixlake.llm.sharding import shard_documents
 from ixlake.llm.tokenfile import round_trip
+from ixlake.llm.trie import conversation_trie
+from ixlake.llm.urls import judge_urls
+from ixlake.llm.whitening import whiten_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +72,30 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op11 decide; the model's verdicts and scores are beyond SQL."""
+    judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole-number part of op13; eigenvalues are beyond SQL."""
+    return op13_embedding_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -80,6 +107,11 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_sharding": op9_sharding,
     "op10_token_output": op10_token_output,
+    "op11_url_filters": op11_url_filters,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_embedding_whitening": op13_embedding_whitening,
+    "url_rules": url_rules,
+    "whitening_deviation": whitening_deviation,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,4 +152,62 @@ ORACLES: dict[str, str] = {
         AND (n_words - n_boilerplate_words) * 100 >= 30 * n_words AS kept
     FROM counted
     """,
+    "op12_conversation_trie": f"""
+    WITH own AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+        sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) AS k,
+        len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS w
+      FROM conversations WHERE conv_id IS NOT NULL),
+    conv AS (
+      SELECT conv_id, n, conv_id - conv_id % 20 AS donor, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+          lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+      FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id)),
+    rebuilt AS (
+      SELECT c.conv_id, pos - h + least(h, coalesce(d.n, 0)) AS pos, k, w
+      FROM own JOIN conv c USING (conv_id) LEFT JOIN (SELECT conv_id AS donor, n FROM conv) d USING (donor) WHERE pos >= h
+      UNION ALL
+      SELECT c.conv_id, pos, k, w FROM conv c JOIN own ON own.conv_id = c.donor AND pos < h),
+    paths AS (
+      SELECT conv_id, coalesce(list(k ORDER BY pos) FILTER (WHERE k IS NOT NULL), []) AS ks,
+        coalesce(list(w ORDER BY pos) FILTER (WHERE k IS NOT NULL), []) AS ws
+      FROM conv LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+    members AS (SELECT conv_id, len(ks) AS size, unnest(range(len(ks) + 1)) AS depth, ks, ws FROM paths),
+    nodes AS (
+      SELECT ks[:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        min(CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END) AS w,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '') AS ends
+      FROM members GROUP BY ALL),
+    children AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    known AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+    totals AS (
+      SELECT path[:up] AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+        sum((n_convs - 1) * w)::BIGINT AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS up FROM known) GROUP BY 1)
+    SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens,
+      sha256(k.ends) AS ends_sha256
+    FROM known k JOIN totals USING (path) LEFT JOIN known p ON k.depth > 0 AND p.path = k.path[:k.depth - 1]
+    """,
+    "url_rules": f"""
+    SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('org/', 'com/fr/') THEN 'allow' ELSE 'block' END AS verdict
+    FROM (SELECT page_id, host, path, CASE
+        WHEN ('.' || host).ends_with('.example.org') AND path.starts_with('/es/') THEN 'example.org/es/'
+        WHEN ('.' || host).ends_with('.example.org') AND path.starts_with('/en/1') THEN 'example.org/en/1'
+        WHEN ('.' || host).ends_with('.com') AND path.starts_with('/fr/') THEN 'com/fr/'
+        WHEN ('.' || host).ends_with('.com') AND path.starts_with('/de/') THEN 'com/de/'
+        WHEN ('.' || host).ends_with('.org') AND path.starts_with('/') THEN 'org/' END AS rule
+      FROM (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages)))
+    """,
+    "whitening_deviation": """
+    WITH kept AS (
+      SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT + 100000) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    sums AS (SELECT list(s ORDER BY pos) AS s, max(n) AS n FROM (
+      SELECT pos, sum(v) AS s, count(*) AS n FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM kept) GROUP BY pos))
+    SELECT vec_id, n, list_sum(list_transform(list_zip(x, s), lambda z: (n * z[1] - z[2]) * (n * z[1] - z[2])))::BIGINT AS deviation
+    FROM kept, sums
+    """,
 }

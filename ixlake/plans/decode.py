@@ -9,7 +9,10 @@ from ixlake.functions.binary import hex_text, text_to_bytes
 from ixlake.operators import decode, dedup, extract, idl, paging, replay, universal
 from ixlake.plans.registry import query
 from ixlake.plans.views import (
+    _PART_PROGRAM,
+    SQL,
     le_hex,
+    v_calls,
     v_catalog,
     v_idl,
     v_ix,
@@ -192,28 +195,32 @@ def _decoded_notes(spark, d):
 
 
 _KNOWN = "NOT (l_partkey % 4 <> 1 AND l_partkey % 5 = 2) AND l_linenumber <> 7"
+_SHORT_PROGRAM = "CASE WHEN l_partkey % 4 = 1 THEN 'File' ELSE 'Prog' END || l_partkey"
 _NOTE_COLUMNS = """
   CASE WHEN l_linenumber = 6 THEN 'ix_submitheartbeat' ELSE 'ix_note' END AS table_name,
   CASE WHEN l_linenumber <> 6 THEN 'part ' || l_partkey || ' ' || l_returnflag END AS text,
   CASE WHEN l_linenumber <> 6 THEN l_partkey::VARCHAR END AS second_amount,
   CASE WHEN l_linenumber NOT IN (3, 6) THEN (l_suppkey % 65536)::INT END AS memo,
   CASE WHEN l_linenumber <> 6 AND l_linestatus = 'O' THEN (l_partkey * 4000000000)::VARCHAR END AS sell_price,
-  CASE WHEN l_linenumber <> 6 THEN l_linenumber::BIGINT END AS leg_size,
+  CASE WHEN l_linenumber <> 6 THEN l_linenumber::BIGINT + 10 * ix_index END AS leg_size,
   CASE WHEN l_linenumber = 6 THEN l_orderkey END AS shard_count
 """
 
 
 @query(
     "decode_layouts",
-    f"""
-    SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_partkey AS feed_partition,
-      l_suppkey AS feed_offset, NULL::VARCHAR AS error, {_NOTE_COLUMNS}
-    FROM lineitem WHERE {_KNOWN}
-    """,
+    with_views(
+        f"""
+        SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_partkey AS feed_partition,
+          l_suppkey AS feed_offset, ix_index, NULL::VARCHAR AS error, {_NOTE_COLUMNS}
+        FROM v_note WHERE {_KNOWN}
+        """,
+        "v_note",
+    ),
 )
 def decode_layouts(spark, d):
     """Base58 payloads decoded by the layouts of the parts' documents."""
-    return _note_fields(_decoded_notes(spark, d), "signature", "feed_partition", "feed_offset", "error")
+    return _note_fields(_decoded_notes(spark, d), "signature", "feed_partition", "feed_offset", "ix_index", "error")
 
 
 _ARGS = (
@@ -237,39 +244,66 @@ def _note_fields(decoded, *kept):
 
 @query(
     "index_instructions",
-    f"""
-    SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature,
-      epoch_us(l_shipdate) // 400000 + l_orderkey % 1000 AS slot,
-      CASE WHEN l_suppkey % 50 <> 0 THEN 'C' || (l_orderkey % 1000) ELSE 'Unknown' END AS signer,
-      {_NOTE_COLUMNS}
-    FROM lineitem WHERE {_KNOWN}
-    QUALIFY row_number() OVER (PARTITION BY signature, table_name,
-      CASE WHEN l_partkey % 4 = 1 THEN 'File' ELSE 'Prog' END || l_partkey
-      ORDER BY slot, l_partkey, l_suppkey) = 1
-    """,
+    with_views(
+        f"""
+        SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, ix_index,
+          epoch_us(l_shipdate) // 400000 + l_orderkey % 1000 AS slot,
+          CASE WHEN l_suppkey % 50 <> 0 THEN 'C' || (l_orderkey % 1000) ELSE 'Unknown' END AS signer,
+          {_NOTE_COLUMNS}
+        FROM v_note WHERE {_KNOWN}
+        QUALIFY row_number() OVER (PARTITION BY signature, ix_index, table_name, {_SHORT_PROGRAM}
+          ORDER BY slot, l_partkey, l_suppkey) = 1
+        """,
+        "v_note",
+    ),
 )
 def index_instructions(spark, d):
-    """The whole universal path: decode by document, envelope, first write per signature
-    and table, named argument columns."""
+    """The whole universal path: decode by document, envelope, first write per call and table,
+    named argument columns. One in three transactions makes its call twice, and both are kept."""
     good = _decoded_notes(spark, d).filter("error IS NULL")
-    first = dedup.insert_ignore(good, list(universal.FIRST_PER_SIGNATURE), extract.ARRIVAL)
-    return _note_fields(first, "signature", "slot", "signer")
+    first = dedup.insert_ignore(good, list(universal.KEYS), extract.ARRIVAL)
+    return _note_fields(first, "signature", "ix_index", "slot", "signer")
+
+
+@query(
+    "universal_module_rows",
+    with_views(
+        f"""
+        SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, ix_index,
+          epoch_us(l_shipdate) // 400000 + l_orderkey % 1000 AS slot, l_shipdate AS timestamp,
+          CASE WHEN l_suppkey % 50 <> 0 THEN 'C' || (l_orderkey % 1000) ELSE 'Unknown' END AS signer,
+          {_PART_PROGRAM.replace("p_partkey", "l_partkey")} AS program_id,
+          CASE WHEN l_linenumber = 6 THEN 'submitheartbeat' ELSE 'note' END AS instruction,
+          {_NOTE_COLUMNS}
+        FROM v_note WHERE {_KNOWN}
+        QUALIFY row_number() OVER (PARTITION BY signature, ix_index, table_name, program_id
+          ORDER BY slot, l_partkey, l_suppkey) = 1
+        """,
+        "v_note",
+    ),
+)
+def universal_module_rows(spark, d):
+    """The rows that the universal module writes as one of the registry's modules, transactions in."""
+    module = universal.universal_module(universal.catalog_layouts(v_idl(spark, d)))
+    rows = extract.default_registry(module).extract(v_calls(spark, d))["instructions"]
+    return _note_fields(rows, "signature", "ix_index", "slot", "timestamp", "signer", "program_id", "instruction")
 
 
 @query(
     "replay_recent_indexed",
     f"""
-    WITH calls AS (
-      SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature,
+    WITH v_note AS ({SQL["v_note"]}),
+    calls AS (
+      SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, ix_index,
         epoch_us(l_shipdate) // 400000 + l_orderkey % 1000 AS slot, l_partkey, l_suppkey,
-        CASE WHEN l_partkey % 4 = 1 THEN 'File' ELSE 'Prog' END || l_partkey AS p, {_NOTE_COLUMNS}
-      FROM lineitem WHERE {_KNOWN.replace(" AND l_linenumber <> 7", "")}),
+        {_SHORT_PROGRAM} AS p, {_NOTE_COLUMNS}
+      FROM v_note WHERE {_KNOWN.replace(" AND l_linenumber <> 7", "")}),
     recent AS (
       SELECT p, signature FROM (SELECT p, signature, max(slot) AS slot FROM calls GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY p ORDER BY slot DESC, signature) <= 20)
-    SELECT signature, slot, table_name, text, memo, shard_count FROM calls
+    SELECT signature, ix_index, slot, table_name, text, memo, leg_size, shard_count FROM calls
     WHERE (p, signature) IN (SELECT (p, signature) FROM recent) AND NOT ends_with(signature, '-7')
-    QUALIFY row_number() OVER (PARTITION BY signature, table_name, p ORDER BY slot, l_partkey, l_suppkey) = 1
+    QUALIFY row_number() OVER (PARTITION BY signature, ix_index, table_name, p ORDER BY slot, l_partkey, l_suppkey) = 1
     """,
 )
 def replay_recent_indexed(spark, d):
@@ -277,8 +311,10 @@ def replay_recent_indexed(spark, d):
     layouts = universal.catalog_layouts(v_idl(spark, d))
     calls = v_note(spark, d).join(layouts.select("program_id").distinct(), "program_id", "left_semi")
     again = universal.decode_calls(replay.recent_per_program(calls, calls), layouts).filter("error IS NULL")
-    first = dedup.insert_ignore(again, list(universal.FIRST_PER_SIGNATURE), extract.ARRIVAL)
-    return _note_fields(first, "signature", "slot").select("signature", "slot", "table_name", "text", "memo", "shard_count")
+    first = dedup.insert_ignore(again, list(universal.KEYS), extract.ARRIVAL)
+    return _note_fields(first, "signature", "ix_index", "slot").select(
+        "signature", "ix_index", "slot", "table_name", "text", "memo", "leg_size", "shard_count"
+    )
 
 
 _TYPED = "ix_note"
@@ -287,12 +323,13 @@ _TYPED = "ix_note"
 @query(
     "typed_instruction_table",
     f"""
+    WITH v_note AS ({SQL["v_note"]})
     SELECT * EXCLUDE (table_name, second_amount, sell_price, leg_size, shard_count) FROM (
       SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_partkey, {_NOTE_COLUMNS},
         CASE WHEN l_linenumber <> 6 THEN '[' || l_orderkey || ',' || l_partkey || ']' END AS amounts,
         '{{"side":' || CASE WHEN l_linestatus = 'O' THEN '{{"Sell":{{"price":"' || (l_partkey * 4000000000) || '"}}}}'
-          ELSE '{{"Buy":{{}}}}' END || ',"size":' || l_linenumber || '}}' AS leg
-      FROM lineitem WHERE {_KNOWN} AND l_linenumber <> 6)
+          ELSE '{{"Buy":{{}}}}' END || ',"size":' || (l_linenumber + 10 * ix_index) || '}}' AS leg
+      FROM v_note WHERE {_KNOWN} AND l_linenumber <> 6)
     """,
 )
 def typed_instruction_table(spark, d):
@@ -310,8 +347,9 @@ def typed_instruction_table(spark, d):
 @query(
     "log_filter_args",
     f"""
+    WITH v_note AS ({SQL["v_note"]})
     SELECT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_partkey AS feed_partition,
-      l_suppkey AS feed_offset, memo, text FROM (SELECT *, {_NOTE_COLUMNS} FROM lineitem WHERE {_KNOWN})
+      l_suppkey AS feed_offset, memo, text FROM (SELECT *, {_NOTE_COLUMNS} FROM v_note WHERE {_KNOWN})
     WHERE table_name = 'ix_note' AND memo = 7
     """,
 )

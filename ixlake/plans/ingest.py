@@ -14,10 +14,10 @@ from ixlake.plans.registry import query
 from ixlake.plans.views import (
     SQL,
     v_arrivals,
+    v_calls,
     v_catalog,
     v_idl,
     v_ix,
-    v_note,
     v_payload,
     v_tx,
     with_views,
@@ -407,22 +407,23 @@ beats AS (
 
 _CALLS = """
 calls AS (
-  SELECT DISTINCT 'TX' || l_orderkey || '-' || l_linenumber AS signature, l_linenumber = 6 AS beat,
+  SELECT DISTINCT 'TX' || l_orderkey || '-' || l_linenumber AS signature, ix_index, l_linenumber = 6 AS beat,
     CASE WHEN l_partkey % 4 = 1 THEN 'File' ELSE 'Prog' END || l_partkey AS p
-  FROM lineitem WHERE NOT (l_partkey % 4 <> 1 AND l_partkey % 5 = 2) AND l_linenumber <> 7)
+  FROM v_note WHERE NOT (l_partkey % 4 <> 1 AND l_partkey % 5 = 2) AND l_linenumber <> 7)
 """
 
 
 @query(
     "extractor_fan_out",
     _over(
-        [_LIQUIDATIONS, _NARRATIVES, _PROOFS, "v_payload AS (" + SQL["v_payload"] + ")", _BEATS, _CALLS],
+        [_LIQUIDATIONS, _NARRATIVES, _PROOFS, "v_payload AS (" + SQL["v_payload"] + ")", "v_note AS (" + SQL["v_note"] + ")", _BEATS, _CALLS],
         """
         SELECT 'liquidations' AS module, count(*) AS written, max(slot) AS last_slot FROM liq
         UNION ALL SELECT 'narratives', count(*), max(slot) FROM nar
         UNION ALL SELECT 'proof_logs', count(*), max(slot) FROM prf
         UNION ALL SELECT 'heartbeats', (SELECT count(*) FROM beats), NULL
-        UNION ALL SELECT 'instructions', (SELECT count(*) FROM calls), NULL
+        UNION ALL SELECT 'instructions', (SELECT count(*) FROM calls), (SELECT max(epoch_us(l_shipdate) // 400000 + l_orderkey % 1000)
+          FROM v_note WHERE NOT (l_partkey % 4 <> 1 AND l_partkey % 5 = 2) AND l_linenumber <> 7)
         """,
     ),
 )
@@ -444,7 +445,7 @@ def extractor_fan_out(spark, d):
 
     tx = v_tx(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     beats = as_transactions(v_payload(spark, d), F.lit(K.HEARTBEAT_PROGRAM), accounts=F.col("accounts"))
-    calls = as_transactions(v_note(spark, d), F.col("program_id"), accounts=F.array().cast("array<string>"))
+    calls = v_calls(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     module = universal.universal_module(universal.catalog_layouts(v_idl(spark, d)))
     feed = tx.unionByName(beats).unionByName(calls)
     parts = [

@@ -342,27 +342,34 @@ FROM (SELECT program_id, ix ->> '$.name' AS ix_name, unnest((ix -> '$.args')::JS
 """
 
 
-def v_note(spark: SparkSession, d: str) -> DataFrame:
-    """``Note`` and ``submitHeartbeat`` calls on the parts' programs, payload in base58."""
+def v_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions of ``Note`` and ``submitHeartbeat`` calls on the parts' programs, payload in base58.
+
+    One in three transactions makes its call twice; the second one differs in the size of its leg.
+    """
     text = "concat('part ', l_partkey, ' ', l_returnflag)"
     side = f"if(l_linestatus = 'O', concat('01', {le_hex('l_partkey * 4000000000', 8)}), '00')"
-    note = (
-        f"concat({le_hex(f'length({text})', 4)}, hex({text}), '02000000', "
-        f"{le_hex('l_orderkey', 8)}, {le_hex('l_partkey', 8)}, "
-        f"if(l_linenumber = 3, '00', concat('01', {le_hex('l_suppkey', 2)})), {side}, "
-        f"{le_hex('l_linenumber', 4)})"
-    )
     beat = f"concat(lpad(hex(l_partkey), 64, '0'), {le_hex('l_orderkey', 4)})"
     program = _PART_PROGRAM.replace("p_partkey", "l_partkey")
 
     def disc(name: str) -> Column:
         return F.hex(discriminator(F.lit(name)))
 
+    def raw(size: str) -> str:
+        note = (
+            f"concat({le_hex(f'length({text})', 4)}, hex({text}), '02000000', "
+            f"{le_hex('l_orderkey', 8)}, {le_hex('l_partkey', 8)}, "
+            f"if(l_linenumber = 3, '00', concat('01', {le_hex('l_suppkey', 2)})), {side}, "
+            f"{le_hex(size, 4)})"
+        )
+        return f"unhex(concat(_head, if(l_linenumber = 6, {beat}, {note})))"
+
     head = (
         F.when(F.expr("l_linenumber = 7"), F.lit("0000000000000000"))
         .when(F.expr("l_linenumber = 6"), disc("submitHeartbeat"))
         .otherwise(disc("Note"))
     )
+    call = "named_struct('programId', program_id, 'name', cast(NULL AS string), 'data', {}, 'accounts', cast(array() AS array<string>))"
     return (
         table(spark, d, "lineitem")
         .withColumn("_head", head)
@@ -371,16 +378,29 @@ def v_note(spark: SparkSession, d: str) -> DataFrame:
             "unix_micros(cast(l_shipdate AS timestamp)) DIV 400000 + l_orderkey % 1000 AS slot",
             "l_shipdate AS ts",
             "CASE l_suppkey % 50 WHEN 0 THEN NULL ELSE concat('C', l_orderkey % 1000) END AS fee_payer",
+            "cast(NULL AS string) AS description",
             "l_partkey AS feed_partition",
             "l_suppkey AS feed_offset",
             f"{program} AS program_id",
-            f"unhex(concat(_head, if(l_linenumber = 6, {beat}, {note}))) AS raw",
+            f"{raw('l_linenumber')} AS once",
+            f"if(l_partkey % 3 = 0, {raw('l_linenumber + 10')}, NULL) AS twice",
         )
-        .withColumn("data", bytes_to_base58(F.col("raw")))
-        .drop("raw")
+        .withColumns({"once": bytes_to_base58(F.col("once")), "twice": bytes_to_base58(F.col("twice"))})
+        .withColumn("instructions", F.expr(f"filter(array({call.format('once')}, {call.format('twice')}), x -> x.data IS NOT NULL)"))
+        .drop("once", "twice", "program_id")
     )
 
 
+def v_note(spark: SparkSession, d: str) -> DataFrame:
+    """The calls of :func:`v_calls`, one a row."""
+    return explode_instructions(v_calls(spark, d)).drop("name", "accounts", "description")
+
+
+SQL["v_note"] = """
+SELECT *, unnest(range(CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 1 END))::INT AS ix_index FROM lineitem
+"""
+
+
 def v_launch(spark: SparkSession, d: str) -> DataFrame:
     """Launches: one per part."""
     return table(spark, d, "part").selectExpr(

@@ -71,6 +71,7 @@ SCALAR_TYPES = {
 
 # Workload limits.
 TTL_SECONDS = 86_400
+TTL_RUN = 1_000_000  # rows of a key between two pauses that one task passes over; longer runs are worked on in parallel
 STALE_MINUTES = 10
 GAP_SLOTS = 100
 LAG_OK_BELOW = 50

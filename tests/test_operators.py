@@ -258,8 +258,8 @@ def test_ttl_accepts_one_of_repeated_rows_and_leaves_defects_to_the_quarantine(s
     df = spark.createDataFrame(data, "k string, ts timestamp, id long, payload string")
     good, rejected = ingest.split_quarantine(df, dedup.ttl_checks(["k"], "ts"))
     assert sorted(rows(rejected, "payload", "reason")) == [("r", "missing_ts"), ("s", "missing_k")]
-    for split in (True, False):
-        kept = rows(dedup.ttl_dedup(df, ["k"], "ts", "id", split=split), "payload")
+    for split, run in ((True, 10), (False, 10), (True, 0), (False, 1)):
+        kept = rows(dedup.ttl_dedup(df, ["k"], "ts", "id", split=split, run=run), "payload")
         assert len(kept) == 2 and ("t",) in kept
 
 
@@ -297,9 +297,9 @@ def accepted(times, ttl):
     return out
 
 
-@pytest.mark.parametrize("split", [True, False])
-def test_ttl_against_brute_force(spark, split):
-    """Both the fold and the hot-key path, with one key holding most rows."""
+@pytest.mark.parametrize("split, run", [(True, 10**6), (False, 10**6), (True, 0), (False, 0), (True, 100)])
+def test_ttl_against_brute_force(spark, split, run):
+    """The pass over short periods, the transfer functions of long ones and both, one key holding most rows."""
     rnd = random.Random(11)
     start = dt.datetime(2024, 1, 1)
     day = dt.timedelta(hours=24)
@@ -308,12 +308,22 @@ def test_ttl_against_brute_force(spark, split):
     data += [("edge", start), ("edge", start + day), ("edge", start + day * 2 - dt.timedelta(microseconds=1))]
     df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(data)], "k string, ts timestamp, id bigint")
     got = {}
-    for k, t in rows(dedup.ttl_dedup(df, ["k"], "ts", "id", split=split), "k", "ts"):
+    for k, t in rows(dedup.ttl_dedup(df, ["k"], "ts", "id", split=split, run=run), "k", "ts"):
         got.setdefault(k, []).append(t)
     for key in {k for k, _ in data}:
         assert sorted(got[key]) == accepted({t for k, t in data if k == key}, day), key
 
 
+def test_ttl_of_evenly_spaced_times(spark):
+    """Paths from different entries never meet here, and every cell has equal times."""
+    start = dt.datetime(2024, 1, 1, 5)
+    times = [start + dt.timedelta(seconds=7 * n) for n in range(400)]
+    df = spark.createDataFrame([("hot", t, i) for i, t in enumerate([*times, *times])], "k string, ts timestamp, id bigint")
+    for ttl in (7, 8, 100, 10_000):
+        got = rows(dedup.ttl_dedup(df, ["k"], "ts", "id", ttl_seconds=ttl, run=0), "ts", "id")
+        assert sorted(got) == [(t, times.index(t)) for t in accepted(set(times), dt.timedelta(seconds=ttl))]
+
+
 def test_insert_ignore_is_idempotent(spark):
     df = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 5, "only")], "k string, n int, v string")
     once = dedup.insert_ignore(df, ["k"], ["n"])

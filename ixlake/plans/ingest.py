@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from ixlake.plans.views import (
     with_views,
 )
 from ixlake.sources.tables import table
-from ixlake.sources.transactions import normalise, parse_batches, split_batches
+from ixlake.session import shared_folder
+from ixlake.sources.transactions import normalise, parse_batches, read_feed, split_batches
 
 ROW = ["signature", "feed_partition", "feed_offset"]
 
@@ -242,6 +244,33 @@ def feed_quarantine(spark, d):
     )
 
 
+@query(
+    "feed_files",
+    """
+    SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'broken_json' WHEN event_id % 43 = 0 THEN 'no_object'
+        WHEN event_id % 47 = 0 OR event_id % 53 = 0 THEN 'bad_slot' WHEN event_id % 59 = 0 THEN 'bad_timestamp' END AS reason,
+      CASE WHEN event_id % 41 = 0 OR event_id % 43 = 0 OR event_id % 47 = 0 OR event_id % 53 = 0 OR event_id % 59 = 0
+        THEN NULL ELSE event_id END AS slot
+    FROM events
+    """,
+)
+def feed_files(spark, d):
+    """A feed of files with a transaction per line, written and read back: each is kept or has a reason."""
+    slot = "CASE WHEN event_id % 47 = 0 THEN '\"x\"' WHEN event_id % 53 = 0 THEN '1.5' ELSE cast(event_id AS string) END"
+    whole = (
+        f"concat('{{\"signature\":\"', event_id, '\",\"slot\":', {slot}, ',\"timestamp\":', "
+        "if(event_id % 59 = 0, '\"soon\"', '5'), '}')"
+    )
+    line = f"CASE WHEN event_id % 41 = 0 THEN concat('{{\"signature\":\"', event_id) WHEN event_id % 43 = 0 THEN cast(event_id AS string) ELSE {whole} END"
+    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    table(spark, d, "events").select(F.expr(line).alias("value")).write.text(path)
+    kept, rejected = read_feed(spark, path, lines=True)
+    number = F.regexp_extract("text", "[0-9]+", 0).cast("bigint")
+    return kept.select(F.col("signature").cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("reason"), "slot").unionByName(
+        rejected.select(number.alias("event_id"), "reason", F.lit(None).cast("bigint").alias("slot"))
+    )
+
+
 _TTL_ORACLE = """
 , points AS (SELECT k, ts, min(event_id) AS event_id FROM
     (SELECT user_id || '/' || event_type AS k, ts, event_id FROM events) GROUP BY k, ts),

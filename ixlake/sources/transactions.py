@@ -16,34 +16,62 @@ def normalise(raw: DataFrame) -> DataFrame:
         F.col("feePayer").alias("fee_payer"),
         "description",
         "instructions",
-        *[c for c in ("feed_partition", "feed_offset") if c in raw.columns],
+        *[c for c in ("feed_partition", "feed_offset", "file", "text", "reason") if c in raw.columns],
     )
 
 
-def _file_arrival(df: DataFrame) -> DataFrame:
-    """Arrival order of file input: modification time, then a stable hash of the row."""
-    return df.withColumns(
-        {
-            "feed_partition": F.unix_micros("_metadata.file_modification_time"),
-            "feed_offset": F.xxhash64("signature", "slot", "timestamp"),
-        }
+def _files(reader, path: str, lines: bool) -> DataFrame:
+    """``value`` and arrival of every file, or of every line as a batch of one."""
+    text = reader.text(path, wholetext=not lines)
+    # A file arrives at its modification time; files of one time go by name.
+    named = text.select(
+        F.unix_micros("_metadata.file_modification_time").alias("feed_partition"),
+        F.col("_metadata.file_path").alias("file"),
+        "value",
     )
+    if not lines:
+        return named
+    return named.filter(F.trim("value") != "").withColumn("value", F.concat(F.lit("["), "value", F.lit("]")))
+
+
+def _feed(files: DataFrame, lines: bool) -> DataFrame:
+    """Engine columns of every transaction in arrival order, and every rejected text with its reason.
+
+    ``feed_offset`` orders the transactions of a file time: first by file, then by place in the array. Lines of one
+    file are read in parallel and have no number; they go by a hash of the line.
+    """
+    judged = judge_batches(files)
+    place = F.xxhash64("text") if lines else F.coalesce("position", F.lit(0)).cast("bigint")
+    # 31 bits of the file's name, then the place in the file.
+    offset = F.shiftleft(F.pmod(F.xxhash64("file"), F.lit(1 << 31)), 32) + F.pmod(place, F.lit(1 << 32))
+    return normalise(judged.withColumn("feed_offset", offset))
+
+
+def read_feed(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Transactions of files, and what could not be read as (feed_partition, feed_offset, file, text, reason).
+
+    A file holds a JSON array; with ``lines`` an object per line, and then files are split. Reasons
+    are those of :func:`judge_batches`.
+    """
+    feed = _feed(_files(spark.read, path, lines), lines)
+    kept = feed.filter("reason IS NULL").drop("file", "text", "reason")
+    return kept, feed.filter("reason IS NOT NULL").select("feed_partition", "feed_offset", "file", "text", "reason")
+
+
+def stream_feed(spark: SparkSession, path: str, files_per_trigger: int = 100, lines: bool = False) -> DataFrame:
+    """The same as one stream: rejected texts are rows with a ``reason``, for ``BatchIngest`` to store."""
+    return _feed(_files(spark.readStream.option("maxFilesPerTrigger", files_per_trigger), path, lines), lines)
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Files that each hold a JSON array; with ``lines``, one object per line (splittable)."""
-    raw = spark.read.schema(TRANSACTION).option("multiLine", str(not lines)).json(path)
-    return normalise(_file_arrival(raw))
+    """The transactions of :func:`read_feed`."""
+    return read_feed(spark, path, lines)[0]
 
 
 def stream_json(spark: SparkSession, path: str, files_per_trigger: int = 100, lines: bool = False) -> DataFrame:
-    raw = (
-        spark.readStream.schema(TRANSACTION)
-        .option("multiLine", str(not lines))
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path)
-    )
-    return normalise(_file_arrival(raw))
+    """The transactions of :func:`stream_feed`."""
+    feed = stream_feed(spark, path, files_per_trigger, lines)
+    return feed.filter("reason IS NULL").drop("file", "text", "reason")
 
 
 def parse_batches(df: DataFrame, value: str = "value") -> DataFrame:
@@ -55,24 +83,26 @@ def parse_batches(df: DataFrame, value: str = "value") -> DataFrame:
     return split_batches(df, value)[0]
 
 
-def split_batches(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Transactions of pushed batches, and what cannot be read, as ``text`` with its ``reason``.
+def judge_batches(df: DataFrame, value: str = "value") -> DataFrame:
+    """Every transaction of pushed batches, with ``position``, ``text`` and ``reason``.
 
     A batch that is not a JSON array (``not_an_array``) or doesn't parse (``broken_json``) is
     rejected as a whole. A transaction whose ``slot`` or ``timestamp`` is no whole number is
-    rejected alone (``bad_slot``, ``bad_timestamp``); a missing or null one is none.
+    rejected alone (``bad_slot``, ``bad_timestamp``); a missing or null one is none. An element that is
+    no object is rejected (``no_object``). The reason is NULL for the others, whose fields are columns.
     """
     others = [c for c in df.columns if c != value]
     text = F.col(value)
     # Elements as they are written, so that a value is seen before it is converted.
     listed = F.from_json(text, "array<string>", {"mode": "PERMISSIVE"})
     judged = df.withColumn("_items", F.when(F.ltrim(text).startswith("["), listed))
-    reason = F.when(~F.coalesce(F.ltrim(text).startswith("["), F.lit(False)), F.lit("not_an_array")).when(
+    whole = F.when(~F.coalesce(F.ltrim(text).startswith("["), F.lit(False)), F.lit("not_an_array")).when(
         F.col("_items").isNull(), F.lit("broken_json")
     )
-    judged = judged.withColumn("_reason", reason)
-    whole = judged.filter("_reason IS NOT NULL").select(*others, text.alias("text"), F.col("_reason").alias("reason"))
-
+    judged = judged.withColumn("_whole", whole)
+    items = judged.select(*others, text.alias("_batch"), "_whole", F.posexplode_outer("_items").alias("position", "_item"))
+    # An empty array gives no transaction; a rejected batch gives one row.
+    items = items.filter("_whole IS NOT NULL OR position IS NOT NULL")
     item = F.col("_item")
     checks = [
         F.when(
@@ -82,12 +112,20 @@ def split_batches(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataF
         )
         for name in ("slot", "timestamp")
     ]
-    items = (
-        judged.filter("_reason IS NULL")
-        .select(*others, F.explode("_items").alias("_item"))
-        .withColumn("_reason", F.coalesce(*checks, F.when(item.isNull(), F.lit("no_object"))))
-    )
-    parsed = F.from_json(item, TRANSACTION)
-    kept = items.filter("_reason IS NULL").select(*others, parsed.alias("_tx")).select(*others, "_tx.*")
-    single = items.filter("_reason IS NOT NULL").select(*others, item.alias("text"), F.col("_reason").alias("reason"))
-    return kept, whole.unionByName(single)
+    no_object = F.when(~F.coalesce(F.ltrim(item).startswith("{"), F.lit(False)), F.lit("no_object"))
+    reason = F.coalesce(F.col("_whole"), no_object, *checks)
+    return items.withColumn("reason", reason).select(
+        *others,
+        "position",
+        F.coalesce(item, F.col("_batch")).alias("text"),
+        "reason",
+        F.when(F.col("reason").isNull(), F.from_json(item, TRANSACTION)).alias("_tx"),
+    ).select(*others, "position", "text", "reason", "_tx.*")
+
+
+def split_batches(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Transactions of pushed batches, and what cannot be read, as ``text`` with its ``reason``."""
+    others = [c for c in df.columns if c != value]
+    judged = judge_batches(df, value)
+    kept = judged.filter("reason IS NULL").drop("position", "text", "reason")
+    return kept, judged.filter("reason IS NOT NULL").select(*others, "text", "reason")

@@ -78,7 +78,8 @@ class BatchIngest:
     Output of batch ``n`` is the directory ``run=<run>/batch_id=n``. A retried batch
     overwrites it and compares its keys with everything written before it, so retries
     change nothing. A backfill or any new checkpoint takes a run name of its own. Rows that a module
-    rejects lie in ``rejected/<module>`` as JSON text with their reason.
+    rejects lie in ``rejected/<module>`` as JSON text with their reason, and what the feed itself
+    rejects (``stream_feed``) in ``rejected/feed``.
     """
 
     def __init__(self, registry: Registry, tables: str, run: str = "live", cursor: bool = True):
@@ -89,6 +90,12 @@ class BatchIngest:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        received = batch
+        if "reason" in batch.columns:
+            # A feed that judges its input: what it rejects is stored, the rest goes on.
+            rejected = batch.filter("reason IS NOT NULL")
+            self._reject(rejected.select("feed_partition", "feed_offset", "file", "text", "reason"), "feed", batch_id)
+            batch = batch.filter("reason IS NULL").drop("file", "text", "reason")
         failures: list[tuple[str, PySparkException]] = []
         try:
             for module in self.registry:
@@ -104,7 +111,7 @@ class BatchIngest:
             if self.cursor:
                 self._advance(batch, batch_id)
         finally:
-            batch.unpersist()
+            received.unpersist()
 
     def _before(self, spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
         """What the table held before this batch first ran."""
@@ -124,9 +131,12 @@ class BatchIngest:
         if written is not None:
             rows = insert_new(rows, written, list(module.keys))
         rows.write.mode("overwrite").parquet(self._directory(path, batch_id))
-        whole = F.to_json(F.struct(*[c for c in rejected.columns if c != "reason"])).alias("row")
-        rejected.select(whole, "reason").write.mode("overwrite").parquet(
-            self._directory(f"{self.tables}/{REJECTED}/{module.id}", batch_id)
+        self._reject(rejected, module.id, batch_id)
+
+    def _reject(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        whole = F.to_json(F.struct(*[c for c in rows.columns if c != "reason"])).alias("row")
+        rows.select(whole, "reason").write.mode("overwrite").parquet(
+            self._directory(f"{self.tables}/{REJECTED}/{name}", batch_id)
         )
 
     def _advance(self, batch: DataFrame, batch_id: int) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ixlake.operators import dedup, extract
 from ixlake.operators.state import shard_lock_state, stale_sweep
 from ixlake.sources.documents import stream_documents
-from ixlake.sources.transactions import read_json, stream_json
+from ixlake.sources.transactions import read_feed, read_json, stream_feed, stream_json
 from ixlake.streaming.catalog import CatalogReload, current_catalog
 from ixlake.streaming.heartbeat import presence_changes
 from ixlake.operators.universal import catalog_layouts, universal_module
@@ -281,3 +281,34 @@ def test_universal_module_keeps_repeated_calls_of_a_transaction(spark):
     assert sorted(map(tuple, rows)) == [(0, '{"n":9}'), (1, '{"n":9}'), (2, '{"n":7}')]
     first = universal_module(layouts, "base64", first_per_signature=True).rows(tx).select("ix_index", "args").collect()
     assert [tuple(r) for r in first] == [(0, '{"n":9}')]
+
+
+def test_file_feed_keeps_order_and_quarantines(spark, tmp_path):
+    """A truncated file, wrong elements and numbers come out with a reason; a file's own order decides."""
+    same = [tx("S" * 10, 7, text) for text in ("first", "second", "third")]
+    mixed = [tx("G" * 10, 3, "good"), {**tx("X" * 10, 1), "slot": "x"}, {**tx("Y" * 10, 1), "timestamp": 1.5}, 5, None]
+    path = feed(tmp_path, [same, mixed, []])
+    (tmp_path / "feed" / "broken.json").write_text(json.dumps([tx("T" * 10, 1, "t"), tx("U" * 10, 2)])[:-20])
+    (tmp_path / "feed" / "object.json").write_text(json.dumps(tx("V" * 10, 1)))
+    kept, rejected = read_feed(spark, path)
+    assert values(kept, "signature", "description") == [
+        ("G" * 10, "good"), *[("S" * 10, d) for d in ("first", "second", "third")]
+    ]
+    reasons = ["bad_slot", "bad_timestamp", "broken_json", "no_object", "no_object", "not_an_array"]
+    assert [r for (r,) in values(rejected, "reason")] == reasons
+    assert all(r.text and r.file for r in rejected.collect() if r.reason != "no_object")
+    sink = BatchIngest(extract.default_registry(), f"{tmp_path}/t")
+    sink.start(stream_feed(spark, path, files_per_trigger=2), f"{tmp_path}/c").awaitTermination()
+    stored = spark.read.parquet(f"{tmp_path}/t/rejected/feed")
+    assert [r for (r,) in values(stored, "reason")] == reasons
+    narratives = values(spark.read.parquet(f"{tmp_path}/t/narratives"), "signature", "narrative")
+    assert [s for s, _ in narratives] == ["G" * 10, "S" * 10] and ": first at slot 7" in narratives[1][1]
+
+
+def test_line_feed_quarantines_single_lines(spark, tmp_path):
+    lines = [json.dumps(tx("L" * 10, 1, "one")), "{broken", "", json.dumps({**tx("M" * 10, 2), "slot": 2.5}), "[1]"]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text("\n".join(lines))
+    kept, rejected = read_feed(spark, f"{tmp_path}/lines", lines=True)
+    assert values(kept, "signature") == [("L" * 10,)]
+    assert [r for (r,) in values(rejected, "reason")] == ["bad_slot", "broken_json", "no_object"]

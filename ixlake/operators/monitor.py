@@ -20,7 +20,11 @@ def slot_gaps(log: DataFrame, threshold: int = K.GAP_SLOTS, bucket: int = GAP_BU
     coarser buckets in turn.
     """
     slots = log.filter("slot IS NOT NULL").select(F.col("slot").cast("bigint").alias("slot")).distinct()
-    spans = slots.select(F.col("slot").alias("first"), F.col("slot").alias("last"))
+    return span_gaps(slots.select(F.col("slot").alias("first"), F.col("slot").alias("last")), threshold, bucket)
+
+
+def span_gaps(spans: DataFrame, threshold: int = K.GAP_SLOTS, bucket: int = GAP_BUCKET) -> DataFrame:
+    """The gaps between disjoint spans (first, last) of slots, none of which crosses a bucket's border."""
     found, width = [], bucket
     while True:
         # One group of a few rows at last, keyed so that it needs no plan of its own.

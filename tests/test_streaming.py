@@ -6,16 +6,18 @@ import glob
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ixlake.operators import dedup, extract
+from ixlake.operators import dedup, extract, monitor
 from ixlake.operators.state import shard_lock_state, stale_sweep
 from ixlake.sources.documents import stream_documents
 from ixlake.sources.transactions import read_feed, read_json, stream_feed, stream_json
 from ixlake.streaming.catalog import CatalogReload, current_catalog
+from ixlake.streaming.gaps import GapAudit, current_gaps
 from ixlake.streaming.heartbeat import presence_changes
 from ixlake.operators.universal import catalog_layouts, universal_module
 from ixlake.streaming.ingest import BatchIngest, current_cursor, read_if_written, start_log, start_modules
@@ -312,3 +314,22 @@ def test_line_feed_quarantines_single_lines(spark, tmp_path):
     kept, rejected = read_feed(spark, f"{tmp_path}/lines", lines=True)
     assert values(kept, "signature") == [("L" * 10,)]
     assert [r for (r,) in values(rejected, "reason")] == ["bad_slot", "broken_json", "no_object"]
+
+
+def test_gap_audit_on_a_stream_equals_the_batch(spark, tmp_path):
+    """Slots in any order, late ones included, over several buckets and restarts."""
+    rnd = random.Random(8)
+    slots = [rnd.randrange(400) * 10 for _ in range(60)] + [5000 + 3 * n for n in range(50)] + [10**7, 2**40, None]
+    rnd.shuffle(slots)
+    path = feed(tmp_path, [[tx(f"s{n}", s) for n, s in enumerate(slots[k::6]) if s is not None] + [{"signature": "none"}] for k in range(6)])
+    for rounds in (1, 2):
+        audit = GapAudit(f"{tmp_path}/runs")
+        audit.start(stream_json(spark, path, 1), f"{tmp_path}/c", threshold=20, bucket=1000).awaitTermination()
+        batch = monitor.slot_gaps(read_json(spark, path), threshold=20, bucket=1000)
+        found = values(current_gaps(spark, f"{tmp_path}/runs", 20, 1000), "gap_start", "gap_end", "gap")
+        assert found == values(batch, "gap_start", "gap_end", "gap") and found
+        if rounds == 1:
+            start, end, _ = found[0]
+            late = [tx("late", start + 1), tx("later", (start + end) // 2), tx("later", (start + end) // 2)]
+            (tmp_path / "feed" / "late.json").write_text(json.dumps(late))
+    assert current_gaps(spark, f"{tmp_path}/nothing") is None

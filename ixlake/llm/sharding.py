@@ -5,7 +5,7 @@ shards. Rebalancing edits that table, never the hash: whole slots move from the
 shard to the emptiest one, and each edit is stored as a new version.
 
 Records with equal texts share a slot, so that copies meet in one shard. A text whose copies
-weigh more than a slot may is dealt by its records' ids over as many slots as needed.
+weigh more than a slot may, or are more rows, is dealt by its records over as many slots as needed.
 
 Only DataFrame functions touch records. The driver sees one row per slot and shard.
 """
@@ -13,9 +13,11 @@ Only DataFrame functions touch records. The driver sees one row per slot and sha
 from __future__ import annotations
 
 import heapq
+import uuid
 from bisect import bisect_right, insort
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import saved, shared_root
@@ -33,8 +35,9 @@ def record_size(text: str = "text") -> Column:
 def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of every row of (doc_id, text).
 
-    A null text is an empty one. A null id hashes like any other value. Repeated rows are
-    records of their own and share a slot. Other columns are not read.
+    A null text is an empty one. Rows of a text that is dealt over several slots go by id and row number, so
+    null and repeated ids spread like any others. Repeated rows are records of their own.
+    Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -42,17 +45,21 @@ def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
         record_size().alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text, F.lit(slots)).alias("text_key"),
+        # Taken before the table is written, and read from it ever after.
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = saved(rows, "slots")
     by_text = rows.groupBy("text_key").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("group_rows"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    bound = max(1, total // (shards * PART_OF_SHARD))
-    # At most shards * PART_OF_SHARD texts can be as heavy as this, whatever the input.
-    heavy = by_text.where((F.col("group_rows") > 1) & (F.col("group_bytes") > bound)).select(
-        "text_key", F.ceil(F.col("group_bytes") / F.lit(bound)).cast("long").alias("parts")
-    )
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    most_bytes, most_rows = (max(1, total[c] // (shards * PART_OF_SHARD)) for c in ("bytes", "rows"))
+    parts = F.greatest(
+        F.ceil(F.col("group_bytes") / F.lit(most_bytes)), F.ceil(F.col("group_rows") / F.lit(most_rows))
+    ).cast("long")
+    heavy = (F.col("group_bytes") > most_bytes) | (F.col("group_rows") > most_rows)
+    # At most twice shards * PART_OF_SHARD texts can be as heavy as this, whatever the input.
+    heavy = by_text.where((F.col("group_rows") > 1) & heavy).select("text_key", parts.alias("parts"))
     dealt = rows.join(F.broadcast(heavy), "text_key", "left")
-    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")))
     slot = F.pmod(F.xxhash64("text_key", part.cast("long")), F.lit(slots)).cast("int")
     return dealt.select("doc_id", "size", "text_crc32", slot.alias("vslot"))
 
@@ -126,25 +133,45 @@ def _shard(slot_map: list[int]) -> Column:
     return F.element_at(listed, F.col("vslot") + 1)
 
 
-def slot_table(per_slot: DataFrame, versions: list[list[int]]) -> DataFrame:
-    """The stored map: version, vslot, shard and the slot's bytes and rows."""
-    tables = [
-        per_slot.select(F.lit(n).alias("version"), "vslot", _shard(slot_map).alias("shard"), "bytes", "rows")
-        for n, slot_map in enumerate(versions, 1)
-    ]
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.unionByName(more)
-    return out
+def _store(per_slot: DataFrame, slot_map: list[int], version: int, path: str) -> None:
+    """Add a version to the stored map: vslot, shard and the slot's bytes and rows.
+
+    Each version is a folder that is written once. Of two edits at the same time the later one fails.
+    """
+    rows = per_slot.select("vslot", _shard(slot_map).alias("shard"), "bytes", "rows")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """version, vslot, shard, bytes and rows of every version, or None where none is stored."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as failure:
+        if failure.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _latest(stored: DataFrame | None) -> tuple[int, list[int]]:
+    """Number and slots of the newest version; 0 and no slots where there is none."""
+    version = None if stored is None else stored.agg(F.max("version")).first()[0]
+    if version is None:
+        return 0, []
+    rows = stored.where(F.col("version") == version).select("vslot", "shard").collect()  # one row a slot
+    return version, [shard for _, shard in sorted(map(tuple, rows))]
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Every row's shard, and its place there, with shards near equal in bytes.
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's place in its shard,
-    gapless from 0), grown_shard (null), vslot and map_version. The versioned map is
-    written to ``map_path``. Empty input gives an empty result; a slot without
-    records stays where version 1 puts it. A single record larger than a shard's share
+    gapless from 0), grown_shard (null), vslot and map_version.
+
+    The map stored at ``map_path`` is read; where it has fewer shards, new ones take slots from the fullest
+    first. It is then rebalanced for these rows and stored as one more version, and older versions stay.
+    Where none is stored, slots are dealt in turn as version 1. Without a path a new one is taken in
+    the shared folder. Empty input gives an empty result; a slot without
+    records stays where it was. A single record larger than a shard's share
     makes its shard larger, since records are never cut.
     """
     spark = docs.sparkSession
@@ -160,12 +187,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_p
     slot_bytes, slot_rows = [0] * slots, [0] * slots
     for row in per_slot.toLocalIterator():  # one row a slot
         slot_bytes[row["vslot"]], slot_rows[row["vslot"]] = row["bytes"], row["rows"]
-    versions = [first_map(slots, shards)]
-    versions.append(rebalanced(slot_bytes, versions[0], shards))
-    slot_table(per_slot, versions).coalesce(1).write.mode("overwrite").parquet(
-        map_path or f"{shared_root(spark)}/slot-map-{shards}"
-    )
-    latest, before, offsets = versions[-1], [0] * shards, [0] * slots
+    path = map_path or f"{shared_root(spark)}/slot-map-{uuid.uuid4().hex}"
+    version, latest = _latest(stored_map(spark, path))
+    if not latest:
+        version, latest = 1, first_map(slots, shards)
+        _store(per_slot, latest, version, path)
+    if len(latest) != slots or max(latest) >= shards:
+        raise ValueError(f"the map at {path} has {len(latest)} slots and {max(latest) + 1} shards")
+    for have in range(max(latest) + 1, shards):
+        latest = grown(slot_bytes, latest, have)
+    latest = rebalanced(slot_bytes, latest, shards)
+    version += 1
+    _store(per_slot, latest, version, path)
+    before, offsets = [0] * shards, [0] * slots
     for slot in range(slots):
         offsets[slot] = before[latest[slot]]
         before[latest[slot]] += slot_rows[slot]
@@ -182,5 +216,5 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_p
         (F.element_at(first, F.col("vslot") + 1) + F.row_number().over(inside) - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "vslot",
-        F.lit(len(versions)).alias("map_version"),
+        F.lit(version).alias("map_version"),
     )

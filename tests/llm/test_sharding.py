@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from ixlake.llm.sharding import first_map, grown, rebalanced, shard_documents
 
 
@@ -63,3 +65,34 @@ def test_edges(make_docs, tmp_path):
     docs = make_docs(rows).selectExpr("*", "1 AS vslot", "2 AS size", "3 AS text_key")
     out = shard_documents(docs, map_path=str(tmp_path / "b")).collect()
     assert len(out) == 5 and sorted(r["size"] for r in out) == [16, 16, 16, 16, 200_016]
+
+
+def test_null_ids_of_a_hot_text_spread_over_all_shards(make_docs, tmp_path):
+    """A third of the rows are one text without an id, another sixth one short text with one id."""
+    rows = [(None, "no id here " * 45) for _ in range(2000)] + [(5, "") for _ in range(1000)]
+    docs = make_docs(rows + [(i, f"own text {i} " * (20 + i % 30)) for i in range(3000)])
+    found = shard_documents(docs, map_path=str(tmp_path / "map")).collect()
+    loads, slots = Counter(), Counter()
+    for r in found:
+        loads[r["shard"]] += r["size"]
+        slots[r["vslot"]] += 1
+    assert max(loads.values()) <= 1.01 * sum(loads.values()) / 40
+    assert max(slots.values()) <= 0.01 * len(found)
+
+
+def test_a_stored_map_is_read_edited_and_grown(make_docs, tmp_path):
+    path = str(tmp_path / "map")
+    docs = make_docs([(i, f"text {i} " * (1 + i % 50)) for i in range(3000)])
+    first = {r["doc_id"]: r["shard"] for r in shard_documents(docs, 4, 256, path).collect()}
+    again = {r["doc_id"]: (r["shard"], r["map_version"]) for r in shard_documents(docs, 4, 256, path).collect()}
+    # The map fits already, so the edit moves nothing.
+    assert {i: s for i, (s, _) in again.items()} == first and {v for _, v in again.values()} == {3}
+    more = {r["doc_id"]: r["shard"] for r in shard_documents(docs, 5, 256, path).collect()}
+    moved = [i for i in more if more[i] != first[i]]
+    assert len(moved) < 0.3 * len(more) and sum(more[i] == 4 for i in moved) > 0.9 * len(moved)
+    stored = docs.sparkSession.read.parquet(path)
+    assert sorted(r["version"] for r in stored.select("version").distinct().collect()) == [1, 2, 3, 4]
+    old = stored.where("version = 2").join(stored.where("version = 3").withColumnRenamed("shard", "s3"), "vslot")
+    assert old.where("shard <> s3").count() == 0
+    with pytest.raises(ValueError, match="5 shards"):
+        shard_documents(docs, 4, 256, path)

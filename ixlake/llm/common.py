@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Texts are worked on in slices of so many bytes, whatever a batch holds, so that the
 # arrays derived from them stay small. A longer text is a slice of its own.
@@ -50,6 +51,18 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_least(rows: DataFrame, group: str, spread: str, value: str, name: str, parts: int = 64) -> DataFrame:
+    """``rows`` with ``name``, the least ``value`` of the row's group; null groups have none.
+
+    A group of any size is dealt into ``parts`` by a hash of ``spread``, here and in the join.
+    """
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    cells = salted.where(F.col(group).isNotNull()).groupBy(group, "__part").agg(F.min(value).alias("__own"))
+    whole = cells.groupBy(group).agg(F.min("__own").alias(name))
+    told = cells.select(group, "__part").join(whole, group)
+    return salted.join(told, [group, "__part"], "left").drop("__part")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -1,6 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines within edit distance ``limit`` share one of any limit + 1 segments of the shorter
+Lines of any length are compared as a whole. Longer ones are also matched when they are a few edits
+apart, one from 8 characters on and two from 32 on; of two lines the shorter one decides. Two
+lines within edit distance ``limit`` share one of any limit + 1 segments of the shorter
 one, at a position that is off by few places. Each distinct line is indexed by its segments and
 probed with its substrings at those places, for every length it may be matched with.
 Candidates are verified by a banded bit-parallel edit distance, many pairs at a time.
@@ -19,12 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ixlake.llm.common import mixed, saved, slices
+from ixlake.llm.common import mixed, saved, slices, with_least
 from ixlake.llm.links import connect, shared_postings
 
 LIMIT = 2
-MIN_CHARS = 16  # shorter lines are left alone
-MIN_NEAR_CHARS = 32  # shorter lines are only compared as a whole
+# (edits, characters) from which a line may be so many edits from another one that is not shorter. Below
+# the first of them an edit changes a good part of a line, and only equal lines are repeats.
+ALLOWED = ((1, 8), (2, 32))
 SEEN = 500_000  # distinct lines a task remembers so as not to post them again
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -38,14 +41,29 @@ def line_key(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
-def considered(text: str | None, least: int) -> Iterator[tuple[int, str]]:
-    """Place and normal form of the lines of a text with at least so many characters."""
+def considered(text: str | None, least: int = 1) -> Iterator[tuple[int, str]]:
+    """Place and normal form of the lines of a text with a word and at least so many characters."""
     for at, line in enumerate((text or "").split("\n")):
         line = normal_line(line)
         if len(line) >= least:
             yield at, line
 
 
+def classes(limit: int) -> list[tuple[int, int, int]]:
+    """(edits, least characters, most characters) of the lines that allow any edits."""
+    steps = [(edits, chars) for edits, chars in ALLOWED if edits <= limit]
+    ends = [chars - 1 for _, chars in steps[1:]] + [1 << 31]
+    return [(edits, chars, end) for (edits, chars), end in zip(steps, ends, strict=True)]
+
+
+def allowed(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """The edits that lines of these lengths allow."""
+    out = np.zeros(len(sizes), np.int64)
+    for edits, least, _ in classes(limit):
+        out[sizes >= least] = edits
+    return out
+
+
 def letter_marks(lines: list[str]) -> np.ndarray:
     """For each line, how often letters of 16 classes occur, four bits a class.
 
@@ -74,7 +92,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             row, place, key, strings = [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
-                for at, line in considered(text, MIN_CHARS):
+                for at, line in considered(text):
                     row.append(i)
                     place.append(at)
                     key.append(line_key(line))
@@ -93,10 +111,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Segments:
-    """Hashes of the segments and probed substrings of many lines at once."""
+    """Hashes of the segments and probed substrings of many lines at once.
 
-    def __init__(self, lines: list[str], limit: int):
+    Only lines of ``low`` to ``high`` characters are indexed, and probed for.
+    """
+
+    def __init__(self, lines: list[str], limit: int, low: int = 0, high: int = 1 << 31):
         self.limit = limit
+        self.low = low
+        self.high = high
         points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -126,11 +149,12 @@ class Segments:
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys and line numbers of all segments."""
-        every = np.arange(len(self.sizes))
+        every = np.flatnonzero((self.sizes >= self.low) & (self.sizes <= self.high))
+        sizes = self.sizes[every]
         keys = []
         for number in range(self.limit + 1):
-            at, size = self._segment(self.sizes, number)
-            keys.append(self._hash(every, at, size, self.sizes * (self.limit + 1) + number))
+            at, size = self._segment(sizes, number)
+            keys.append(self._hash(every, at, size, sizes * (self.limit + 1) + number))
         return np.concatenate(keys), np.tile(every, self.limit + 1)
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +167,14 @@ class Segments:
         keys, lines = [], []
         for d in range(self.limit + 1):
             length = self.sizes - d
+            meant = (length >= self.low) & (length <= self.high)
             for number in range(self.limit + 1):
                 at, size = self._segment(length, number)
                 after = self.limit - number
                 low = np.maximum(np.maximum(0, at - number), at + d - after)
                 high = np.minimum(np.minimum(self.sizes - size, at + number), at + d + after)
                 for shift in range(-self.limit, 2 * self.limit + 1):
-                    inside = np.flatnonzero((at + shift >= low) & (at + shift <= high))
+                    inside = np.flatnonzero(meant & (at + shift >= low) & (at + shift <= high))
                     if len(inside):
                         keys.append(
                             self._hash(
@@ -176,11 +201,16 @@ def _posted(limit: int, least: int):
                 if len(seen) < SEEN:
                     seen.update(own)
                 ids = np.fromiter(own, np.int64, len(own))
-                segments = Segments(list(own.values()), limit)
-                for (keys, lines), post in ((segments.index(), True), (segments.probes(), False)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(ids[lines]), pa.array(np.full(len(keys), post))], ["key", "id", "post"]
-                    )
+                lines = list(own.values())
+                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+                for edits, low, high in classes(limit):
+                    # Lines of the class are indexed; they and somewhat longer ones are probed with.
+                    near = np.flatnonzero((sizes >= low) & (sizes <= high + edits))
+                    segments = Segments([lines[i] for i in near.tolist()], edits, low, high)
+                    for (keys, at), post in ((segments.index(), True), (segments.probes(), False)):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys), pa.array(ids[near[at]]), pa.array(np.full(len(keys), post))], ["key", "id", "post"]
+                        )
 
     return posted
 
@@ -250,9 +280,12 @@ def _verified(limit: int):
                 # Pairs of like length together, so none waits for a much longer one.
                 order = np.argsort([len(x) for x in first], kind="stable")
                 near = np.zeros(len(first), bool)
+                shorter = np.fromiter(map(min, map(len, first), map(len, second)), np.int64, len(first))
+                may = allowed(shorter, limit)
                 for start in range(0, len(order), 1024):
                     some = order[start : start + 1024].tolist()
-                    near[some] = banded_distances([first[i] for i in some], [second[i] for i in some], limit) <= limit
+                    distances = banded_distances([first[i] for i in some], [second[i] for i in some], limit)
+                    near[some] = distances <= may[some]
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
     return verified
@@ -280,8 +313,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, text_key, places): the lines to remove from each document that has any.
 
-    Lines shorter than MIN_CHARS characters are left alone, and those shorter than
-    MIN_NEAR_CHARS are only compared for equality. Rows with equal doc_id and text are one document here: both
+    Lines without a word are left alone; all others are compared for equality, and those of 8 characters or more
+    for few edits (``ALLOWED``). Rows with equal doc_id and text are one document here: both
     keep the same lines. A null doc_id comes before all others.
     """
     rows = _keyed(docs)
@@ -292,7 +325,8 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     distinct = saved(
         lines.groupBy("line").agg(F.min(where).alias("first"), F.first("mark").alias("mark"), F.count("*").alias("n")), "distinct-lines"
     )
-    posted = rows.select("text").mapInArrow(_posted(limit, MIN_NEAR_CHARS), "key long, id long, post boolean")
+    least = classes(limit)[0][1] if classes(limit) else 1 << 31
+    posted = rows.select("text").mapInArrow(_posted(limit, least), "key long, id long, post boolean")
     posted = saved(posted, "segments")
     index, probes = posted.where("post"), posted.where("NOT post")
     # A line's own segments are among its probes, so an indexed key that probes of
@@ -318,7 +352,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     strings = saved(
         rows.join(owning, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left_semi")
         .select("text")
-        .mapInArrow(_texts_of_lines(MIN_NEAR_CHARS), "line long, string string")
+        .mapInArrow(_texts_of_lines(least), "line long, string string")
         .join(needed, "line", "left_semi")
         .dropDuplicates(["line"]),
         "strings",
@@ -336,10 +370,8 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     labelled = distinct.join(labels.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "first", "n", "component"
     )
-    group_first = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("kept"))
-    kept = labelled.where((F.col("n") > 1) | F.col("component").isNotNull()).join(group_first, "component", "left").select(
-        "line", F.coalesce("kept", "first").alias("kept")
-    )
+    repeated = labelled.where((F.col("n") > 1) | F.col("component").isNotNull())
+    kept = with_least(repeated, "component", "line", "first", "kept").select("line", F.coalesce("kept", "first").alias("kept"))
     return (
         lines.join(kept, "line")
         .where(~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("kept")))
@@ -357,7 +389,8 @@ def dedup_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs``, all rows and columns, without repeated lines, and n_lines and n_removed.
 
     ``text`` and, where present, ``n_chars`` are those of what remains. A null text stays
-    null; an empty one has one empty line. Empty input gives an empty result.
+    null; an empty one has one empty line. Input columns named n_lines or n_removed give way to these.
+    Empty input gives an empty result.
     """
     removed = saved(repeated_lines(docs, limit), "removed")
     text = F.coalesce(F.col("d.text"), F.lit(""))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ixlake.llm.common import hashed, saved, slices, split_words, windows
+from ixlake.llm.common import hashed, saved, slices, split_words, windows, with_least
 from ixlake.llm.links import connect, shared_postings
 
 COORDINATES = 20
@@ -259,8 +259,7 @@ def near_duplicates(
     kept is true. Empty input gives an empty result.
     """
     signed, named = _labelled(docs, width, percent, coordinates)
-    firsts = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(firsts, "label").select("set_id", "component_id")
+    of_set = with_least(named, "label", "set_id", "doc_id", "component_id").select("set_id", "component_id")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "set_id")

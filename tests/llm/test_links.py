@@ -156,13 +156,15 @@ def test_distances_and_segments(limit):
 def brute_lines(rows, limit=2):
     """doc_id -> what remains; rows have distinct ids."""
     places = [
-        (d, at, normal_line(x)) for d, t in sorted(rows) for at, x in enumerate((t or "").split("\n")) if len(normal_line(x)) >= 16
+        (d, at, normal_line(x)) for d, t in sorted(rows) for at, x in enumerate((t or "").split("\n")) if normal_line(x)
     ]
     distinct = sorted({x for _, _, x in places})
     groups = Sets(distinct)
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if min(len(a), len(b)) >= 32 and abs(len(a) - len(b)) <= limit and _plain_distance(a, b) <= limit:
+            shorter = min(len(a), len(b))
+            edits = 0 if shorter < 8 else 1 if shorter < 32 else limit
+            if abs(len(a) - len(b)) <= edits and _plain_distance(a, b) <= edits:
                 groups.join(a, b)
     gone, seen = set(), set()
     for d, at, x in places:
@@ -192,11 +194,23 @@ def test_line_dedup_edges(make_docs):
     line = "a line that is long enough to count"
     docs = make_docs([(None, line), (1, line), (1, line), (2, f"{line}\nshort\nshort")]).selectExpr("*", "1 AS line", "2 AS places")
     out = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in dedup_lines(docs).collect()), key=str)
-    assert out == sorted([(None, line, 0), (1, "", 1), (1, "", 1), (2, "short\nshort", 1)], key=str)
+    assert out == sorted([(None, line, 0), (1, "", 1), (1, "", 1), (2, "short", 2)], key=str)
     twice = dedup_lines(make_docs([(1, line), (1, line)])).collect()
     assert [r["text"] for r in twice] == [line, line]
 
 
+def test_short_lines_are_repeats_too(make_docs):
+    """Menu lines as a whole, and lines of every length class a letter apart, across the borders of the classes."""
+    pairs = [("abcdefg", "abcdefx"), ("abcdefgh", "abcdefgx"), ("abcdefg", "abcdefgh"), ("b" * 31, "b" * 32), ("c" * 30 + "d", "c" * 32)]
+    pairs += [("e" * 31 + "f", "e" * 31 + "fgh"), ("share this page now ok", "share this pagf now ok"), ("i" * 7, "i" * 9)]
+    rows = [(i, "Read more\n" + one) for i, (one, _) in enumerate(pairs)]
+    rows += [(100 + i, f"{other}\nRead more\n\n \n") for i, (_, other) in enumerate(pairs)]
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(rows)).collect()}
+    assert out == brute_lines(rows)
+    assert sum("Read more" in t for t in out.values()) == 1
+    assert "share" in out[6] and "share" not in out[106]
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 

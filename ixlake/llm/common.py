@@ -48,7 +48,22 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`saved` wrote and that nothing will read again.
+
+    Whatever was made of them has to be written by now: a lost executor cannot make it anew.
+    """
+    for table in tables:
+        path = getattr(table, "saved_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def with_least(rows: DataFrame, group: str, spread: str, value: str, name: str, parts: int = 64) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ixlake.llm.common import mixed, saved, slices, with_least
+from ixlake.llm.common import discard, mixed, saved, slices, with_least
 from ixlake.llm.links import connect, shared_postings
 
 LIMIT = 2
@@ -344,6 +344,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     # The line that others were made from shares most of its keys, and so is a pivot first.
     weights = postings.groupBy("id").agg(F.count_distinct("key").cast("double").alias("weight"))
     postings = shared_postings(postings.join(weights, "id").join(marks, "id"))
+    discard(posted, met)
     # The lines that share a key, taken from the documents of their first occurrence.
     needed = saved(postings.select(F.col("id").alias("line")).distinct(), "needed")
     owning = distinct.join(needed, "line", "left_semi").select(
@@ -367,6 +368,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         )
 
     labels = connect(postings, verify, lambda one, other: can_be_near(one, other, limit), sharp=True)
+    discard(postings, needed, strings)
     labelled = distinct.join(labels.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "first", "n", "component"
     )

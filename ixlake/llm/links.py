@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ixlake.llm.common import saved
+from ixlake.llm.common import discard, saved
 
 # Pivot rounds go on while more pairs than this share of the postings are open.
 OPEN_SHARE = 1.0
@@ -75,6 +75,7 @@ def components(edges: DataFrame, held: int = FOREST_EDGES) -> DataFrame:
     # As few parts as tasks can hold: the edges of one part need no further round.
     parts = -(-given.count() // held) or 1
     now = saved(given.repartition(parts).mapInArrow(_forest(2 * held), "hi long, lo long"), "stars")
+    discard(given)
     while parts > 1 and not _are_stars(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -94,7 +95,8 @@ def components(edges: DataFrame, held: int = FOREST_EDGES) -> DataFrame:
             .unionByName(down.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        now = saved(small.mapInArrow(_forest(2 * held), "hi long, lo long"), "stars")
+        before, now = now, saved(small.mapInArrow(_forest(2 * held), "hi long, lo long"), "stars")
+        discard(before)
     members = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return members.unionByName(roots)
@@ -180,7 +182,8 @@ def connect(
     is lost. The rounds change how many pairs are tested, never the components.
     """
     total = postings.count()
-    labels, tested, stars = None, None, None
+    labels, stars = None, None
+    tested: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
         labelled = saved(_labelled(postings, labels), "labelled")
         still_open = _open_pairs(labelled)
@@ -192,17 +195,19 @@ def connect(
         last = turn == ROUNDS or still_open <= OPEN_SHARE * total
         met = every if last else _met(_pivots(labelled, turn), labelled, alike)
         met = met.distinct()
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
+        for before in tested:
+            met = met.join(before, ["a", "b"], "left_anti")
         met = saved(met, "pairs")
         edges = verify(met).select("a", "b")
         if stars is not None:
             edges = edges.unionByName(stars)
-        labels = saved(components(edges), "labels")
+        earlier, labels = labels, saved(components(edges), "labels")
+        discard(labelled, earlier)
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        tested.append(met)
         if last:
             break
-        tested = met if tested is None else tested.unionByName(met)
+    discard(*tested)
     if labels is None:
         return postings.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     return labels

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ixlake.llm.common import hashed, saved, slices, split_words, windows, with_least
+from ixlake.llm.common import discard, hashed, saved, slices, split_words, windows, with_least
 from ixlake.llm.links import connect, shared_postings
 
 COORDINATES = 20
@@ -127,7 +127,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(found)], ["id", "shingle"])
 
 
-def _able(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _able(shingles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, mark, weight) of the sets that can have a link at all.
 
     What a set shares with any other one is among its shingles that two of the sets hold. Where
@@ -135,8 +135,6 @@ def _able(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     family are never compared with each other. ``mark`` is the size; ``weight`` is the
     shared part, which is largest for the documents that the others were copied from.
     """
-    shingles = sets.dropDuplicates(["set_id"]).mapInArrow(_exploded, "id long, shingle long")
-    shingles = saved(shingles, "shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = shingles.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
     return (
@@ -200,7 +198,8 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tu
         .select(F.col("posting.key").alias("key"), "id", F.lit(True).alias("post")),
         "prefixes",
     )
-    met = shared_postings(prefixes).select("id").distinct()
+    sharing = shared_postings(prefixes)
+    met = sharing.select("id").distinct()
     # Full sets only of documents that share a posting, made from their texts anew.
     needed = classes.join(met.withColumnRenamed("id", "set_id"), "set_id", "left_semi").select(
         F.col("doc_id").alias("doc")
@@ -212,8 +211,10 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tu
         .where(F.col("set_id").isNotNull()),
         "full-sets",
     )
-    able = _able(sets, classes, percent)
-    postings = shared_postings(prefixes.join(able, "id"))
+    discard(sharing)
+    shingles = saved(sets.dropDuplicates(["set_id"]).mapInArrow(_exploded, "id long, shingle long"), "shingles")
+    postings = shared_postings(prefixes.join(_able(shingles, classes, percent), "id"))
+    discard(shingles, prefixes)
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = classes.select("set_id", "n_shingles", "signature")
@@ -239,6 +240,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tu
     labels = connect(
         postings, verify, lambda one, other: 100 * F.least(one, other) >= percent * F.greatest(one, other)
     )
+    discard(postings, sets)
     return signed, classes.select("set_id", "doc_id", "first").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "doc_id", "first", F.coalesce("component", "set_id").alias("label")
     )

@@ -5,12 +5,13 @@ and owners that hold them: a value that many owners hold is a copied example, on
 owner holds in few repositories looks live.
 
 Everything is made of SQL functions. ``split`` gives the texts between the matches of a
-pattern and ``regexp_extract_all`` the matches, so their lengths give the positions.
+pattern and ``regexp_extract_all`` the matches; sums of their lengths along a text give the positions,
+so the work grows with the hits of a text and not with their square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import saved
@@ -23,65 +24,64 @@ HEX = r"[0-9a-f]{32,}"  # runs shorter than 32 are no matches, and runs do not o
 # Values of other forms: long tokens that hold a digit, a lower and an upper case letter.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
+OWNED = 3
 MAX_OWNERS = 1
 MAX_REPOSITORIES = 3
 
-_SPAN = "array<struct<start:bigint,kind:int,stop:bigint,value:bigint>>"
+_HIT = "array<struct<kind:int,place:int,gap:bigint,size:bigint,value:bigint,keep:boolean>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -> Column:
-    """Matches of a pattern as (start, kind, stop, value), in code points; value is the
-    hash of the match, or of the strings in ``value``, one for each match."""
+def _hits(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column:
+    """Matches of a pattern in order: kind, place, length of the text since the match before, length,
+    hash of the match or of its ``group``, and what ``keep`` says of (match, group)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    values = found if value is None else value
-    joined = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["end"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        span = F.struct(
-            begin.alias("start"), F.lit(kind).alias("kind"), end.alias("stop"), F.xxhash64(x["value"]).alias("value")
-        )
-        return F.struct(end.alias("end"), F.array_append(state["spans"], span).alias("spans"))
-
-    return F.aggregate(joined, start, step, lambda state: state["spans"])
-
-
-def _where(text: Column, pattern: str, spans: Column) -> Column:
-    """Spans only of texts with a match: the others are read once."""
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
-
-
-def _length(x: Column) -> Column:
-    return x["stop"] - x["start"]
-
-
-def base_spans(text: Column) -> Column:
-    """The three base kinds, ordered by start and then kind."""
-    group = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    # The value's length is needed after the match, so it travels in place of the hash.
-    assign = F.filter(
-        F.zip_with(_spans(text, ASSIGN, 0, group), group, lambda span, value: F.struct(span.alias("span"), F.length(value).alias("n"))),
-        lambda x: x["n"] >= 8,
-    )
-    assign = F.transform(assign, lambda x: x["span"])
-    access = F.filter(_spans(text, ACCESS, 1), lambda x: _length(x) >= 16)
-    hexes = _spans(text, HEX, 2)
-    return F.array_sort(
-        F.concat(_where(text, ASSIGN, assign), _where(text, ACCESS, access), _where(text, HEX, hexes))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    hit = lambda x, place: F.struct(
+        F.lit(kind).alias("kind"), place.alias("place"), F.length(x["gap"]).cast("bigint").alias("gap"),
+        F.length(x["match"]).cast("bigint").alias("size"), F.xxhash64(x["value"]).alias("value"),
+        keep(x["match"], x["value"]).alias("keep"),
+    )
+    hits = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("match"), values.alias("value")), hit)
+    # Texts without a match are read once.
+    return F.when(text.rlike(pattern), hits).otherwise(F.array().cast(_HIT))
+
+
+def text_hits(text: Column) -> Column:
+    """Matches of the base kinds and of tokens of other forms."""
+    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")
+    return F.concat(
+        _hits(text, ASSIGN, 0, lambda match, value: F.length(value) >= 8, group=2),
+        _hits(text, ACCESS, 1, lambda match, value: F.length(match) >= 16),
+        _hits(text, HEX, 2, lambda match, value: F.lit(True)),
+        _hits(text, TOKEN, OWNED, lambda match, value: mixed(match)),
     )
 
 
-def token_spans(text: Column) -> Column:
-    """Tokens of other forms that may be secrets."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    mixed = F.filter(
-        F.zip_with(_spans(text, TOKEN, 3), found, lambda span, value: F.struct(span.alias("span"), value.alias("value"))),
-        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]"),
+def kept_spans(rows: DataFrame) -> DataFrame:
+    """row, owner, repository, kind, start, stop and value: hits by their places in the text.
+
+    Base spans that pass, and tokens that pass and overlap none of these. Of ``rows`` the columns row, owner,
+    repository and hits are read.
+    """
+    hits = rows.where(F.size("hits") > 0).select("row", "owner", "repository", F.explode("hits").alias("h"))
+    hits = hits.select("row", "owner", "repository", "h.*")
+    along = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("gap") + F.col("size")).over(along)
+    spans = hits.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size")).where("keep")
+    base = F.col("kind") != OWNED
+    # A token overlaps a base span that begins no later and ends behind its start, or one that
+    # begins later and before its end.
+    earlier = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumns(
+        {
+            "before": F.coalesce(F.max(F.when(base, F.col("stop"))).over(earlier), F.lit(-1)),
+            "after": F.min(F.when(base, F.col("start"))).over(later),
+        }
     )
-    return _where(text, TOKEN, F.transform(mixed, lambda x: x["span"]))
+    free = (F.col("before") <= F.col("start")) & F.coalesce(F.col("after") >= F.col("stop"), F.lit(True))
+    return spans.where(base | free).select("row", "owner", "repository", "kind", "start", "stop", "value")
 
 
 def _listed(spans: Column) -> Column:
@@ -124,41 +124,33 @@ def scan_documents(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col(owner).cast("string").alias("owner"),
             (F.xxhash64(text) if repository is None else F.col(repository).cast("string")).alias("repository"),
-            base_spans(text).alias("base"),
-            token_spans(text).alias("tokens"),
+            text_hits(text).alias("hits"),
         ),
         "candidates",
     )
-    free = F.filter(
-        "tokens",
-        lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
-    )
-    candidates = (
-        rows.where((F.size("base") > 0) | (F.size("tokens") > 0))
-        .select("row", "owner", "repository", F.explode(F.concat(F.col("base"), free)).alias("span"))
-        .withColumn("value", F.col("span.value"))
-    )
+    candidates = kept_spans(rows)
     verdicts = ownership(candidates)
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
-    owned = F.col("span.kind") == F.lit(3)
+    owned = F.col("kind") == OWNED
+    span = F.struct("start", "kind", "stop")
     judged = (
         candidates.join(verdicts, "value")
         .groupBy("row")
         .agg(
-            F.array_sort(F.collect_list(F.when(~owned | live, F.col("span")))).alias("spans"),
+            *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, name in enumerate(KINDS[:OWNED])],
+            F.array_sort(F.collect_list(F.when(~owned, span))).alias("base"),
+            F.array_sort(F.collect_list(F.when(~owned | live, span))).alias("spans"),
             F.count(F.when(owned & live, 1)).alias("n_owned"),
             F.count(F.when(~owned & live, 1)).alias("n_live"),
             F.count(F.when(~owned & ~live, 1)).alias("n_copied"),
         )
     )
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
-    none = F.lit(0).cast("long")
-    return rows.join(judged, "row", "left").select(
+    number = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
+    listed = lambda name: F.coalesce(_listed(F.col(name)), F.lit(""))
+    return rows.select("row", "doc_id").join(judged, "row", "left").select(
         "doc_id",
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        F.coalesce(_listed(F.col("spans")), F.lit("")).alias("spans"),
-        *[F.coalesce(F.col(n), none).alias(n) for n in ("n_owned", "n_live", "n_copied")],
+        *map(number, ("n_assign", "n_access", "n_hex")),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+        *map(number, ("n_owned", "n_live", "n_copied")),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from ixlake.llm.secrets import scan_documents
 
@@ -84,3 +85,14 @@ def test_copies_of_a_document_are_one_repository(make_docs):
     assert all(r["spans"].startswith(f"owned:4:{4 + len(live)},") for r in once)
     # Four distinct texts are four repositories, also without ids.
     assert {(r["n_owned"], r["n_live"], r["n_copied"]) for r in got if r["doc_id"] is None} == {(0, 0, 1)}
+
+
+def test_many_hits_in_one_text(make_docs):
+    """The work grows with the hits of a text, not with their square."""
+    runs = [f"{i:032x}" for i in range(100_000)]
+    text = " ".join(runs)
+    started = time.monotonic()
+    row = scan_documents(make_docs([(1, text), (2, "nothing here")])).where("doc_id = 1").first()
+    taken = time.monotonic() - started
+    assert row["n_hex"] == 100_000 and row["spans"].endswith(f"hex:{33 * 99_999}:{33 * 99_999 + 32}")
+    assert taken < 30

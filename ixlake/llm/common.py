@@ -112,7 +112,12 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
 def coded(flat: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     """Codes of the strings of an array, and the distinct strings behind the codes."""
     encoded = flat.dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.cast(pa.binary()).to_pylist()
+    words = encoded.dictionary.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    first = int(ends[0]) if len(words) else 0
+    raw = memoryview(words.buffers()[2])[first : int(ends[-1])].tobytes() if len(words) and ends[-1] > first else b""
+    at = (ends - first).tolist()
+    return encoded.indices.to_numpy(zero_copy_only=False), [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def hashed(flat: pa.Array) -> np.ndarray:

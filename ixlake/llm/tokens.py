@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SLICE_BYTES = 8 << 20
 # Words remembered between slices; beyond that the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 _LATIN = "ɐ"  # letters below it have no composed forms apart from themselves
 _PLAIN_ENDS = ".,;:!?"
 
@@ -38,6 +39,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
@@ -46,17 +51,20 @@ class Encoder:
         self.model = self.whole.model
         self.end_id = end_id
         self.letters = _byte_letters()
-        self.ends = {c: self.whole.encode(c, add_special_tokens=False).ids for c in _PLAIN_ENDS}
-        self.known: dict[bytes, list[int]] = {}
+        self.ends = {c: _packed(self.whole.encode(c, add_special_tokens=False).ids) for c in _PLAIN_ENDS}
+        # Bytes, not lists: hundreds of thousands of them cost the garbage collector nothing.
+        self.known: dict[bytes, bytes] = {}
 
-    def _word(self, raw: bytes) -> list[int]:
+    def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         core, end = (word[:-1], word[-1]) if word[-1] in _PLAIN_ENDS else (word, "")
-        if core.isalpha() and max(core) < _LATIN and len(lower := core.lower()) == len(core) and len(core) < 512:
-            plain = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(plain)]
-            return ids + self.ends[end] if end else ids
-        return self.whole.encode(word, add_special_tokens=False).ids
+        if core.isalpha() and len(core) < 512:
+            if core.isascii():
+                return _packed([t.id for t in self.model.tokenize(core.lower())]) + self.ends.get(end, b"")
+            if max(core) < _LATIN and len(lower := core.lower()) == len(core):
+                plain = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.letters)
+                return _packed([t.id for t in self.model.tokenize(plain)]) + self.ends.get(end, b"")
+        return _packed(self.whole.encode(word, add_special_tokens=False).ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin, with the end as last entry, and all ids.
@@ -76,8 +84,8 @@ class Encoder:
                 if len(raw) <= 64 and len(known) < REMEMBERED:
                     known[raw] = ids
             listed.append(ids)
-        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-        pool = np.fromiter((i for ids in listed for i in ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed)) // 4
+        pool = np.frombuffer(b"".join(listed), np.uint32)
         pool_at = np.cumsum(sizes) - sizes
         # One more "word" a text, the end id, behind its words.
         n = len(starts) - 1

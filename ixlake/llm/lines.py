@@ -367,7 +367,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             .mapInArrow(_verified(limit), "a long, b long")
         )
 
-    labels = connect(postings, verify, lambda one, other: can_be_near(one, other, limit), sharp=True)
+    labels = connect(postings, verify, lambda one, other: can_be_near(one("mark"), other("mark"), limit), sharp=True)
     discard(postings, needed, strings)
     labelled = distinct.join(labels.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "first", "n", "component"

@@ -152,27 +152,65 @@ def _pivots(labelled: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _met(one: DataFrame, other: DataFrame, alike: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """Pairs (a, b) of ids of one key with different labels whose marks are alike."""
+# Gives a column of one side of a join by its name.
+Side = Callable[[str], Column]
+
+
+def _met(one: DataFrame, other: DataFrame, alike: Callable[[Side, Side], Column] | None) -> DataFrame:
+    """Pairs (a, b) of ids of one key with different labels that are alike."""
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
     if alike is not None:
-        same = same & alike(F.col("x.mark"), F.col("y.mark"))
+        same = same & alike(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     return one.alias("x").join(other.alias("y"), same).select(
         F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     )
 
 
+def _first_pivots(labelled: DataFrame) -> DataFrame:
+    """(pivot, id) of the keys that still have several labels: what shares a key with its first pivot."""
+    first = F.min(F.struct((-F.col("weight")).alias("less"), F.xxhash64("id").alias("turn"), "id"))
+    open_keys = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), first.alias("first"))
+        .where(F.col("least") != F.col("most"))
+        .select("key", F.col("first.id").alias("pivot"))
+    )
+    return labelled.join(open_keys, "key").select("pivot", "id").distinct()
+
+
+def _split(labelled: DataFrame, differ: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Postings of the ids in open keys under what sets them apart from the pivot.
+
+    Of ``keep`` items of an id, rarest first, one is shared with each id that it may be linked to.
+    """
+    items = saved(differ(_first_pivots(labelled)), "items")
+    held = saved(items.groupBy("pivot", "item").agg(F.count("*").alias("n")).where(F.col("n") > 1), "held")
+    among = items.join(held, ["pivot", "item"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = Window.partitionBy("pivot", "id")
+    prefix = (
+        among.withColumn("place", F.row_number().over(own.orderBy("n", "item")))
+        .withColumn("shared", F.sum((F.col("n") > 1).cast("long")).over(own))
+        .where((F.col("place") <= F.col("keep")) & (F.col("n") > 1))
+        .select(F.xxhash64("pivot", "item").alias("key"), "id", F.lit(True).alias("post"), "apart", "shared")
+    )
+    weights = labelled.groupBy("id").agg(F.first("weight").alias("weight"))
+    out = shared_postings(prefix.join(weights, "id"))
+    discard(items, held)
+    return out
+
+
 def connect(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    alike: Callable[[Column, Column], Column] | None = None,
+    alike: Callable[[Side, Side], Column] | None = None,
     sharp: bool = False,
+    differ: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the ids that ``verify`` links among those sharing a key.
 
     ``postings`` is what :func:`shared_postings` gives; a pair counts when one of its rows has post
-    set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say of two marks that
-    their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
+    set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say by other columns of
+    two rows that their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
     says that it leaves few pairs, so that these are counted before another round of pivots.
     Returns (node, component) of linked ids.
 
@@ -180,23 +218,37 @@ def connect(
     key meet the others; those linked get one label, and pairs inside a label need
     no test. When few pairs are left, all of them are tested, so no link between two labels
     is lost. The rounds change how many pairs are tested, never the components.
+
+    ``differ`` takes (pivot, id) and returns (pivot, id, item, keep, apart): items in which an id differs from the
+    pivot, such that two linked ids, one of which isn't linked to the pivot, share one of the first ``keep`` of each
+    in any common order. Ids that are left after a round are then posted under these items of their key's first
+    pivot, so a family of alike ids without links falls apart. Every row needs ``post``, ``weight``, ``apart`` and
+    ``shared``, the number of the id's items that another one has; ``alike`` reads the last two.
     """
-    total = postings.count()
     labels, stars = None, None
     tested: list[DataFrame] = []
-    for turn in range(ROUNDS + 1):
+    made: list[DataFrame] = []
+    before, coarser = None, None
+    turn = 0
+    while True:
+        total = postings.count()
         labelled = saved(_labelled(postings, labels), "labelled")
         still_open = _open_pairs(labelled)
         if not still_open:
             break
+        if coarser is not None and still_open > before:
+            discard(labelled)
+            labelled = saved(_labelled(coarser, labels), "labelled")
         every = _met(labelled.where("post"), labelled, alike)
         if sharp and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
             still_open = every.count()
-        last = turn == ROUNDS or still_open <= OPEN_SHARE * total
-        met = every if last else _met(_pivots(labelled, turn), labelled, alike)
+        # Splitting goes on as long as it halves what is open.
+        stuck = turn == ROUNDS if differ is None else before is not None and still_open > before / 2
+        last = stuck or still_open <= OPEN_SHARE * total
+        met = every if last else _met(_pivots(labelled, turn if differ is None else 0), labelled, alike)
         met = met.distinct()
-        for before in tested:
-            met = met.join(before, ["a", "b"], "left_anti")
+        for earlier in tested:
+            met = met.join(earlier, ["a", "b"], "left_anti")
         met = saved(met, "pairs")
         edges = verify(met).select("a", "b")
         if stars is not None:
@@ -207,7 +259,14 @@ def connect(
         tested.append(met)
         if last:
             break
-    discard(*tested)
+        if differ is not None:
+            labelled = saved(_labelled(postings, labels), "labelled")
+            before, coarser = _open_pairs(labelled), postings
+            postings = _split(labelled, differ)
+            made.append(postings)
+            discard(labelled)
+        turn += 1
+    discard(*tested, *made)
     if labels is None:
         return postings.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     return labels

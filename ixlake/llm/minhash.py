@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import discard, hashed, saved, slices, split_words, windows, with_least
-from ixlake.llm.links import connect, shared_postings
+from ixlake.llm.links import Side, connect, shared_postings
 
 COORDINATES = 20
 MISS = 1e-6  # most chance that a pair at the similarity threshold stays below T
@@ -128,22 +128,43 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _able(shingles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, mark, weight) of the sets that can have a link at all.
+    """(id, apart, shared, weight) of the sets that can have a link at all.
 
     What a set shares with any other one is among its shingles that two of the sets hold. Where
     these are too few the set has no link, so the many loosely alike documents of a
-    family are never compared with each other. ``mark`` is the size; ``weight`` is the
-    shared part, which is largest for the documents that the others were copied from.
+    family are never compared with each other. ``apart`` and ``shared`` are for
+    :func:`_can_be_near`; ``weight`` is the shared part, which is largest for the documents that the
+    others were copied from.
     """
+    sized = classes.select(F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
     common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = shingles.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
     return (
-        shared.join(classes.select(F.col("set_id").alias("id"), F.col("n_shingles").alias("mark")), "id")
-        .where(100 * F.col("shared") >= percent * F.col("mark"))
-        .select("id", "mark", (F.col("shared") / F.col("mark")).alias("weight"))
+        shared.join(sized, "id")
+        .where(100 * F.col("shared") >= percent * F.col("size"))
+        .select(
+            "id",
+            _apart(F.col("size"), F.col("size"), percent).alias("apart"),
+            "shared",
+            (F.col("shared") / F.col("size")).alias("weight"),
+        )
     )
 
 
+def _apart(size, items, percent: int):
+    """How far ``items`` of a set of ``size`` shingles are from the difference that a link allows.
+
+    Sets x and y are linked when (100 + percent) * difference <= (100 - percent) * (x + y), and of all items of
+    two sets those that both have are no difference: ``apart`` of both is at most 2 * (100 + percent) * common.
+    """
+    return (100 + percent) * items - (100 - percent) * size
+
+
+def _can_be_near(one: Side, other: Side, percent: int) -> Column:
+    """Whether two postings leave room for a link: no set has more in common with one than with all."""
+    return one("apart") + other("apart") <= 2 * (100 + percent) * F.least(one("shared"), other("shared"))
+
+
 def _linked(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,6 +179,46 @@ def _linked(percent: int):
     return linked
 
 
+def _differing(percent: int):
+    """(pivot, id, item, keep, apart) of pairs of sets: the shingles that only one of the two holds.
+
+    With c = (100 - percent) / (100 + percent), sets x and y are linked when they differ in at most c * (x + y)
+    shingles. With dx and dy shingles apart from a pivot p they then share (dx + dy - c * (x + y)) / 2
+    of these at least. Where y is not linked to p, dy > c * (y + p); where it is, dy - c * y >= -c * p.
+    So every set shares at least ``shared`` of its own with each set that it may be linked to, if not
+    both are linked to p, and one of any dx - shared + 1 of them is among those.
+    """
+
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "other", 1 << 20):
+                items, keep, slack = [], [], []
+                for p, x in zip(part.column("one"), part.column("other"), strict=True):
+                    p, x = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)
+                    apart = np.setxor1d(p, x, assume_unique=True).view(np.int64)
+                    most = (100 - percent) * (len(x) + len(p))
+                    own = (100 + percent) * len(apart)
+                    # Twice (100 + percent) the number that are shared at least, which is more than this.
+                    over = own - most if own > most else own + (100 - percent) * (len(p) - len(x))
+                    shared = max(0, over) // (2 * (100 + percent)) + 1
+                    items.append(apart)
+                    keep.append(max(0, len(apart) - shared + 1))
+                    slack.append(_apart(len(x), len(apart), percent))
+                sizes = [len(x) for x in items]
+                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("pivot").take(at), part.column("id").take(at),
+                        pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)),
+                        pa.array(np.repeat(np.array(keep, np.int64), sizes)),
+                        pa.array(np.repeat(np.array(slack, np.int64), sizes)),
+                    ],
+                    ["pivot", "id", "item", "keep", "apart"],
+                )
+
+    return differing
+
+
 def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and (set_id, doc_id, first, label) of every distinct set.
 
@@ -237,9 +298,16 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tu
             .mapInArrow(_linked(percent), "a long, b long")
         )
 
-    labels = connect(
-        postings, verify, lambda one, other: 100 * F.least(one, other) >= percent * F.greatest(one, other)
-    )
+    def differ(pairs: DataFrame) -> DataFrame:
+        once = sets.dropDuplicates(["set_id"])
+        return (
+            pairs.join(once.select(F.col("set_id").alias("pivot"), F.col("shingles").alias("one")), "pivot")
+            .join(once.select(F.col("set_id").alias("id"), F.col("shingles").alias("other")), "id")
+            .select("pivot", "id", "one", "other")
+            .mapInArrow(_differing(percent), "pivot long, id long, item long, keep long, apart long")
+        )
+
+    labels = connect(postings, verify, lambda one, other: _can_be_near(one, other, percent), differ=differ)
     discard(postings, sets)
     return signed, classes.select("set_id", "doc_id", "first").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "doc_id", "first", F.coalesce("component", "set_id").alias("label")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ixlake.llm import covertree
+from ixlake.llm import covertree, links
 from ixlake.llm.covertree import near_vectors
 from ixlake.llm.lines import Segments, _plain_distance, banded_distances, dedup_lines, letter_marks, normal_line
 from ixlake.llm.links import components, connect, shared_postings
@@ -107,6 +107,40 @@ def test_near_duplicates_match_brute_force(make_docs, all_docs, width, percent):
     assert out[20_003] == (1, 20_002) and out[20_000] == (0, 20_000)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_alike_documents_without_links(make_docs, monkeypatch, width, percent):
+    """Families about the threshold apart, with near copies of some members, split until nothing is open."""
+    monkeypatch.setattr(links, "OPEN_SHARE", 0.0)
+    met, splits = [], []
+    saved, split = links.saved, links._split
+
+    def counted(df, name="step"):
+        out = saved(df, name)
+        if name == "pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "saved", counted)
+    monkeypatch.setattr(links, "_split", lambda *given: splits.append(1) or split(*given))
+    rng = random.Random(width)
+    texts = []
+    for base in (90, 140):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(base)]
+        for _ in range(60):
+            own = list(words)
+            for at in rng.sample(range(base), rng.randint(base // 45, base // 22)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            own = own[rng.randrange(3) : base - rng.randrange(3)]
+            texts.append(" ".join(own))
+            if rng.random() < 0.2:
+                own[rng.randrange(len(own))] = "y"
+                texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make_docs(rows), width, percent).collect()}
+    assert out == brute_near(rows, width, percent)
+    assert splits and sum(met) < len(texts) ** 2 / 8
+
+
 def test_near_duplicates_edges(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "q r s t u v"), (None, None)]

@@ -211,7 +211,7 @@ def connect(
     ``postings`` is what :func:`shared_postings` gives; a pair counts when one of its rows has post
     set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say by other columns of
     two rows that their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
-    says that it leaves few pairs, so that these are counted before another round of pivots.
+    says that it leaves few pairs, so that these are counted before a second round of pivots.
     Returns (node, component) of linked ids.
 
     A key that many ids share isn't joined with itself at once. In each round a few pivots of a
@@ -240,7 +240,7 @@ def connect(
             discard(labelled)
             labelled = saved(_labelled(coarser, labels), "labelled")
         every = _met(labelled.where("post"), labelled, alike)
-        if sharp and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
+        if sharp and turn and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
             still_open = every.count()
         # Splitting goes on as long as it halves what is open.
         stuck = turn == ROUNDS if differ is None else before is not None and still_open > before / 2

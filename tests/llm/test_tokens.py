@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from ixlake.llm.packing import Places, pack_documents, plan_patterns
+from ixlake.llm.packing import Places, crc_behind, pack_documents, plan_groups, plan_patterns
 from ixlake.llm.tokenfile import Segment, round_trip, write_segment
 from ixlake.llm.tokens import encoder, tokenizer_path
 
@@ -121,6 +121,48 @@ def test_packing_one_hot_length(ids_of, make_docs):
     check_packed(rows, pack_documents(make_docs(rows)).collect(), ids_of, 0.05)
 
 
+@pytest.mark.parametrize("tokens", [1085, 1724])
+def test_packing_a_hot_length_without_complements(ids_of, make_docs, tokens):
+    text = "x " * (tokens - 2)
+    text += "x" if len(ids_of(text)) < tokens else ""
+    check_packed([(i, text) for i in range(600)], pack_documents(make_docs([(i, text) for i in range(600)])).collect(), ids_of, 0.02)
+
+
+def test_checksum_of_the_ids_behind_a_cut():
+    ids = np.random.default_rng(2).integers(0, 2**32, 2048, np.uint32)
+    cuts = np.array([0, 16, 1024, 2032])
+    before = np.array([zlib.crc32(ids[:c].tobytes()) for c in cuts])
+    whole = np.full(len(cuts), zlib.crc32(ids.tobytes()))
+    assert crc_behind(before, whole, 2048 - cuts).tolist() == [zlib.crc32(ids[c:].tobytes()) for c in cuts]
+
+
+@pytest.mark.parametrize("top,hot", [(1, 0), (3, 4000), (500, 0), (0, 5000)])
+def test_cut_plan_fills_every_place_once(top, hot):
+    random = np.random.default_rng(top)
+    histogram = random.integers(0, top + 1, 2049) * (random.random(2049) < 0.4)
+    histogram[0] = 0
+    histogram[1100] += hot
+    places = Places(plan_groups(histogram))
+    filled = defaultdict(list)
+    for x in np.flatnonzero(histogram).tolist():
+        ranks = np.arange(histogram[x])
+        lengths = np.full(len(ranks), x)
+        (sequence, offset), (cut, following) = places.of(lengths, ranks), places.cuts(lengths, ranks)
+        for s, o, c, f in zip(sequence.tolist(), offset.tolist(), cut.tolist(), following.tolist(), strict=True):
+            filled[s].append((o, c))
+            if c < x:
+                filled[f].append((0, x - c))
+    assert len(filled) == places.sequences
+    for own in filled.values():
+        at = 0
+        for offset, size in sorted(own):
+            assert offset == at and size > 0
+            at += size
+        assert at <= 2048
+    tokens = int((histogram * np.arange(2049)).sum())
+    assert places.sequences * 2048 - tokens <= 0.01 * places.sequences * 2048 + 2 * 2048
+
+
 def test_plan_uses_every_piece_once():
     random = np.random.default_rng(1)
     for top in (1, 3, 500):

@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ixlake import constants as K
 
 
+def collapsed(log: DataFrame) -> DataFrame:
+    """One row per (node, root, status): the shards' sum and the latest time."""
+    return log.groupBy("node_pubkey", "merkle_root", "status").agg(
+        F.sum("shard_count").alias("shards"), F.max("ts").alias("ts")
+    )
+
+
 def node_availability(log: DataFrame) -> DataFrame:
     """Per node over the heartbeat log; status is the largest text, as the view defines it.
 
@@ -16,10 +23,7 @@ def node_availability(log: DataFrame) -> DataFrame:
     on (node, root, status): a hot node is spread over its roots, and the text maximum,
     which needs a sort, runs on the collapsed rows.
     """
-    collapsed = log.groupBy("node_pubkey", "merkle_root", "status").agg(
-        F.sum("shard_count").alias("shards"), F.max("ts").alias("ts")
-    )
-    return collapsed.groupBy("node_pubkey").agg(
+    return collapsed(log).groupBy("node_pubkey").agg(
         F.countDistinct("merkle_root").alias("files_locked"),
         F.sum("shards").alias("total_shards"),
         F.max("ts").alias("last_seen"),
@@ -61,9 +65,18 @@ def program_stats(log: DataFrame, catalog: DataFrame, since: Column | None = Non
     """
     if since is not None:
         log = log.filter(F.col("ts") >= since)
-    counts = log.groupBy("program_id", F.lower("instruction").alias("instruction")).agg(
+    return stats_of_counts(call_counts(log), catalog)
+
+
+def call_counts(log: DataFrame) -> DataFrame:
+    """Calls per program and instruction, names in lower case."""
+    return log.groupBy("program_id", F.lower("instruction").alias("instruction")).agg(
         F.count("*").alias("calls")
     )
+
+
+def stats_of_counts(counts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``program_stats`` from calls counted before."""
     known = catalog.select("program_id", "instruction").distinct()
     per_ix = known.join(counts, ["program_id", "instruction"], "left")
     # GROUPING SETS over the joined counts: rows and totals from one exchange.

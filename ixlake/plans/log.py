@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ixlake.functions.text import short_id
@@ -16,6 +18,8 @@ from ixlake.plans.views import (
     v_tx,
     with_views,
 )
+from ixlake.session import shared_folder
+from ixlake.streaming.rollups import CallRollup
 
 
 @query(
@@ -104,25 +108,38 @@ def program_stats(spark, d):
     return aggregates.program_stats(v_log(spark, d), v_log_catalog(spark, d), since)
 
 
-@query(
-    "program_stats_indexed",
-    with_views(
-        """
-        , counts AS (
-          SELECT c.program_id, c.instruction, count(x.signature) AS calls
-          FROM v_catalog c LEFT JOIN v_ix x ON x.program_id = c.program_id AND lower(x.name) = c.instruction
-          GROUP BY ALL)
-        SELECT program_id, instruction, calls FROM counts
-        UNION ALL SELECT program_id, NULL, sum(calls)::BIGINT FROM counts GROUP BY program_id
-        """,
-        "v_ix",
-        "v_catalog",
-    ),
+_INDEXED_CALLS = with_views(
+    """
+    , counts AS (
+      SELECT c.program_id, c.instruction, count(x.signature) AS calls
+      FROM v_catalog c LEFT JOIN v_ix x ON x.program_id = c.program_id AND lower(x.name) = c.instruction
+      GROUP BY ALL)
+    SELECT program_id, instruction, calls FROM counts
+    UNION ALL SELECT program_id, NULL, sum(calls)::BIGINT FROM counts GROUP BY program_id
+    """,
+    "v_ix",
+    "v_catalog",
 )
+
+
+def _indexed_calls(spark, d):
+    return v_ix(spark, d).select("program_id", F.col("name").alias("instruction"), "slot")
+
+
+@query("program_stats_indexed", _INDEXED_CALLS)
 def program_stats_indexed(spark, d):
     """Calls of every cataloged instruction over all transactions, straight from the feed."""
-    calls = v_ix(spark, d).select("program_id", F.col("name").alias("instruction"))
-    return aggregates.program_stats(calls, v_catalog(spark, d))
+    return aggregates.program_stats(_indexed_calls(spark, d), v_catalog(spark, d))
+
+
+@query("program_stats_kept", _INDEXED_CALLS)
+def program_stats_kept(spark, d):
+    """The same from stored counts of three batches; a fold comes after the second."""
+    rollup = CallRollup(f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}", fold_every=2)
+    calls = _indexed_calls(spark, d)
+    for batch_id in range(3):
+        rollup(calls.filter(F.pmod(F.coalesce("slot", F.lit(0)), F.lit(3)) == batch_id), batch_id)
+    return rollup.program_stats(v_catalog(spark, d))
 
 
 @query(

@@ -11,6 +11,7 @@ from ixlake.plans.registry import query
 from ixlake.plans.views import HB_ORDER, v_hb, with_views
 from ixlake.session import shared_folder
 from ixlake.sources import tables
+from ixlake.streaming.rollups import HeartbeatRollups
 
 AS_OF = "1998-06-01 00:10:00"
 
@@ -99,17 +100,25 @@ def shard_lock_upsert(spark, d):
     return state.upsert_state(stored, beats.filter(later), HB_ORDER)
 
 
-@query(
-    "node_availability",
-    with_views(
-        """
-        SELECT node_pubkey, count(DISTINCT merkle_root) AS files_locked,
-          sum(shard_count)::BIGINT AS total_shards, max(ts) AS last_seen, max(status) AS current_status
-        FROM v_hb GROUP BY node_pubkey
-        """,
-        "v_hb",
-    ),
+_BY_NODE = with_views(
+    """
+    SELECT node_pubkey, count(DISTINCT merkle_root) AS files_locked,
+      sum(shard_count)::BIGINT AS total_shards, max(ts) AS last_seen, max(status) AS current_status
+    FROM v_hb GROUP BY node_pubkey
+    """,
+    "v_hb",
+)
+_BY_ROOT = with_views(
+    """
+    SELECT merkle_root, count(DISTINCT node_pubkey) AS replication_factor,
+      sum(shard_count)::BIGINT AS total_shards_distributed, max(ts) AS last_heartbeat
+    FROM v_hb WHERE status = 'ONLINE' GROUP BY merkle_root
+    """,
+    "v_hb",
 )
+
+
+@query("node_availability", _BY_NODE)
 def node_availability(spark, d):
     return aggregates.node_availability(v_hb(spark, d))
 
@@ -129,16 +138,26 @@ def node_availability_current(spark, d):
     return aggregates.node_availability_current(_swept(spark, d))
 
 
-@query(
-    "active_shard_map",
-    with_views(
-        """
-        SELECT merkle_root, count(DISTINCT node_pubkey) AS replication_factor,
-          sum(shard_count)::BIGINT AS total_shards_distributed, max(ts) AS last_heartbeat
-        FROM v_hb WHERE status = 'ONLINE' GROUP BY merkle_root
-        """,
-        "v_hb",
-    ),
-)
+@query("active_shard_map", _BY_ROOT)
 def active_shard_map(spark, d):
     return aggregates.active_shard_map(v_hb(spark, d))
+
+
+def _kept_rollups(spark, d):
+    """Three batches, out of time order, folded after the second."""
+    rollups = HeartbeatRollups(f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}", fold_every=2)
+    beats = v_hb(spark, d)
+    for batch_id in range(3):
+        rollups(beats.filter(F.pmod(F.col("feed_offset"), F.lit(3)) == batch_id), batch_id)
+    return rollups
+
+
+@query("node_availability_kept", _BY_NODE)
+def node_availability_kept(spark, d):
+    """From stored partial rows of three batches, equal to the roll-up of the whole log."""
+    return _kept_rollups(spark, d).node_availability(spark)
+
+
+@query("active_shard_map_kept", _BY_ROOT)
+def active_shard_map_kept(spark, d):
+    return _kept_rollups(spark, d).active_shard_map(spark)

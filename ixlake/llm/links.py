@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -166,6 +167,36 @@ def _met(one: DataFrame, other: DataFrame, alike: Callable[[Side, Side], Column]
     )
 
 
+def _first_shared(labelled: DataFrame) -> DataFrame:
+    """The postings of keys with several labels, each with the id's smaller ones of these keys (``before``)."""
+    open_keys = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        .where(F.col("least") != F.col("most"))
+        .select("key")
+    )
+    rows = labelled.join(open_keys, "key", "left_semi")
+    keys = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    return rows.join(keys, "id").withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+
+
+def _every(labelled: DataFrame, alike: Callable[[Side, Side], Column] | None, few_keys: bool) -> DataFrame:
+    """All pairs of ids of one key with different labels that are alike.
+
+    A pair is made once a key, and where ids have few keys at the smallest key only that the two share: two
+    ids of different labels share none but open keys, so this one is found with the keys of ``before``.
+    """
+
+    def made(one: Side, other: Side) -> Column:
+        new = ~other("post") | (one("id") < other("id"))
+        if alike is not None:
+            new = new & alike(one, other)
+        return new & ~F.arrays_overlap(one("before"), other("before")) if few_keys else new
+
+    rows = _first_shared(labelled) if few_keys else labelled
+    return _met(rows.where("post"), rows, made)
+
+
 def _first_pivots(labelled: DataFrame) -> DataFrame:
     """(pivot, id) of the keys that still have several labels: what shares a key with its first pivot."""
     first = F.min(F.struct((-F.col("weight")).alias("less"), F.xxhash64("id").alias("turn"), "id"))
@@ -205,13 +236,15 @@ def connect(
     alike: Callable[[Side, Side], Column] | None = None,
     sharp: bool = False,
     differ: Callable[[DataFrame], DataFrame] | None = None,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Components of the ids that ``verify`` links among those sharing a key.
 
     ``postings`` is what :func:`shared_postings` gives; a pair counts when one of its rows has post
     set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say by other columns of
     two rows that their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
-    says that it leaves few pairs, so that these are counted before a second round of pivots.
+    says that it leaves few pairs, so that these are counted before a second round of pivots. ``few_keys`` says that
+    an id has a bounded number of keys and ``post`` in all of them; a pair is then made at the first key only that it shares.
     Returns (node, component) of linked ids.
 
     A key that many ids share isn't joined with itself at once. In each round a few pivots of a
@@ -229,6 +262,7 @@ def connect(
     tested: list[DataFrame] = []
     made: list[DataFrame] = []
     before, coarser = None, None
+    given = postings
     turn = 0
     while True:
         total = postings.count()
@@ -236,10 +270,12 @@ def connect(
         still_open = _open_pairs(labelled)
         if not still_open:
             break
+        source = postings
         if coarser is not None and still_open > before:
             discard(labelled)
-            labelled = saved(_labelled(coarser, labels), "labelled")
-        every = _met(labelled.where("post"), labelled, alike)
+            source = coarser
+            labelled = saved(_labelled(source, labels), "labelled")
+        every = _every(labelled, alike, few_keys and source is given)
         if sharp and turn and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
             still_open = every.count()
         # Splitting goes on as long as it halves what is open.
@@ -247,9 +283,13 @@ def connect(
         last = stuck or still_open <= OPEN_SHARE * total
         met = every if last else _met(_pivots(labelled, turn if differ is None else 0), labelled, alike)
         met = met.distinct()
-        for earlier in tested:
-            met = met.join(earlier, ["a", "b"], "left_anti")
-        met = saved(met, "pairs")
+        if tested:
+            # Written first: the join would otherwise be planned before the distinct, on the pairs of every key.
+            found, known = saved(met, "found"), reduce(DataFrame.unionByName, tested)
+            met = saved(found.join(known, ["a", "b"], "left_anti"), "pairs")
+            discard(found)
+        else:
+            met = saved(met, "pairs")
         edges = verify(met).select("a", "b")
         if stars is not None:
             edges = edges.unionByName(stars)

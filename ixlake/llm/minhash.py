@@ -307,7 +307,10 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tu
             .mapInArrow(_differing(percent), "pivot long, id long, item long, keep long, apart long")
         )
 
-    labels = connect(postings, verify, lambda one, other: _can_be_near(one, other, percent), differ=differ)
+    def alike(one: Side, other: Side) -> Column:
+        return _can_be_near(one, other, percent)
+
+    labels = connect(postings, verify, alike, differ=differ, few_keys=True)
     discard(postings, sets)
     return signed, classes.select("set_id", "doc_id", "first").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "doc_id", "first", F.coalesce("component", "set_id").alias("label")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ixlake.llm.common import discard, mixed, saved, slices, with_least
-from ixlake.llm.links import connect, shared_postings
+from ixlake.llm.links import Side, connect, shared_postings
 
 LIMIT = 2
 # (edits, characters) from which a line may be so many edits from another one that is not shorter. Below
@@ -64,39 +64,57 @@ def allowed(sizes: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lines, and the line of each."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return points, np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+
+
 def letter_marks(lines: list[str]) -> np.ndarray:
     """For each line, how often letters of 16 classes occur, four bits a class.
 
     An edit changes two of the numbers by one at most, so lines whose numbers differ by more
     in sum than twice the limit are farther apart than the limit.
     """
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    return _marks(*_points(lines), len(lines))
+
+
+def neighbour_marks(lines: list[str]) -> np.ndarray:
+    """As :func:`letter_marks`, of pairs of neighbouring letters.
+
+    An edit takes two of these pairs away at most and adds two, so lines whose numbers differ by
+    more in sum than four times the limit are farther apart than the limit.
+    """
+    points, owner = _points(lines)
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    return _marks(mixed(points[inside]) + points[inside + 1], owner[inside], len(lines))
+
+
+def _marks(points: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     kind = (mixed(points + np.uint64(7)) >> np.uint64(60)).astype(np.int64)
-    counts = np.bincount(owner * 16 + kind, minlength=16 * len(lines)).reshape(-1, 16) & 15
+    counts = np.bincount(owner * 16 + kind, minlength=16 * n).reshape(-1, 16) & 15
     return (counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def can_be_near(one: Column, other: Column, limit: int) -> Column:
-    """Whether two letter marks allow an edit distance up to ``limit``; counts wrap at 16."""
+def marks_allow(one: Column, other: Column, most: int) -> Column:
+    """Whether the numbers of two marks differ by ``most`` in sum or less; they wrap at 16."""
     total = F.lit(0)
     for place in range(0, 64, 4):
         part = lambda x: F.shiftright(x, place).bitwiseAND(F.lit(15))  # noqa: B023, E731
         apart = F.abs(part(one) - part(other))
         total = total + F.least(apart, F.lit(16) - apart)
-    return total <= 2 * limit
+    return total <= most
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            row, place, key, strings = [], [], [], []
+            row, place, key = [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
                 for at, line in considered(text):
                     row.append(i)
                     place.append(at)
                     key.append(line_key(line))
-                    strings.append(line)
             rows = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -104,9 +122,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column("text_key").take(rows),
                     pa.array(place, pa.int32()),
                     pa.array(key, pa.int64()),
-                    pa.array(letter_marks(strings), pa.int64()),
                 ],
-                ["doc_id", "text_key", "place", "line", "mark"],
+                ["doc_id", "text_key", "place", "line"],
             )
 
 
@@ -296,8 +313,15 @@ def _texts_of_lines(least: int):
         for batch in batches:
             for part in slices(batch):
                 found = {line_key(x): x for text in part.column("text").to_pylist() for _, x in considered(text, least)}
+                lines = list(found.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "string"]
+                    [
+                        pa.array(list(found), pa.int64()),
+                        pa.array(lines, pa.string()),
+                        pa.array(letter_marks(lines), pa.int64()),
+                        pa.array(neighbour_marks(lines), pa.int64()),
+                    ],
+                    ["line", "string", "letters", "neighbours"],
                 )
 
     return texts
@@ -319,11 +343,11 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     rows = _keyed(docs)
     lines = saved(
-        rows.mapInArrow(_occurrences, "doc_id long, text_key long, place int, line long, mark long"), "lines"
+        rows.mapInArrow(_occurrences, "doc_id long, text_key long, place int, line long"), "lines"
     )
     where = F.struct("doc_id", "text_key", "place")
     distinct = saved(
-        lines.groupBy("line").agg(F.min(where).alias("first"), F.first("mark").alias("mark"), F.count("*").alias("n")), "distinct-lines"
+        lines.groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n")), "distinct-lines"
     )
     least = classes(limit)[0][1] if classes(limit) else 1 << 31
     posted = rows.select("text").mapInArrow(_posted(limit, least), "key long, id long, post boolean")
@@ -340,24 +364,30 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     met = saved(met, "met")
     hit = met.select("key").distinct()
     postings = met.select("key", "id", "post").unionByName(index.join(hit, "key", "left_semi"))
-    marks = distinct.select(F.col("line").alias("id"), "mark")
     # The line that others were made from shares most of its keys, and so is a pivot first.
     weights = postings.groupBy("id").agg(F.count_distinct("key").cast("double").alias("weight"))
-    postings = shared_postings(postings.join(weights, "id").join(marks, "id"))
+    sharing = shared_postings(postings.join(weights, "id"))
     discard(posted, met)
     # The lines that share a key, taken from the documents of their first occurrence.
-    needed = saved(postings.select(F.col("id").alias("line")).distinct(), "needed")
+    needed = saved(sharing.select(F.col("id").alias("line")).distinct(), "needed")
     owning = distinct.join(needed, "line", "left_semi").select(
         F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("key")
     ).distinct()
     strings = saved(
         rows.join(owning, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left_semi")
         .select("text")
-        .mapInArrow(_texts_of_lines(least), "line long, string string")
+        .mapInArrow(_texts_of_lines(least), "line long, string string, letters long, neighbours long")
         .join(needed, "line", "left_semi")
         .dropDuplicates(["line"]),
         "strings",
     )
+    marks = strings.select(F.col("line").alias("id"), "letters", "neighbours")
+    postings = saved(sharing.join(marks, "id"), "postings")
+    discard(sharing)
+
+    def alike(one: Side, other: Side) -> Column:
+        letters = marks_allow(one("letters"), other("letters"), 2 * limit)
+        return letters & marks_allow(one("neighbours"), other("neighbours"), 4 * limit)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return (
@@ -367,7 +397,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             .mapInArrow(_verified(limit), "a long, b long")
         )
 
-    labels = connect(postings, verify, lambda one, other: can_be_near(one("mark"), other("mark"), limit), sharp=True)
+    labels = connect(postings, verify, alike, sharp=True)
     discard(postings, needed, strings)
     labelled = distinct.join(labels.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "first", "n", "component"

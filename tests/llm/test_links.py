@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ixlake.llm import covertree, links
 from ixlake.llm.covertree import near_vectors
-from ixlake.llm.lines import Segments, _plain_distance, banded_distances, dedup_lines, letter_marks, normal_line
+from ixlake.llm.lines import Segments, _plain_distance, banded_distances, dedup_lines, letter_marks, neighbour_marks, normal_line
 from ixlake.llm.links import components, connect, shared_postings
 from ixlake.llm.minhash import match_threshold, near_duplicates, without_duplicates
 
@@ -40,8 +40,8 @@ def test_components_on_chains_stars_and_rings(spark, held):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_connect_finds_every_component_of_a_crowded_key(spark, seed):
+@pytest.mark.parametrize(("seed", "few_keys"), [(1, False), (2, False), (2, True), (3, True)])
+def test_connect_finds_every_component_of_a_crowded_key(spark, seed, few_keys):
     rng = random.Random(seed)
     ids = list(range(60))
     group = {i: rng.randrange(12) for i in ids}
@@ -57,7 +57,7 @@ def test_connect_finds_every_component_of_a_crowded_key(spark, seed):
             .select("a", "b")
         )
 
-    out = {r["node"]: r["component"] for r in connect(shared_postings(spark.createDataFrame(rows, "key long, id long, post boolean")), verify).collect()}
+    out = {r["node"]: r["component"] for r in connect(shared_postings(spark.createDataFrame(rows, "key long, id long, post boolean")), verify, few_keys=few_keys).collect()}
     expected = Sets(ids)
     for i in ids:
         for j in ids[:i]:
@@ -172,10 +172,11 @@ def test_distances_and_segments(limit):
         second.append("".join(b))
     exact = np.array([_plain_distance(a, b) for a, b in zip(first, second, strict=True)])
     assert (np.minimum(banded_distances(first, second, limit), limit + 1) == np.minimum(exact, limit + 1)).all()
-    marks = [[int(m) >> p & 15 for p in range(0, 64, 4)] for m in letter_marks(first + second).view(np.uint64)]
-    for i, d in enumerate(exact):
-        apart = [abs(x - y) for x, y in zip(marks[i], marks[len(first) + i], strict=True)]
-        assert d > limit or sum(min(x, 16 - x) for x in apart) <= 2 * limit
+    for marked, most in ((letter_marks, 2 * limit), (neighbour_marks, 4 * limit)):
+        marks = [[int(m) >> p & 15 for p in range(0, 64, 4)] for m in marked(first + second).view(np.uint64)]
+        for i, d in enumerate(exact):
+            apart = [abs(x - y) for x, y in zip(marks[i], marks[len(first) + i], strict=True)]
+            assert d > limit or sum(min(x, 16 - x) for x in apart) <= most
     lines = sorted({x for x in first + second if len(x) > limit})
     segments, where = Segments(lines, limit), {x: i for i, x in enumerate(lines)}
     index = {}

@@ -24,6 +24,7 @@ from ixlake.operators import (
     monitor,
     paging,
     state,
+    universal,
 )
 from ixlake.sources.transactions import normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
@@ -461,3 +462,27 @@ def test_stats_report_idle_instructions(spark):
     catalog = spark.createDataFrame([("P", "swap"), ("P", "idle")], "program_id string, instruction string")
     got = aggregates.program_stats(log_frame(spark).withColumn("ts", F.current_timestamp()), catalog)
     assert set(rows(got)) == {("P", "idle", 0), ("P", "swap", 30), ("P", None, 30)}
+
+
+# --- plans -----------------------------------------------------------------------------
+
+def _plan(df, which):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_layouts_are_not_broadcast(spark):
+    """Their estimated size is that of the files below, so a broadcast could be of any size."""
+    layouts = spark.createDataFrame(
+        [("P", bytearray(8), "note", "ix_note", '{"columns":["a"],"fields":["u8"],"types":[]}')],
+        "program_id string, disc binary, instruction string, table_name string, layout string",
+    )
+    call = base58.encode(bytes(8) + b"\x05")
+    ix = spark.createDataFrame(
+        [("s", 1, None, None, 0, 0, "P", 0, call)],
+        "signature string, slot bigint, ts timestamp, fee_payer string, feed_partition bigint, feed_offset bigint, "
+        "program_id string, ix_index int, data string",
+    )
+    decoded = universal.decode_calls(ix, layouts)
+    joins = [line for line in _plan(decoded, "sparkPlan").splitlines() if "Join" in line and "disc" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert rows(decoded, "args", "error") == [('{"a":5}', None)]

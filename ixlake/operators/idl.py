@@ -1,7 +1,7 @@
 """Interface descriptions (IDLs) to catalogs, generated schemas and quality reports.
 
 Everything about a document is in its own row, so these are narrow jobs: the documents
-spread over the cluster, and no step shuffles.
+spread over the cluster, and no step here shuffles.
 """
 
 from __future__ import annotations
@@ -138,8 +138,10 @@ def resolve_names(names: Column, reserved: tuple[str, ...]) -> Column:
     """Column names for fields, in order: a taken name gets the next free ``_1``, ``_2``, ...
 
     Comparison ignores case, as column look-up does. The rule is sequential, so it is a
-    fold over the fields of one table.
+    fold over the fields of one table. Where no name is taken, the names stay and nothing is folded.
     """
+    lowered = F.transform(F.concat(F.array(*[F.lit(r) for r in reserved]), names), F.lower)
+    untouched = F.size(F.array_distinct(lowered)) == F.size(lowered)
     start = F.struct(
         F.array(*[F.lit(r) for r in reserved]).alias("seen"),
         F.from_json(F.lit("[]"), "array<string>").alias("out"),
@@ -159,7 +161,7 @@ def resolve_names(names: Column, reserved: tuple[str, ...]) -> Column:
             F.concat(acc["out"], F.array(chosen)).alias("out"),
         )
 
-    return F.aggregate(names, start, step, lambda acc: acc["out"])
+    return F.when(untouched, names).otherwise(F.aggregate(names, start, step, lambda acc: acc["out"]))
 
 
 def _nesting(type_text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Views that carry the engine's inputs onto the given tables.
 
 Each view has a Spark builder and the same rows as a DuckDB common table expression, so
-every query has an independent oracle. All views are row-local: no view shuffles, and each
-grows with its table.
+every query has an independent oracle. All views are row-local and each grows with its table.
+Only the documents are spread first: a part is a few bytes in its file, and a few kilobytes of
+text with much work behind it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from ixlake.functions.base58 import bytes_to_base58
 from ixlake.operators.decode import HEARTBEAT_HEX
 from ixlake.operators.idl import discriminator
 from ixlake.operators.ingest import explode_instructions
-from ixlake.sources.tables import table
+from ixlake.sources.tables import spread, table
 
 
 def with_views(body: str, *views: str, recursive: bool = False) -> str:
@@ -322,7 +323,8 @@ for _mark, _value in (
 
 def v_idl(spark: SparkSession, d: str) -> DataFrame:
     """One description document per part, as ``(path, text)``."""
-    return table(spark, d, "part").selectExpr(f"{_PART_PATH} AS path", f"{_PART_TEXT} AS text")
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_name"))
+    return parts.selectExpr(f"{_PART_PATH} AS path", f"{_PART_TEXT} AS text")
 
 
 SQL["v_idl"] = f"""

@@ -26,6 +26,7 @@ from ixlake.operators import (
     state,
     universal,
 )
+from ixlake.plans.views import v_idl
 from ixlake.sources.transactions import normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
 
@@ -486,3 +487,23 @@ def test_layouts_are_not_broadcast(spark):
     joins = [line for line in _plan(decoded, "sparkPlan").splitlines() if "Join" in line and "disc" in line]
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
     assert rows(decoded, "args", "error") == [('{"a":5}', None)]
+
+
+def test_documents_are_spread(spark, tmp_path):
+    """A table of one row group gives documents in as many tasks as a shuffle has."""
+    spark.range(40).selectExpr("id AS p_partkey", "'X' AS p_type", "1 AS p_size", "'n' AS p_name").coalesce(
+        1
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    documents = v_idl(spark, str(tmp_path))
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert documents.rdd.getNumPartitions() == wanted > 1
+    assert len({r[0] for r in rows(documents, F.spark_partition_id())}) > 1
+
+
+def test_free_names_are_not_folded(spark):
+    """Names come out as they are where none is taken; null and repeated names go by the rule."""
+    df = spark.createDataFrame(
+        [(0, ["a", "B"]), (1, ["a", "A"]), (2, ["slot"]), (3, []), (4, None), (5, ["a", None])], "i int, names array<string>"
+    )
+    found = dict(rows(df.select("i", idl.resolve_names(F.col("names"), ("slot",)))))
+    assert found == {0: ["a", "B"], 1: ["a", "A_1"], 2: ["slot_1"], 3: [], 4: None, 5: ["a", None]}

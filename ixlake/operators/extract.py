@@ -109,9 +109,10 @@ class Extractor:
     def keyed(self, tx: DataFrame) -> DataFrame:
         return self.judged(tx)[0]
 
-    def rows(self, tx: DataFrame) -> DataFrame:
-        """New rows, first write per key, in the table's columns."""
-        first = insert_ignore(self.keyed(tx), list(self.keys), list(self.order))
+    def rows(self, tx: DataFrame, chosen: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """New rows, first write per key, in the table's columns; of those that are ``chosen`` from
+        the transform's rows, if that is given."""
+        first = insert_ignore(chosen(self.keyed(tx)), list(self.keys), list(self.order))
         return first.select(*self.columns)
 
 

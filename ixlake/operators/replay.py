@@ -8,8 +8,12 @@ from ixlake import constants as K
 
 
 def by_signature(archive: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Archived transactions whose signature is listed."""
-    return archive.join(signatures.select("signature"), "signature", "left_semi")
+    """Archived transactions, or rows extracted from them, whose signature is listed.
+
+    An inner join with each signature once: Spark would push a semi join below the extraction and exchange
+    whole transactions where a few columns of a few rows are wanted.
+    """
+    return archive.join(signatures.select("signature").distinct(), "signature")
 
 
 def by_slot_range(archive: DataFrame, first: int, last: int) -> DataFrame:

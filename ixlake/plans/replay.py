@@ -29,7 +29,8 @@ def _orders_signatures(spark, d):
 )
 def replay_by_signature(spark, d):
     """Listed signatures (the pending orders' first lines) through the same extractor."""
-    return extract.LIQUIDATIONS.rows(replay.by_signature(v_tx(spark, d), _orders_signatures(spark, d)))
+    listed = _orders_signatures(spark, d)
+    return extract.LIQUIDATIONS.rows(v_tx(spark, d), lambda rows: replay.by_signature(rows, listed))
 
 
 @query(

@@ -23,6 +23,7 @@ from ixlake.operators import (
     ingest,
     monitor,
     paging,
+    replay,
     state,
     universal,
 )
@@ -507,3 +508,18 @@ def test_free_names_are_not_folded(spark):
     )
     found = dict(rows(df.select("i", idl.resolve_names(F.col("names"), ("slot",)))))
     assert found == {0: ["a", "B"], 1: ["a", "A_1"], 2: ["slot_1"], 3: [], 4: None, 5: ["a", None]}
+
+
+def test_replay_extracts_before_it_joins(spark):
+    """The exchange holds extracted rows of listed signatures, each once, not whole transactions."""
+    call = [(LENDING, "liquidate", '{"repaidAmount":1}', ["x"])]
+    tx = spark.createDataFrame(
+        [("a", 1, None, "f", "d", 0, 0, call), ("b", 1, None, "f", "d", 0, 1, call), (None, 1, None, "f", "d", 0, 2, call)],
+        "signature string, slot bigint, ts timestamp, fee_payer string, description string, feed_partition bigint, "
+        "feed_offset bigint, instructions array<struct<programId:string,name:string,data:string,accounts:array<string>>>",
+    )
+    listed = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "signature string")
+    found = extract.LIQUIDATIONS.rows(tx, lambda got: replay.by_signature(got, listed))
+    assert rows(found, "signature", "repaid_amount") == [("a", "1")]
+    optimized = _plan(found, "optimizedPlan")
+    assert optimized.index("Join") < optimized.index("Generate")

@@ -212,9 +212,15 @@ HB_ORDER = ["ts", "feed_partition", "feed_offset"]
 
 
 def le_hex(number: str, width: int) -> str:
-    """Spark SQL text: hex of the little-endian bytes of an integer (two's complement)."""
-    padded = f"lpad(hex({number}), 16, '0')"
-    return "concat(" + ", ".join(f"substr({padded}, {15 - 2 * i}, 2)" for i in range(width)) + ")"
+    """Spark SQL text: hex of the little-endian bytes of an integer (two's complement).
+
+    Its bytes change places in pairs, fours and halves, as whole numbers and not as text.
+    """
+    swapped = f"cast({number} AS bigint)"
+    for bits, mask in ((8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        swapped = f"(shiftleft({swapped} & {mask}L, {bits}) | (shiftright({swapped}, {bits}) & {mask}L))"
+    swapped = f"(shiftleft({swapped}, 32) | shiftrightunsigned({swapped}, 32))"
+    return f"substr(lpad(hex({swapped}), 16, '0'), 1, {2 * width})"
 
 
 _SHARDS = "(l_orderkey * 65537 + l_linenumber) % 4294967296"

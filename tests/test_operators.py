@@ -27,7 +27,7 @@ from ixlake.operators import (
     state,
     universal,
 )
-from ixlake.plans.views import v_idl
+from ixlake.plans.views import le_hex, v_idl
 from ixlake.sources.transactions import normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
 
@@ -510,6 +510,17 @@ def test_free_names_are_not_folded(spark):
     assert found == {0: ["a", "B"], 1: ["a", "A_1"], 2: ["slot_1"], 3: [], 4: None, 5: ["a", None]}
 
 
+def test_little_endian_hex_is_made_once(spark):
+    """All widths of positive, negative, edge and null numbers; one text is made of a number."""
+    numbers = [0, 1, -1, 255, 256, (1 << 63) - 1, -(1 << 63), 0x0123456789ABCDEF, -0x0123456789ABCDEF, None]
+    widths = (1, 2, 4, 8)
+    df = spark.createDataFrame([(n,) for n in numbers], "n bigint").selectExpr("n", *[le_hex("n", w) for w in widths])
+    for n, *found in rows(df):
+        whole = None if n is None else (n % (1 << 64)).to_bytes(8, "little")
+        assert found == [whole and whole[:w].hex().upper() for w in widths]
+    assert all(le_hex("n", w).count("hex(") == 1 for w in widths)
+
+
 def test_replay_extracts_before_it_joins(spark):
     """The exchange holds extracted rows of listed signatures, each once, not whole transactions."""
     call = [(LENDING, "liquidate", '{"repaidAmount":1}', ["x"])]

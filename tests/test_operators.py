@@ -485,8 +485,8 @@ def test_layouts_are_not_broadcast(spark):
         "program_id string, ix_index int, data string",
     )
     decoded = universal.decode_calls(ix, layouts)
-    joins = [line for line in _plan(decoded, "sparkPlan").splitlines() if "Join" in line and "disc" in line]
-    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    joins = [line for line in _plan(decoded, "sparkPlan").splitlines() if "Join" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
     assert rows(decoded, "args", "error") == [('{"a":5}', None)]
 
 

@@ -8,6 +8,8 @@ text with much work behind it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ixlake import constants as K
@@ -316,21 +318,26 @@ _PART_PROGRAM = (
 )
 _PART_ADDRESS = f"CASE WHEN p_partkey % 4 = 1 THEN '' ELSE concat('\"address\":\"', {_PART_PROGRAM}, '\",') END"
 _PART_PATH = f"concat('/idl/', CASE WHEN p_partkey % 4 = 1 THEN {_PART_PROGRAM} ELSE concat('doc', p_partkey) END, '.json')"
+_PART_MARKS = {
+    "@KEY@": "cast(p_partkey AS varchar(20))",
+    "@ADDRESS@": _PART_ADDRESS,
+    "@TYPE@": "p_type",
+    "@SIZE@": "cast(p_size AS varchar(20))",
+    "@NAME@": "replace(p_name, ' ', '_')",
+}
 _PART_TEXT = f"'{TEMPLATE}'"
-for _mark, _value in (
-    ("@KEY@", "cast(p_partkey AS varchar(20))"),
-    ("@ADDRESS@", _PART_ADDRESS),
-    ("@TYPE@", "p_type"),
-    ("@SIZE@", "cast(p_size AS varchar(20))"),
-    ("@NAME@", "replace(p_name, ' ', '_')"),
-):
+for _mark, _value in _PART_MARKS.items():
     _PART_TEXT = f"replace({_PART_TEXT}, '{_mark}', {_value})"
+# The same text for Spark, its pieces put together in one pass instead of five searches of the whole text.
+_PART_PIECES = ", ".join(
+    _PART_MARKS.get(piece) or f"'{piece}'" for piece in re.split(f"({'|'.join(_PART_MARKS)})", TEMPLATE) if piece
+)
 
 
 def v_idl(spark: SparkSession, d: str) -> DataFrame:
     """One description document per part, as ``(path, text)``."""
     parts = spread(table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_name"))
-    return parts.selectExpr(f"{_PART_PATH} AS path", f"{_PART_TEXT} AS text")
+    return parts.selectExpr(f"{_PART_PATH} AS path", f"concat({_PART_PIECES}) AS text")
 
 
 SQL["v_idl"] = f"""

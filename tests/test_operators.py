@@ -27,7 +27,7 @@ from ixlake.operators import (
     state,
     universal,
 )
-from ixlake.plans.views import le_hex, v_idl
+from ixlake.plans.views import _PART_PATH, _PART_TEXT, le_hex, v_idl
 from ixlake.sources.transactions import normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
 
@@ -397,6 +397,14 @@ def test_pushed_batches(spark, tmp_path):
     assert read_json(spark, str(tmp_path)).count() == 2
 
 
+def test_document_views_put_their_text_together_once(spark, sf_dir):
+    """One text per part, the one that the SQL makes by replacing marks, and no search of it."""
+    docs = v_idl(spark, sf_dir)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(f"{_PART_PATH} AS path", f"{_PART_TEXT} AS text")
+    assert docs.exceptAll(parts).count() == parts.exceptAll(docs).count() == 0
+    assert "@KEY@" not in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- state, monitors, pages ------------------------------------------------------------
 
 def test_stale_boundary(spark):

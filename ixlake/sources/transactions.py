@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ixlake.schema import TRANSACTION
 
@@ -103,26 +103,40 @@ def judge_batches(df: DataFrame, value: str = "value") -> DataFrame:
     items = judged.select(*others, text.alias("_batch"), "_whole", F.posexplode_outer("_items").alias("position", "_item"))
     # An empty array gives no transaction; a rejected batch gives one row.
     items = items.filter("_whole IS NOT NULL OR position IS NOT NULL")
-    item = F.col("_item")
-    checks = [
-        F.when(
-            F.get_json_object(item, f"$.{name}").isNotNull()
-            & F.get_json_object(item, f"$.{name}").try_cast("bigint").isNull(),
-            F.lit(f"bad_{name}"),
-        )
-        for name in ("slot", "timestamp")
-    ]
-    no_object = F.when(~F.coalesce(F.ltrim(item).startswith("{"), F.lit(False)), F.lit("no_object"))
-    reason = F.coalesce(F.col("_whole"), no_object, *checks)
-    return items.withColumn("reason", reason).select(
+    # A transaction is parsed and judged once: one-element explodes keep both from being copied into the filters
+    # on the reason.
+    is_object = F.coalesce(F.ltrim("_item").startswith("{"), F.lit(False))
+    items = items.withColumn("_tx", F.explode(F.array(F.when(is_object, F.from_json("_item", TRANSACTION)))))
+    checks = [F.when(_no_whole_number(name), F.lit(f"bad_{name}")) for name in _NUMBERS]
+    reason = F.coalesce(F.col("_whole"), F.when(~is_object, F.lit("no_object")), *checks)
+    return items.withColumn("reason", F.explode(F.array(reason))).select(
         *others,
         "position",
-        F.coalesce(item, F.col("_batch")).alias("text"),
+        F.coalesce("_item", "_batch").alias("text"),
         "reason",
-        F.when(F.col("reason").isNull(), F.from_json(item, TRANSACTION)).alias("_tx"),
+        F.when(F.col("reason").isNull(), F.col("_tx")).alias("_tx"),
     ).select(*others, "position", "text", "reason", "_tx.*")
 
 
+_NUMBERS = ("slot", "timestamp")
+
+
+def _no_whole_number(name: str) -> Column:
+    """Whether the transaction ``_item``, parsed as ``_tx``, has a value in a number's place that is none.
+
+    A parsed number is one. The text is searched again only where there is none though the name occurs (or an
+    escape that may spell it), or where the name occurs twice.
+    """
+    item, quoted = F.col("_item"), f'"{name}"'
+    named = item.contains(quoted)
+    around = F.octet_length(F.substring_index(item, quoted, 1)) + F.octet_length(F.substring_index(item, quoted, -1))
+    twice = named & (around + len(quoted) != F.octet_length(item))
+    missing = F.col("_tx").getField(name).isNull() & (named | item.contains("\\u"))
+    found = F.get_json_object(item, f"$.{name}")
+    # A branch and not a conjunction, whose common parts Spark would compute for every row.
+    return F.when(missing | twice, found.isNotNull() & found.try_cast("bigint").isNull())
+
+
 def split_batches(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Transactions of pushed batches, and what cannot be read, as ``text`` with its ``reason``."""
     others = [c for c in df.columns if c != value]

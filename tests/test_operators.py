@@ -28,7 +28,7 @@ from ixlake.operators import (
     universal,
 )
 from ixlake.plans.views import _PART_PATH, _PART_TEXT, le_hex, v_idl
-from ixlake.sources.transactions import normalise, parse_batches, read_json
+from ixlake.sources.transactions import judge_batches, normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
 
 # Known vectors and sample texts of the formats under test.
@@ -405,6 +405,29 @@ def test_document_views_put_their_text_together_once(spark, sf_dir):
     assert "@KEY@" not in docs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pushed_transactions_are_judged_once(spark):
+    """The test of the numbers is not copied into the filter on its result, and finds what it always found."""
+    elements = {
+        '{"signature":"a","slot":1,"timestamp":2}': (None, 1),
+        '{"signature":"b","slot":null,"description":"\\"slot\\""}': (None, None),
+        '{"signature":"c","slot":"5"}': (None, None),
+        '{"signature":"d","slot":"x"}': ("bad_slot", None),
+        '{"signature":"e","slot":"x","slot":7}': ("bad_slot", None),
+        '{"signature":"f","slot":7,"slot":"x"}': (None, 7),
+        '{"signature":"g","s\\u006cot":1.5}': ("bad_slot", None),
+        '{"signature":"h","slot":9223372036854775808}': ("bad_slot", None),
+        '{"signature":"i","slot":3,"timestamp":1.5}': ("bad_timestamp", None),
+        '{"signature":"j","slot":"x","timestamp":{}}': ("bad_slot", None),
+        '[{"slot":"x"}]': ("no_object", None),
+        "null": ("no_object", None),
+    }
+    df = spark.createDataFrame([(n, f"[{e}]") for n, e in enumerate(elements)], "n int, value string")
+    judged = judge_batches(df)
+    assert [tuple(r) for r in judged.orderBy("n").select("reason", "slot").collect()] == list(elements.values())
+    kept = parse_batches(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in kept.splitlines() if "Filter" in line and "get_json_object" in line]
+
+
 # --- state, monitors, pages ------------------------------------------------------------
 
 def test_stale_boundary(spark):

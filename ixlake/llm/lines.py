@@ -174,12 +174,12 @@ class Segments:
             keys.append(self._hash(every, at, size, sizes * (self.limit + 1) + number))
         return np.concatenate(keys), np.tile(every, self.limit + 1)
 
-    def probes(self) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, own: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Keys and line numbers of the substrings that may equal a segment of another line.
 
         For a line of length s and an indexed one of length s - d, segment ``number``
         can begin ``number`` places off from the left, and as many off the right, with the
-        difference d, as there are segments after it.
+        difference d, as there are segments after it. Without ``own`` a line's own segments, which are in the index, are left out.
         """
         keys, lines = [], []
         for d in range(self.limit + 1):
@@ -191,6 +191,8 @@ class Segments:
                 low = np.maximum(np.maximum(0, at - number), at + d - after)
                 high = np.minimum(np.minimum(self.sizes - size, at + number), at + d + after)
                 for shift in range(-self.limit, 2 * self.limit + 1):
+                    if not (own or d or shift):
+                        continue
                     inside = np.flatnonzero(meant & (at + shift >= low) & (at + shift <= high))
                     if len(inside):
                         keys.append(
@@ -224,7 +226,7 @@ def _posted(limit: int, least: int):
                     # Lines of the class are indexed; they and somewhat longer ones are probed with.
                     near = np.flatnonzero((sizes >= low) & (sizes <= high + edits))
                     segments = Segments([lines[i] for i in near.tolist()], edits, low, high)
-                    for (keys, at), post in ((segments.index(), True), (segments.probes(), False)):
+                    for (keys, at), post in ((segments.index(), True), (segments.probes(own=False), False)):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(keys), pa.array(ids[near[at]]), pa.array(np.full(len(keys), post))], ["key", "id", "post"]
                         )
@@ -352,12 +354,12 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     least = classes(limit)[0][1] if classes(limit) else 1 << 31
     posted = rows.select("text").mapInArrow(_posted(limit, least), "key long, id long, post boolean")
     posted = saved(posted, "segments")
-    index, probes = posted.where("post"), posted.where("NOT post")
-    # A line's own segments are among its probes, so an indexed key that probes of
+    index = posted.where("post")
+    # A line's own segments are probes as well, so an indexed key that probes of
     # another line hit shows up here; all other postings go no further.
     owners = index.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     met = (
-        probes.join(owners, "key")
+        posted.select("key", "id").join(owners, "key")
         .where((F.col("id") != F.col("least")) | (F.col("id") != F.col("most")))
         .select("key", "id", F.lit(False).alias("post"), "least", "most")
     )
@@ -397,7 +399,7 @@ def repeated_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             .mapInArrow(_verified(limit), "a long, b long")
         )
 
-    labels = connect(postings, verify, alike, sharp=True)
+    labels = connect(postings, verify, alike, sharp=True, few_keys=True)
     discard(postings, needed, strings)
     labelled = distinct.join(labels.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "first", "n", "component"

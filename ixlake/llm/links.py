@@ -168,7 +168,8 @@ def _met(one: DataFrame, other: DataFrame, alike: Callable[[Side, Side], Column]
 
 
 def _first_shared(labelled: DataFrame) -> DataFrame:
-    """The postings of keys with several labels, each with the id's smaller ones of these keys (``before``)."""
+    """The postings of keys with several labels, each with the id's smaller ones of these keys (``before``), and
+    those of them that have post set (``posted``)."""
     open_keys = (
         labelled.groupBy("key")
         .agg(F.min("label").alias("least"), F.max("label").alias("most"))
@@ -176,22 +177,28 @@ def _first_shared(labelled: DataFrame) -> DataFrame:
         .select("key")
     )
     rows = labelled.join(open_keys, "key", "left_semi")
-    keys = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    return rows.join(keys, "id").withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    keys = rows.groupBy("id").agg(
+        F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("post"), F.col("key"))).alias("own")
+    )
+    smaller = lambda name: F.filter(name, lambda k: k < F.col("key"))
+    return rows.join(keys, "id").withColumns({"before": smaller("keys"), "posted": smaller("own")}).drop("keys", "own")
 
 
 def _every(labelled: DataFrame, alike: Callable[[Side, Side], Column] | None, few_keys: bool) -> DataFrame:
     """All pairs of ids of one key with different labels that are alike.
 
-    A pair is made once a key, and where ids have few keys at the smallest key only that the two share: two
-    ids of different labels share none but open keys, so this one is found with the keys of ``before``.
+    A pair is made once a key, and where ids have few keys at the smallest key only that the two share with post set in one
+    of them: two ids of different labels share none but open keys, so this one is found with the smaller keys.
     """
 
     def made(one: Side, other: Side) -> Column:
         new = ~other("post") | (one("id") < other("id"))
         if alike is not None:
             new = new & alike(one, other)
-        return new & ~F.arrays_overlap(one("before"), other("before")) if few_keys else new
+        if not few_keys:
+            return new
+        shared = F.arrays_overlap(one("posted"), other("before")) | F.arrays_overlap(one("before"), other("posted"))
+        return new & ~shared
 
     rows = _first_shared(labelled) if few_keys else labelled
     return _met(rows.where("post"), rows, made)
@@ -244,7 +251,7 @@ def connect(
     set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say by other columns of
     two rows that their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
     says that it leaves few pairs, so that these are counted before a second round of pivots. ``few_keys`` says that
-    an id has a bounded number of keys and ``post`` in all of them; a pair is then made at the first key only that it shares.
+    an id has a bounded number of keys; a pair is then made at the first key only that it shares with post set in one of the two.
     Returns (node, component) of linked ids.
 
     A key that many ids share isn't joined with itself at once. In each round a few pivots of a

@@ -66,6 +66,26 @@ def test_connect_finds_every_component_of_a_crowded_key(spark, seed, few_keys):
     assert {i: out.get(i, i) for i in ids} == {i: expected.root(i) for i in ids}
 
 
+def test_pair_is_made_once_at_the_first_key_that_links_it(spark):
+    # Key 1 links nobody, keys 2 and 3 both link the two.
+    rows = [(1, 1, False), (1, 2, False), (2, 1, True), (2, 2, False), (3, 1, True), (3, 2, True)]
+    labelled = spark.createDataFrame([(*r, r[1]) for r in rows], "key long, id long, post boolean, label long")
+    assert [tuple(r) for r in links._every(labelled, None, True).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("limit", [1, 2])
+def test_own_segments_are_posted_once(limit):
+    rng = random.Random(limit)
+    lines = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 60))) for _ in range(200)]
+    segments = Segments(lines, limit)
+    index, probes, others = (
+        [tuple(x) for x in zip(*map(np.ndarray.tolist, found), strict=True)]
+        for found in (segments.index(), segments.probes(), segments.probes(own=False))
+    )
+    assert set(index) | set(others) == set(probes)
+    assert len(index) + len(others) == len(probes)
+
+
 def shingles(text, width):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()

@@ -45,19 +45,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one taken three times stands in three rows.
 
-    Every row has a number of its own, so rows that agree in id, size and source get
-    the copies drawn for each.
+    Rows go by two hashes of all their columns, so no text is written before it meets its copies. Rows that agree in
+    all columns are one row with the copies drawn for each of them.
     """
     prepare(spark)
-    # The numbers are taken before the table is written, and read from it ever after.
-    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "mixture")
+    # A null adds nothing to a hash, so the nulls are hashed as well.
+    nulls = [F.col(c).isNull() for c in COLUMNS]
+    marks = [F.xxhash64(F.lit(seed), *COLUMNS, *nulls).cast("string") for seed in (1, 2)]
+    rows = docs.select(*COLUMNS, F.concat_ws("/", *marks).alias("row"))
     taken = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    copies = mix_documents(rows, row="row").select("row", taken.alias("copies")).where("copies > 0")
-    return (
-        rows.join(copies, "row")
-        .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        .select(*COLUMNS)
+    copies = saved(
+        mix_documents(rows, row="row")
+        .groupBy("row")
+        .agg(F.sum(taken).cast("int").alias("copies"), F.count("*").alias("equal"))
+        .where("copies > 0"),
+        "copies",
     )
+    joined = rows.join(copies, "row")
+    once = joined.where("equal = 1").unionByName(joined.where("equal > 1").dropDuplicates(["row"]))
+    return once.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

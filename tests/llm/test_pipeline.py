@@ -108,3 +108,19 @@ def test_near_copies_keep_one_row_a_group(spark, make_docs):
     assert groups["b"] == [(1, b[0])] and groups["c"] == [(2, c[0])] and groups["d"][0][0] == 7
     rest = set(kept) - {k for ks in groups.values() for k in ks}
     assert rest == {(5, "another text " * 9), (None, None), (8, ""), (8, " ")}
+
+
+def test_mixture_writes_no_texts_before_they_meet_their_copies(spark, make_docs, monkeypatch):
+    written = []
+    keep = corpus_pipeline.saved
+    monkeypatch.setattr(corpus_pipeline, "saved", lambda df, name="step": written.append(df.columns) or keep(df, name))
+    docs = make_docs([(1, "one two three", "a"), (1, "one two three", "a"), (2, "four five", None), (None, "six", "b")])
+    # Equal but for the column that is null.
+    docs = docs.unionByName(docs.where("doc_id = 2").selectExpr("doc_id", "text", "source AS lang", "lang AS source", "n_chars"))
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert written and not any("text" in columns for columns in written)
+    rows = Counter(docs.collect())
+    expected = mix_documents(docs.selectExpr("*", "monotonically_increasing_id() AS row"), row="row").where("taken > 0")
+    total = expected.selectExpr("sum(taken DIV size)").first()[0]
+    assert len(got) == total
+    assert set(got) <= set(rows) and all(n <= 3 * rows[r] for r, n in Counter(got).items())

@@ -231,8 +231,9 @@ def _split(labelled: DataFrame, differ: Callable[[DataFrame], DataFrame]) -> Dat
         .where((F.col("place") <= F.col("keep")) & (F.col("n") > 1))
         .select(F.xxhash64("pivot", "item").alias("key"), "id", F.lit(True).alias("post"), "apart", "shared")
     )
-    weights = labelled.groupBy("id").agg(F.first("weight").alias("weight"))
-    out = shared_postings(prefix.join(weights, "id"))
+    more = [c for c in labelled.columns if c not in ("key", "id", "post", "label", "apart", "shared")]
+    values = labelled.groupBy("id").agg(*[F.first(c).alias(c) for c in more])
+    out = shared_postings(prefix.join(values, "id"))
     discard(items, held)
     return out
 
@@ -250,7 +251,7 @@ def connect(
     ``postings`` is what :func:`shared_postings` gives; a pair counts when one of its rows has post
     set. ``verify`` takes candidate pairs (a, b) and returns the linked ones. ``alike`` may say by other columns of
     two rows that their ids can't be linked; it is part of the join's condition, so such pairs are never made. ``sharp``
-    says that it leaves few pairs, so that these are counted before a second round of pivots. ``few_keys`` says that
+    says that it leaves few pairs, so that these are counted before a second round of pivots or a split. ``few_keys`` says that
     an id has a bounded number of keys; a pair is then made at the first key only that it shares with post set in one of the two.
     Returns (node, component) of linked ids.
 
@@ -261,14 +262,15 @@ def connect(
 
     ``differ`` takes (pivot, id) and returns (pivot, id, item, keep, apart): items in which an id differs from the
     pivot, such that two linked ids, one of which isn't linked to the pivot, share one of the first ``keep`` of each
-    in any common order. Ids that are left after a round are then posted under these items of their key's first
-    pivot, so a family of alike ids without links falls apart. Every row needs ``post``, ``weight``, ``apart`` and
-    ``shared``, the number of the id's items that another one has; ``alike`` reads the last two.
+    in any common order. Where many pairs are left after a round, ids are then posted under these items of their key's
+    first pivot, so a family of alike ids without links falls apart. Every row needs ``post``, ``weight``, ``apart`` and
+    ``shared``, the number of the id's items that another one has; ``alike`` reads the last two, and other columns
+    stay as they are.
     """
     labels, stars = None, None
     tested: list[DataFrame] = []
     made: list[DataFrame] = []
-    before, coarser = None, None
+    before, coarser, fresh = 0, None, False
     given = postings
     turn = 0
     while True:
@@ -278,16 +280,24 @@ def connect(
         if not still_open:
             break
         source = postings
-        if coarser is not None and still_open > before:
+        if fresh and still_open > before:
             discard(labelled)
             source = coarser
             labelled = saved(_labelled(source, labels), "labelled")
         every = _every(labelled, alike, few_keys and source is given)
+        judged = still_open
         if sharp and turn and OPEN_SHARE * total < still_open <= JUDGED_SHARE * total:
-            still_open = every.count()
+            judged = every.count()
+        few = judged <= OPEN_SHARE * total
+        if differ is not None and turn and not few and not fresh:
+            before, coarser, fresh = still_open, postings, True
+            postings = _split(labelled, differ)
+            made.append(postings)
+            discard(labelled)
+            continue
         # Splitting goes on as long as it halves what is open.
-        stuck = turn == ROUNDS if differ is None else before is not None and still_open > before / 2
-        last = stuck or still_open <= OPEN_SHARE * total
+        stuck = turn == ROUNDS if differ is None else fresh and still_open > before / 2
+        last = stuck or few
         met = every if last else _met(_pivots(labelled, turn if differ is None else 0), labelled, alike)
         met = met.distinct()
         if tested:
@@ -306,12 +316,7 @@ def connect(
         tested.append(met)
         if last:
             break
-        if differ is not None:
-            labelled = saved(_labelled(postings, labels), "labelled")
-            before, coarser = _open_pairs(labelled), postings
-            postings = _split(labelled, differ)
-            made.append(postings)
-            discard(labelled)
+        fresh = False
         turn += 1
     discard(*tested, *made)
     if labels is None:

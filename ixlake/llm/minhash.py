@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from ixlake.llm.links import Side, connect, shared_postings
 COORDINATES = 20
 MISS = 1e-6  # most chance that a pair at the similarity threshold stays below T
 SEED = 7
+MARKS = 4  # longs of 64 bits each
 
 
 def match_threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
@@ -128,17 +130,24 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _able(shingles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, apart, shared, weight) of the sets that can have a link at all.
+    """(id, apart, shared, weight, slack) and the marks of the sets that can have a link at all.
 
     What a set shares with any other one is among its shingles that two of the sets hold. Where
     these are too few the set has no link, so the many loosely alike documents of a
     family are never compared with each other. ``apart`` and ``shared`` are for
-    :func:`_can_be_near`; ``weight`` is the shared part, which is largest for the documents that the
-    others were copied from.
+    :func:`_can_be_near`, ``slack`` and the marks for :func:`_may_differ_little`; ``weight`` is the shared part, which
+    is largest for the documents that the others were copied from.
     """
     sized = classes.select(F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
     common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = shingles.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+    # Each shingle flips one bit of the marks.
+    place = F.pmod(F.col("shingle"), F.lit(64 * MARKS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shingle, {64 * MARKS}) % 64 AS int))")
+    marks = [
+        F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == n, bit)), F.lit(0).cast("long")).alias(f"mark_{n}")
+        for n in range(MARKS)
+    ]
+    shared = shingles.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"), *marks)
     return (
         shared.join(sized, "id")
         .where(100 * F.col("shared") >= percent * F.col("size"))
@@ -147,6 +156,8 @@ def _able(shingles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             _apart(F.col("size"), F.col("size"), percent).alias("apart"),
             "shared",
             (F.col("shared") / F.col("size")).alias("weight"),
+            _apart(F.col("size"), F.col("size") - F.col("shared"), percent).alias("slack"),
+            *[f"mark_{n}" for n in range(MARKS)],
         )
     )
 
@@ -165,6 +176,16 @@ def _can_be_near(one: Side, other: Side, percent: int) -> Column:
     return one("apart") + other("apart") <= 2 * (100 + percent) * F.least(one("shared"), other("shared"))
 
 
+def _may_differ_little(one: Side, other: Side, percent: int) -> Column:
+    """Whether two sets may differ in as few shingles as a link allows.
+
+    What no other set holds is a difference. Of the rest, a bit in which the marks differ stands for at least one
+    shingle that only one of the two has, so no link is lost; the marks of a pair of many more differences say so.
+    """
+    bits = [F.bit_count(one(f"mark_{n}").bitwiseXOR(other(f"mark_{n}"))) for n in range(MARKS)]
+    return one("slack") + other("slack") + (100 + percent) * reduce(Column.__add__, bits) <= 0
+
+
 def _linked(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,9 +329,9 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int) -> tu
         )
 
     def alike(one: Side, other: Side) -> Column:
-        return _can_be_near(one, other, percent)
+        return _can_be_near(one, other, percent) & _may_differ_little(one, other, percent)
 
-    labels = connect(postings, verify, alike, differ=differ, few_keys=True)
+    labels = connect(postings, verify, alike, sharp=True, differ=differ, few_keys=True)
     discard(postings, sets)
     return signed, classes.select("set_id", "doc_id", "first").join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "doc_id", "first", F.coalesce("component", "set_id").alias("label")

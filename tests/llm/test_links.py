@@ -161,6 +161,36 @@ def test_alike_documents_without_links(make_docs, monkeypatch, width, percent):
     assert splits and sum(met) < len(texts) ** 2 / 8
 
 
+@pytest.mark.parametrize("shift", [0, 3])
+def test_pairs_of_a_family_go_by_their_marks(make_docs, monkeypatch, shift):
+    """Documents alike to each other, of which the marks leave the few pairs that may be linked: none is split."""
+    met, splits = [], []
+    saved, split = links.saved, links._split
+
+    def counted(df, name="step"):
+        out = saved(df, name)
+        if name == "pairs":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "saved", counted)
+    monkeypatch.setattr(links, "_split", lambda *given: splits.append(1) or split(*given))
+    rng = random.Random(shift)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(70):
+        own = list(words)
+        for at in rng.sample(range(40), 4):
+            own[3 * at] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(own[shift:]))
+    texts += [t + " y" for t in texts[::10]]
+    # Every shingle is held by two documents.
+    rows = list(enumerate(texts)) + [(1000 + i, f"{t} " + "z " * 90 + f"q{i}") for i, t in enumerate(texts)]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make_docs(rows), 3, 85).collect()}
+    assert out == brute_near(rows, 3, 85)
+    assert not splits and sum(met) < 600
+
+
 def test_near_duplicates_edges(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "q r s t u v"), (None, None)]

@@ -6,6 +6,7 @@ import random
 import struct
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -521,6 +522,64 @@ def test_layouts_are_not_broadcast(spark):
     assert rows(decoded, "args", "error") == [('{"a":5}', None)]
 
 
+def _call_rows(spark, found):
+    return spark.createDataFrame(
+        [(s, 1, None, None, 0, i, p, 0, data) for i, (s, p, data) in enumerate(found)],
+        "signature string, slot bigint, ts timestamp, fee_payer string, feed_partition bigint, feed_offset bigint, "
+        "program_id string, ix_index int, data string",
+    )
+
+
+def _two_layouts(spark):
+    layout = '{"columns":["a"],"fields":["u8"],"types":[]}'
+    return spark.createDataFrame(
+        [("P", bytearray(8), "note", "ix_note", layout), ("P", bytearray(b"abcdefgh"), "swap", "ix_swap", layout)]
+        + [("P", None, "none", "ix_none", layout), ("Q", bytearray(b""), "empty", "ix_empty", layout)],
+        "program_id string, disc binary, instruction string, table_name string, layout string",
+    )
+
+
+def test_unread_payloads_of_known_programs_keep_their_error(spark):
+    """One row for a payload that can't be read, however many layouts its program has; none for other programs."""
+    good, other = base58.encode(bytes(8) + b"\x05"), base58.encode(b"12345678\x05")
+    found = [("good", "P", good), ("bad", "P", "0"), ("none", "P", None), ("other", "P", other), ("empty", "P", "")]
+    found += [("far", "R", good), ("far bad", "R", "0"), ("null", None, "0"), ("opened", "Q", ""), ("bad", "Q", "l")]
+    decoded = universal.decode_calls(_call_rows(spark, found), _two_layouts(spark))
+    assert sorted(rows(decoded, "signature", "program_id", F.coalesce("table_name", F.lit("-")), "error"), key=str) == [
+        ("bad", "P", "-", "bad payload text"),
+        ("bad", "Q", "-", "bad payload text"),
+        ("good", "P", "ix_note", None),
+        ("none", "P", "-", "bad payload text"),
+        ("opened", "Q", "ix_empty", "payload too short"),
+    ]
+
+
+def test_calls_are_exchanged_once_to_be_decoded(spark):
+    decoded = universal.decode_calls(_call_rows(spark, [("s", "P", "11111111")]), _two_layouts(spark))
+    lines = _plan(decoded, "executedPlan").splitlines()
+    at = next(i for i, line in enumerate(lines) if "Scan ExistingRDD[signature" in line)
+    depth, above = 10**6, []
+    for line in lines[at::-1]:
+        inside = len(line) - len(line.lstrip(" :+-"))
+        if inside < depth:
+            depth = inside
+            above.append(line)
+    assert sum("Exchange" in line for line in above) == 1
+
+
+def test_base58_arrays_match_the_single_values():
+    rng = random.Random(5)
+    values = [None, b"", b"\0", b"\0" * 40, b"\xff" * 512, b"\xff" * 513, b"\0\1" * 300]
+    values += [bytes(rng.choice([0, 255, rng.randrange(256)]) for _ in range(rng.randrange(130))) for _ in range(500)]
+    texts = [None if v is None else base58.encode(v) for v in values]
+    assert base58.encode_array(pa.array(values, pa.binary())).to_pylist() == texts
+    assert base58.decode_array(pa.array(texts)).to_pylist() == values
+    assert base58.decode_array(pa.array(texts)[3:9]).to_pylist() == values[3:9]
+    odd = ["0", "l", "\u00e9", "1" * 700, "z" * 512, "z" * 513 + "0", *("1z0"[i % 3] * i for i in range(40))]
+    assert base58.decode_array(pa.array(odd)).to_pylist() == list(base58.decode_series(pd.Series(odd, dtype=object)))
+    assert base58.decode_array(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_documents_are_spread(spark, tmp_path):
     """A table of one row group gives documents in as many tasks as a shuffle has."""
     spark.range(40).selectExpr("id AS p_partkey", "'X' AS p_type", "1 AS p_size", "'n' AS p_name").coalesce(

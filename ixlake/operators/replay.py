@@ -32,11 +32,17 @@ def recent_signatures(ix: DataFrame, depth: int = K.REPLAY_DEPTH) -> DataFrame:
     return seen.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= depth)
 
 
-def recent_per_program(archive: DataFrame, ix: DataFrame, depth: int = K.REPLAY_DEPTH) -> DataFrame:
-    """Instructions of the newest ``depth`` transactions of every program, to run through the
-    transform again.
+def recent_per_program(
+    archive: DataFrame, ix: DataFrame, depth: int = K.REPLAY_DEPTH, programs: DataFrame | None = None
+) -> DataFrame:
+    """Instructions of the newest ``depth`` transactions of every program, or of the listed ``programs``, to run
+    through the transform again.
 
     Only (program, signature) pairs meet the archive, so a transaction of two programs is
-    replayed for each of them where it is recent.
+    replayed for each of them where it is recent. Programs, each given once, are looked up for these pairs only, by an
+    inner join: Spark would push a semi join below the ranking, to all instructions.
     """
-    return ix.join(recent_signatures(archive, depth).select("program_id", "signature"), ["program_id", "signature"], "left_semi")
+    recent = recent_signatures(archive, depth).select("program_id", "signature")
+    if programs is not None:
+        recent = recent.join(programs.select("program_id").hint("merge"), "program_id")
+    return ix.join(recent, ["program_id", "signature"], "left_semi")

@@ -309,8 +309,9 @@ def universal_module_rows(spark, d):
 def replay_recent_indexed(spark, d):
     """The newest 20 transactions of every cataloged program, decoded and written once."""
     layouts = universal.catalog_layouts(v_idl(spark, d))
-    calls = v_note(spark, d).join(layouts.select("program_id").distinct().hint("merge"), "program_id", "left_semi")
-    again = universal.decode_calls(replay.recent_per_program(calls, calls), layouts).filter("error IS NULL")
+    calls = v_note(spark, d)
+    recent = replay.recent_per_program(calls, universal.read_payloads(calls), programs=universal.programs(layouts))
+    again = universal.decode_calls(recent, layouts).filter("error IS NULL")
     first = dedup.insert_ignore(again, list(universal.KEYS), extract.ARRIVAL)
     return _note_fields(first, "signature", "ix_index", "slot").select(
         "signature", "ix_index", "slot", "table_name", "text", "memo", "leg_size", "shard_count"

@@ -28,7 +28,7 @@ from ixlake.operators import (
     state,
     universal,
 )
-from ixlake.plans.views import _PART_PATH, _PART_TEXT, le_hex, v_idl
+from ixlake.plans.views import _PART_PATH, _PART_TEXT, le_hex, v_idl, v_note
 from ixlake.sources.transactions import judge_batches, normalise, parse_batches, read_json
 from ixlake.sources.tables import write_log
 
@@ -580,6 +580,23 @@ def test_base58_arrays_match_the_single_values():
     assert base58.decode_array(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_replay_looks_up_programs_and_payloads_late(spark, tmp_path):
+    """Programs meet the newest signatures only, and no payload is made where signatures are asked for."""
+    ix = spark.createDataFrame(
+        [("P", "a", 1), ("P", "b", 3), ("P", "b", 2), ("P", "c", 2), ("R", "a", 9)], "program_id string, signature string, slot bigint"
+    )
+    listed = spark.createDataFrame([("P",), ("S",)], "program_id string")
+    again = replay.recent_per_program(ix, ix, 2, listed)
+    assert sorted(rows(again, "signature", "slot")) == [("b", 2), ("b", 3), ("c", 2)]
+    columns = {"l_orderkey": 1, "l_partkey": 41, "l_suppkey": 3, "l_linenumber": 1}
+    line = spark.range(1).selectExpr(
+        *(f"cast({v} AS bigint) AS {k}" for k, v in columns.items()),
+        "'R' AS l_returnflag", "'O' AS l_linestatus", "TIMESTAMP_NTZ '2020-01-01 00:00:00' AS l_shipdate",
+    )
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert "ArrowEvalPython" not in _plan(replay.recent_signatures(v_note(spark, str(tmp_path))), "executedPlan")
+
+
 def test_documents_are_spread(spark, tmp_path):
     """A table of one row group gives documents in as many tasks as a shuffle has."""
     spark.range(40).selectExpr("id AS p_partkey", "'X' AS p_type", "1 AS p_size", "'n' AS p_name").coalesce(

@@ -597,6 +597,16 @@ def test_replay_looks_up_programs_and_payloads_late(spark, tmp_path):
     assert "ArrowEvalPython" not in _plan(replay.recent_signatures(v_note(spark, str(tmp_path))), "executedPlan")
 
 
+def test_a_stored_feed_is_made_once(spark):
+    """Every module reads the stored feed; what makes the feed is in no module's plan."""
+    made = F.udf(lambda text: text, "string").asNondeterministic()
+    tx = transactions(spark).withColumn("description", made("description"))
+    plain, kept = extract.default_registry().extract(tx), extract.default_registry().extract(tx, store=True)
+    for name, found in kept.items():
+        assert sorted(rows(found), key=str) == sorted(rows(plain[name]), key=str)
+        assert "EvalPython" not in _plan(found, "executedPlan")
+
+
 def test_documents_are_spread(spark, tmp_path):
     """A table of one row group gives documents in as many tasks as a shuffle has."""
     spark.range(40).selectExpr("id AS p_partkey", "'X' AS p_type", "1 AS p_size", "'n' AS p_name").coalesce(
